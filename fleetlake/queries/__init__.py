@@ -1,3 +1,3 @@
 """Registered queries; importing this package fills the registry."""
 
-from . import consistency, filters, reconcile, topology  # noqa: F401
+from . import consistency, filters, ordered, reconcile, rollups, topology  # noqa: F401

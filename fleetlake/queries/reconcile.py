@@ -53,9 +53,9 @@ def shard_mismatches(spark, d):
     return R.shard_mismatches(expected_dbs(spark, d), actual.select("replica_set", "db"), actual)
 
 
-@query("missing_dbs", f"WITH {SQL_DBS} SELECT replica_set, db FROM expected EXCEPT SELECT replica_set, db FROM actual")
+@query("missing_dbs", f"WITH {SQL_DBS} SELECT replica_set, db FROM expected EXCEPT SELECT replica_set, db FROM actual WHERE rows_changed > 0")
 def missing_dbs(spark, d):
-    return R.missing_dbs(expected_dbs(spark, d), actual_dbs(spark, d))
+    return R.missing_dbs(expected_dbs(spark, d), actual_dbs(spark, d).where("rows_changed > 0"))
 
 
 @query(
@@ -223,7 +223,7 @@ SQL_EXPORT = f"""
     tables AS (SELECT DISTINCT shard_type, table_name, part FROM o),
     objects AS (SELECT shard, table_name, part FROM o GROUP BY ALL HAVING sum(bytes) > 0),
     wanted AS (SELECT shard_type, shard, table_name, part FROM shards JOIN tables USING (shard_type)),
-    status AS (SELECT shard_type, table_name, count(*) AS expected, count(b.shard) AS found,
+    status AS (SELECT w.shard_type, w.table_name, count(*) AS expected, count(b.shard) AS found,
       count(*) = count(b.shard) AS complete
       FROM wanted w LEFT JOIN objects b ON b.shard = w.shard AND b.table_name = w.table_name AND b.part = w.part GROUP BY 1, 2)"""
 
