@@ -1,3 +1,14 @@
 """Registered queries; importing this package fills the registry."""
 
-from . import consistency, filters, ordered, reconcile, rollups, topology  # noqa: F401
+from . import (  # noqa: F401
+    consistency,
+    filters,
+    lifecycle,
+    logs,
+    mining,
+    names,
+    ordered,
+    reconcile,
+    rollups,
+    topology,
+)
