@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,14 +160,14 @@ def dictionary_entries(freqs: DataFrame, size: int, group: Sequence[str] = ()) -
     if size > 0:
         # Scores whose better ones fill the dictionary already cannot get in.
         per_score = kept.groupBy(*group, "score").agg(F.sum(F.length("key")).alias("chars"))
-        better = Window.partitionBy(*group).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        useful = per_score.withColumn("before", F.coalesce(F.sum("chars").over(better), F.lit(0)))
-        kept = kept.join(useful.where(F.col("before") < size).select(*group, "score"), [*group, "score"], "left_semi")
+        doubling = F.floor(F.log2(F.col("score").cast("double"))).cast("long")
+        useful = running_total(per_score, group, "score", doubling, {"through": F.col("chars")}, descending=True)
+        useful = useful.where(F.col("through") - F.col("chars") < size).select(*group, "score")
+        kept = kept.join(useful, [*group, "score"], "left_semi")
     # From the end: highest score first, among equals the one that comes last in input order.
     ranked = kept.withColumn("__rank", F.struct("score", (-F.col("freq")).alias("f"), "key"))
-    placed = running_total(
-        ranked, group, "__rank", _score_slice(F.col("score")), {"through": F.length("key")}, descending=True
-    )
+    slices = F.struct("score", (-F.col("freq")).alias("f"), F.ascii("key").alias("c"))
+    placed = running_total(ranked, group, "__rank", slices, {"through": F.length("key")}, descending=True)
     placed = placed.withColumn("tail", F.col("through") - F.length("key"))
     if size > 0:
         room = F.lit(size) - F.col("tail")
@@ -175,11 +175,6 @@ def dictionary_entries(freqs: DataFrame, size: int, group: Sequence[str] = ()) -
     return placed.select(*group, "key", "score", F.col("tail").cast("long").alias("tail"))
 
 
-def _score_slice(score: Column) -> Column:
-    """Slices that double in width, since scores thin out upwards."""
-    return F.floor(F.log2(score.cast("double"))).cast("long")
-
-
 def build_dictionary(freqs: DataFrame, size: int, group: Sequence[str] = ()) -> DataFrame:
     """(group, dictionary): the last ``size`` characters of all entries in ascending score.
 

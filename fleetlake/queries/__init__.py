@@ -2,7 +2,9 @@
 
 from . import (  # noqa: F401
     consistency,
+    files,
     filters,
+    jobs,
     lifecycle,
     logs,
     mining,
@@ -10,5 +12,6 @@ from . import (  # noqa: F401
     ordered,
     reconcile,
     rollups,
+    streams,
     topology,
 )
