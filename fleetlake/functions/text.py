@@ -15,8 +15,8 @@ ONE_BYTE = "ISO-8859-1"
 NULL_FIELD = r"\N"
 # Stand-ins for escaped characters while a record is split; they lie outside ISO-8859-1.
 _STAND_INS = "\ue000\ue001\ue002\ue003\ue004\ue005\ue006\ue007\ue008"
-_ESCAPED = ["\\\\", "\\\t", "\\\n", "\\0", "\\t", "\\n", "\\r", "\\b", "\\Z"]
-_PLAIN = "\\\t\n\0\t\n\r\b\x1a"
+_ESCAPED = ["\\\\", "\\\t", "\\\n", "\\t", "\\n", "\\r", "\\b", "\\Z", "\\0"]
+_PLAIN = "\\\t\n\t\n\r\b\x1a"
 
 
 def null_escape(text: Column) -> Column:
@@ -56,7 +56,9 @@ def split_record(record: Column) -> Column:
 def unescape_field(field: Column, data_type: T.DataType) -> Column:
     """One raw field as a value of ``data_type``; ``\\N`` is null."""
     present = F.when(field != NULL_FIELD, field)
-    plain = F.translate(F.regexp_replace(present, r"\\(.)", "$1"), _STAND_INS, _PLAIN)
+    plain = F.translate(F.regexp_replace(present, r"\\(.)", "$1"), _STAND_INS[:-1], _PLAIN)
+    # translate() takes a zero byte as an order to delete, so this one is put back on its own.
+    plain = F.replace(plain, F.lit(_STAND_INS[-1]), F.lit("\0"))
     if isinstance(data_type, T.BinaryType):
         return F.encode(plain, ONE_BYTE)
     if isinstance(data_type, T.StringType):

@@ -31,5 +31,6 @@ def export_run(
     wanted = chosen.select(F.substring_index("full_name", ".", -1).alias(table_column)).distinct()
     kept = rows.join(wanted, table_column, "left_semi").select(*rows.columns)
     export_schema(rows, f"{root}/_schema", db, table_column)
-    export_table(kept, root, host.rsplit("-", 1)[0], db, table_column, run_at, part)
+    # The table's name is a column of the rows, so one write files every table in its own folder.
+    export_table(kept, root, host.rsplit("-", 1)[0], db, F.col(table_column), run_at, part)
     return chosen

@@ -160,7 +160,7 @@ def success_markers(spark, d):
     actions = R.success_markers(status, status.where("table_name % 2 = 0"))
     root = scratch(spark, "markers")
     W.write_success_markers(actions, root, ["shard_type", "table_name"])
-    found = L.read_listing(spark, root)
+    found = S.read_markers(spark, root)
     pattern = "shard_type=([^/]+)/table_name=([0-9]+)/_SUCCESS"
     return found.select(
         F.regexp_replace(F.regexp_extract("path", pattern, 1), "%20", " ").alias("shard_type"), F.regexp_extract("path", pattern, 2).cast("int").alias("table_name")

@@ -35,7 +35,7 @@ def export_table(
     root: str,
     namespace: Column | str,
     db: str,
-    table: str,
+    table: Column | str,
     run_at: Column,
     part: Column | None = None,
     compression: str = "none",
@@ -51,7 +51,7 @@ def export_table(
         line.alias("value"),
         (namespace if isinstance(namespace, Column) else F.lit(namespace)).alias("namespace"),
         F.lit(db).alias("db"),
-        F.lit(table).alias("table"),
+        (table if isinstance(table, Column) else F.lit(table)).alias("table"),
         export_day(run_at).alias("dt"),
         (part if part is not None else F.lit(0)).alias("part"),
     )

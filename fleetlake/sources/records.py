@@ -95,6 +95,7 @@ class RecordReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.escaped = str(options.get("escaped", "true")).lower() == "true"
+        self.markers = str(options.get("markers", "false")).lower() == "true"
         self.range_bytes = int(options.get("rangebytes", options.get("rangeBytes", RANGE_BYTES)))
 
     def _files(self):
@@ -109,8 +110,10 @@ class RecordReader(DataSourceReader):
             else:
                 found = system.get_file_info(fs.FileSelector(path, recursive=True))
             for item in found:
-                # Names beginning with "_" or "." are markers, not data.
-                if item.type == fs.FileType.File and item.size and item.base_name[0] not in "_.":
+                # Files and folders whose name begins with "_" or "." hold no data.
+                below = item.path[len(path) :].strip("/") or item.base_name
+                hidden = any(name[0] in "_." for name in below.split("/"))
+                if item.type == fs.FileType.File and item.size and hidden == self.markers:
                     yield prefix + item.path, item.size
 
     def partitions(self) -> Sequence[ByteRange]:
@@ -180,11 +183,14 @@ class RecordSource(DataSource):
         return RecordReader(self.options)
 
 
-def _records_frame(spark: SparkSession, path: str, escaped: bool, range_bytes: int) -> DataFrame:
+def _records_frame(
+    spark: SparkSession, path: str, escaped: bool, range_bytes: int = RANGE_BYTES, markers: bool = False
+) -> DataFrame:
     spark.dataSource.register(RecordSource)
     return (
         spark.read.format(FORMAT)
         .option("escaped", str(escaped).lower())
+        .option("markers", str(markers).lower())
         .option("rangebytes", str(range_bytes))
         .load(path)
     )
@@ -207,6 +213,11 @@ def read_lines(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -
     return records.select("path", "start", F.decode("value", "UTF-8").alias("line"))
 
 
+def read_markers(spark: SparkSession, path: str) -> DataFrame:
+    """(path) of the marker files below a folder, which data readers pass over."""
+    return _records_frame(spark, path, False, markers=True).select("path").distinct()
+
+
 def number_lines(lines: DataFrame, slice_bytes: int = RANGE_BYTES) -> DataFrame:
     """Add ``line_no`` from 0 per file, counted slice by slice."""
     return ordinal(lines, ["path"], ["start"], number_slice("start", slice_bytes), "line_no")
