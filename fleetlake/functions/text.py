@@ -1,6 +1,7 @@
 """Escaping, redaction and number rules, as column expressions.
 
-Dump bytes are handled as ISO-8859-1 text, one character per byte, so that blobs survive.
+Dump fields are handled byte by byte, so that blobs survive; where a pattern is needed they
+are read as ISO-8859-1, one character per byte.
 """
 
 from __future__ import annotations
@@ -13,10 +14,6 @@ from pyspark.sql import types as T
 
 ONE_BYTE = "ISO-8859-1"
 NULL_FIELD = r"\N"
-# Stand-ins for escaped characters while a record is split; they lie outside ISO-8859-1.
-_STAND_INS = "\ue000\ue001\ue002\ue003\ue004\ue005\ue006\ue007\ue008"
-_ESCAPED = ["\\\\", "\\\t", "\\\n", "\\t", "\\n", "\\r", "\\b", "\\Z", "\\0"]
-_PLAIN = "\\\t\n\t\n\r\b\x1a"
 
 
 def null_escape(text: Column) -> Column:
@@ -25,47 +22,30 @@ def null_escape(text: Column) -> Column:
 
 
 def escape_field(value: Column, data_type: T.DataType) -> Column:
-    """One dump field, as ISO-8859-1 text: escapes added, null as ``\\N``."""
-    if isinstance(data_type, T.BinaryType):
-        text = F.decode(value, ONE_BYTE)
-    elif isinstance(data_type, T.StringType):
-        text = F.decode(F.encode(value, "UTF-8"), ONE_BYTE)
-    elif isinstance(data_type, T.BooleanType):
+    """One dump field: escapes added, null as ``\\N``. Works on bytes, whatever they encode."""
+    if isinstance(data_type, T.BooleanType):
         text = value.cast("int").cast("string")
     else:
         text = value.cast("string")
-    for plain, escaped in (("\\", "\\\\"), ("\t", "\\\t"), ("\n", "\\\n"), ("\0", "\\0")):
-        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    if isinstance(data_type, (T.BinaryType, T.StringType)):
+        for plain, escaped in (("\\", "\\\\"), ("\t", "\\\t"), ("\n", "\\\n"), ("\0", "\\0")):
+            text = F.replace(text, F.lit(plain), F.lit(escaped))
     return F.coalesce(text, F.lit(NULL_FIELD))
 
 
 def dump_line(df: DataFrame) -> Column:
-    """All columns of a row as one dump record, in bytes."""
-    fields = [escape_field(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
-    return F.encode(F.concat_ws("\t", *fields), ONE_BYTE)
-
-
-def split_record(record: Column) -> Column:
-    """The raw fields of one dump record, escapes still standing in."""
-    text = F.decode(record, ONE_BYTE)
-    for escaped, mark in zip(_ESCAPED, _STAND_INS):
-        text = F.replace(text, F.lit(escaped), F.lit(mark))
-    return F.split(text, "\t")
+    """All columns of a row as one dump record."""
+    return F.concat_ws("\t", *[escape_field(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields])
 
 
-def unescape_field(field: Column, data_type: T.DataType) -> Column:
-    """One raw field as a value of ``data_type``; ``\\N`` is null."""
-    present = F.when(field != NULL_FIELD, field)
-    plain = F.translate(F.regexp_replace(present, r"\\(.)", "$1"), _STAND_INS[:-1], _PLAIN)
-    # translate() takes a zero byte as an order to delete, so this one is put back on its own.
-    plain = F.replace(plain, F.lit(_STAND_INS[-1]), F.lit("\0"))
+def typed_field(field: Column, data_type: T.DataType) -> Column:
+    """The bytes of one field as a value of ``data_type``."""
     if isinstance(data_type, T.BinaryType):
-        return F.encode(plain, ONE_BYTE)
-    if isinstance(data_type, T.StringType):
-        return F.decode(F.encode(plain, ONE_BYTE), "UTF-8")
+        return field
+    text = field.cast("string")
     if isinstance(data_type, T.BooleanType):
-        return plain.cast("int").cast("boolean")
-    return plain.cast(data_type)
+        return text.cast("int").cast("boolean")
+    return text.cast(data_type)
 
 
 def redact_columns(df: DataFrame, columns: Sequence[str] = ("passwd", "user")) -> DataFrame:

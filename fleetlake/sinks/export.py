@@ -46,9 +46,8 @@ def export_table(
     Tasks write their own files; nothing is shuffled. Uncompressed files can be read back in
     byte ranges, compressed ones file by file.
     """
-    line = dump_line(df).cast("string")
     keyed = df.select(
-        line.alias("value"),
+        dump_line(df).alias("value"),
         (namespace if isinstance(namespace, Column) else F.lit(namespace)).alias("namespace"),
         F.lit(db).alias("db"),
         (table if isinstance(table, Column) else F.lit(table)).alias("table"),

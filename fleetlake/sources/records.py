@@ -2,13 +2,14 @@
 
 Files are cut into byte ranges. A record of a dump ends at a line feed before which there is
 an even run of backslashes, so any range finds its first record on its own by looking at the
-bytes around its start. The source only finds record borders; splitting, unescaping and
-typing are column expressions.
+bytes around its start. Inside a task whole blocks of bytes are handled at once, with bytes
+methods and Arrow kernels; types are given by column expressions.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.text import split_record, unescape_field
+from ..functions.text import typed_field
 from ..operators.ordered import number_slice, ordinal
 
 FORMAT = "fleet_records"
@@ -41,8 +42,25 @@ def _file_system(path: str):
     return fs.LocalFileSystem(), os.path.abspath(path)
 
 
+# Inside a task, an escaped backslash, tab or line feed is written as a backslash and one of
+# these, so that what is left of tabs and line feeds are borders. Lengths stay the same.
+_STAND_INS = [(b"\\\\", b"\\\x01"), (b"\\\t", b"\\\x02"), (b"\\\n", b"\\\x03")]
+# Escapes and what they stand for. Any other escaped character is itself.
+_ESCAPES = {
+    b"\\\x02": b"\t",
+    b"\\\x03": b"\n",
+    b"\\0": b"\0",
+    b"\\t": b"\t",
+    b"\\n": b"\n",
+    b"\\r": b"\r",
+    b"\\b": b"\b",
+    b"\\Z": b"\x1a",
+}
+_OTHER_ESCAPE = re.compile(rb"\\([^\x01])", re.DOTALL)
+
+
 def _trailing_backslashes(piece: bytes) -> int:
-    return len(piece) - len(piece.rstrip(b"\\"))
+    return len(piece) - len(piece.rstrip(b"\\")) if piece.endswith(b"\\") else 0
 
 
 def _odd_run_before(handle, position: int) -> bool:
@@ -60,35 +78,102 @@ def _odd_run_before(handle, position: int) -> bool:
     return run % 2 == 1
 
 
+def _borders_marked(block: bytes, lead: bool) -> bytes:
+    """The block with escaped borders replaced by their stand-ins.
+
+    ``lead`` says that the block's first byte is escaped by what came before it.
+    """
+    first, rest = (block[:1], block[1:]) if lead else (b"", block)
+    if b"\\" in rest:
+        if any(mark in rest for _, mark in _STAND_INS):
+            raise ValueError("the dump escapes control bytes 1 to 3, which no dump writer does")
+        for escaped, mark in _STAND_INS:
+            rest = rest.replace(escaped, mark)
+    if first == b"\n":
+        first = b"\x03"
+    return first + rest
+
+
 def read_records(
-    handle, start: int, escaped: bool, lead: bool = False
-) -> Iterator[tuple[int, bytes]]:
-    """(offset, record) from the current position of ``handle``, which is ``start``.
+    handle, start: int, escaped: bool, lead: bool = False, block_bytes: int = _BLOCK
+) -> Iterator[tuple[int, list[bytes]]]:
+    """(offset, consecutive records) from the current position of ``handle``, which is ``start``.
 
-    ``lead`` says that an odd run of backslashes came just before it.
+    ``lead`` says that an odd run of backslashes came just before it. Records of a dump hold
+    stand-ins; their lengths are those in the file.
     """
-    offset, parts, at_lead = start, [], lead
+    offset, kept, tail = start, [], b""
     while True:
-        block = handle.read(_BLOCK)
-        if not block:
-            break
+        block = handle.read(block_bytes)
+        last = not block
+        block = tail + block
+        tail = b""
+        if escaped and not last:
+            # An escape that the block's end cuts in two waits for the next block.
+            run = _trailing_backslashes(block)
+            if (run + (lead and run == len(block))) % 2:
+                block, tail = block[:-1], block[-1:]
+        if escaped and block:
+            block = _borders_marked(block, lead)
+            lead = False
         pieces = block.split(b"\n")
-        for i, piece in enumerate(pieces):
-            parts.append(piece)
-            if i == len(pieces) - 1:
-                break
-            record = parts[0] if len(parts) == 1 else b"".join(parts)
-            run = _trailing_backslashes(record)
-            odd = (run + (1 if at_lead and run == len(record) else 0)) % 2 == 1
-            if escaped and odd:
-                parts = [record, b"\n"]
-                continue
-            yield offset, record
-            offset += len(record) + 1
-            parts, at_lead = [], False
-    rest = b"".join(parts)
-    if rest:
-        yield offset, rest
+        kept.append(pieces[0])
+        if len(pieces) > 1:
+            pieces[0] = b"".join(kept)
+            kept = [pieces.pop()]
+            yield offset, pieces
+            offset += sum(map(len, pieces)) + len(pieces)
+        if last:
+            rest = b"".join(kept)
+            if rest:
+                yield offset, [rest]
+            return
+
+
+def split_fields(records):
+    """Arrow array of raw records to a list array of unescaped fields; ``\\N`` is null."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = pc.split_pattern(records, b"\t")
+    values = lists.flatten()
+    null = pc.equal(values, pa.scalar(b"\\N", pa.binary()))
+    if pc.any(pc.match_substring(values, b"\\")).as_py():
+        for escape, plain in _ESCAPES.items():
+            if pc.any(pc.match_substring(values, escape)).as_py():
+                values = pc.replace_substring(values, escape, plain)
+        others = pc.and_not(pc.match_substring_regex(values, r"\\[^\x01]"), null)
+        if pc.any(others).as_py():
+            values = pa.array([_OTHER_ESCAPE.sub(rb"\1", v) for v in values.to_pylist()], pa.binary())
+        values = pc.replace_substring(values, b"\\\x01", b"\\")
+    values = pc.if_else(null, pa.scalar(None, pa.binary()), values)
+    return pa.ListArray.from_arrays(lists.offsets, values)
+
+
+def range_records(handle, start: int, stop: int, escaped: bool, block_bytes: int = _BLOCK):
+    """(offset, records) lists of the records that begin in [start, stop)."""
+    begin = max(start - 1, 0)
+    lead = start > 0 and escaped and _odd_run_before(handle, begin)
+    handle.seek(begin)
+    # The bytes up to the first border belong to the range before.
+    skip = start > 0
+    for offset, records in read_records(handle, begin, escaped, lead, block_bytes):
+        if skip:
+            offset += len(records[0]) + 1
+            records, skip = records[1:], False
+        end = offset + sum(map(len, records)) + len(records)
+        if end > stop:
+            # Only the last list reaches past the end: drop the records that begin there.
+            inside, at = 0, offset
+            while inside < len(records) and at < stop:
+                at += len(records[inside]) + 1
+                inside += 1
+            records = records[:inside]
+            if records:
+                yield offset, records
+            return
+        if records:
+            yield offset, records
 
 
 class RecordReader(DataSourceReader):
@@ -127,6 +212,7 @@ class RecordReader(DataSourceReader):
         return ranges
 
     def _records(self, part: ByteRange):
+        """(offset, records) lists of one range."""
         system, path = _file_system(part.path)
         if part.stop is None:
             codec = _COMPRESSED[os.path.splitext(path)[1]]
@@ -134,50 +220,39 @@ class RecordReader(DataSourceReader):
                 yield from read_records(stream, 0, self.escaped)
             return
         with system.open_input_file(path) as handle:
-            skip_first = part.start > 0
-            begin = part.start - 1 if skip_first else 0
-            lead = skip_first and self.escaped and _odd_run_before(handle, begin)
-            handle.seek(begin)
-            for offset, record in read_records(handle, begin, self.escaped, lead):
-                if skip_first:
-                    # The bytes up to the first border belong to the range before.
-                    skip_first = False
-                    continue
-                if offset >= part.stop:
-                    return
-                yield offset, record
+            yield from range_records(handle, part.start, part.stop, self.escaped)
 
     def read(self, partition: ByteRange):
+        import numpy as np
         import pyarrow as pa
 
-        schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("value", pa.binary())])
-
-        def batch(starts, values):
-            paths = pa.array([partition.path] * len(starts), pa.string())
-            columns = [paths, pa.array(starts, pa.int64()), pa.array(values, pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, schema=schema)
-
-        starts, values, size = [], [], 0
-        for offset, record in self._records(partition):
-            starts.append(offset)
-            values.append(record)
-            size += len(record) + 16
-            if size >= _BATCH_BYTES:
-                yield batch(starts, values)
-                starts, values, size = [], [], 0
-        if starts:
-            yield batch(starts, values)
+        names = ["path", "start", "fields" if self.escaped else "value"]
+        for offset, records in self._records(partition):
+            steps = np.fromiter(map(len, records), dtype=np.int64, count=len(records)) + 1
+            starts = offset + np.cumsum(steps) - steps
+            # Batches are cut by size, so that long records do not pile up.
+            cuts = np.searchsorted(np.cumsum(steps), np.arange(_BATCH_BYTES, steps.sum(), _BATCH_BYTES))
+            for low, high in zip([0, *cuts + 1], [*cuts + 1, len(records)]):
+                if low >= high:
+                    continue
+                values = pa.array(records[low:high], pa.binary())
+                if self.escaped:
+                    values = split_fields(values)
+                paths = pa.array([partition.path] * (high - low), pa.string())
+                yield pa.RecordBatch.from_arrays([paths, pa.array(starts[low:high]), values], names=names)
 
 
 class RecordSource(DataSource):
-    """``format("fleet_records")``: (path, start, value) per record."""
+    """``format("fleet_records")``: (path, start, value) per line, or (path, start, fields) per
+    dump record with the option ``escaped``."""
 
     @classmethod
     def name(cls):
         return FORMAT
 
     def schema(self):
-        return "path string, start bigint, value binary"
+        escaped = str(self.options.get("escaped", "true")).lower() == "true"
+        return "path string, start bigint, " + ("fields array<binary>" if escaped else "value binary")
 
     def reader(self, schema):
         return RecordReader(self.options)
@@ -201,9 +276,8 @@ def read_dump(
 ) -> DataFrame:
     """Rows of a tab-separated, backslash-escaped dump, typed by ``schema``."""
     records = _records_frame(spark, path, True, range_bytes)
-    fields = records.select(split_record(F.col("value")).alias("f"))
-    return fields.select(
-        *[unescape_field(F.col("f")[i], f.dataType).alias(f.name) for i, f in enumerate(schema.fields)]
+    return records.select(
+        *[typed_field(F.col("fields")[i], f.dataType).alias(f.name) for i, f in enumerate(schema.fields)]
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +14,7 @@ from fleetlake.functions.moments import moment
 from fleetlake.functions.text import ONE_BYTE, null_escape
 from fleetlake.session import scratch
 from fleetlake.sinks.export import export_table
-from fleetlake.sources.records import _odd_run_before, read_dump, read_lines, read_records, number_lines
+from fleetlake.sources.records import number_lines, range_records, read_dump, read_lines, read_records, split_fields
 
 VECTORS = [
     ("5c30", "00"),
@@ -63,23 +64,58 @@ def test_ranges_cover_every_record_once(escaped):
         data = bytes(rng.choice(b"\\\\\\\nab\t") for _ in range(rng.randint(1, 60)))
         if not data.endswith(b"\n"):
             data += b"\n" if data.endswith(b"\n") or not data.endswith(b"\\") else b"x\n"
-        step = rng.randint(1, 9)
+        step, block = rng.randint(1, 9), rng.randint(1, 11)
         got = []
         for start in range(0, len(data), step):
-            handle = io.BytesIO(data)
-            begin = max(start - 1, 0)
-            lead = escaped and start > 0 and _odd_run_before(handle, begin)
-            handle.seek(begin)
-            records = read_records(handle, begin, escaped, lead)
-            if start > 0:
-                next(records, None)
-            for offset, record in records:
-                if offset >= min(start + step, len(data)):
-                    break
-                got.append((offset, record))
+            stop = min(start + step, len(data))
+            for offset, records in range_records(io.BytesIO(data), start, stop, escaped, block):
+                for record in records:
+                    got.append((offset, data[offset : offset + len(record)]))
+                    offset += len(record) + 1
         assert got == split_slowly(data, escaped), data
 
 
+def unescape_slowly(field: bytes):
+    if field == b"\\N":
+        return None
+    named = {b"0": b"\0", b"t": b"\t", b"n": b"\n", b"r": b"\r", b"b": b"\b", b"Z": b"\x1a"}
+    out, i = [], 0
+    while i < len(field):
+        byte = field[i : i + 1]
+        if byte == b"\\" and i + 1 < len(field):
+            i += 1
+            byte = named.get(field[i : i + 1], field[i : i + 1])
+        out.append(byte)
+        i += 1
+    return b"".join(out)
+
+
+def fields_slowly(record: bytes):
+    fields, escape = [b""], False
+    for byte in (record[i : i + 1] for i in range(len(record))):
+        if byte == b"\t" and not escape:
+            fields.append(b"")
+        else:
+            fields[-1] += byte
+        escape = byte == b"\\" and not escape
+    return [unescape_slowly(f) for f in fields]
+
+
+def test_fields_of_random_records():
+    rng = random.Random(21)
+    pieces = [b"\\\\", b"\\\t", b"\\\n", b"\\0", b"\\N", b"\\q", b"\\t", b"\t", b"\t", b"a", b"N", b"\xff", b"\0", b"\xc3\xa9"]
+    data = b"".join(b"".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) + b"\n" for _ in range(500))
+    got = []
+    for _, records in read_records(io.BytesIO(data), 0, True, block_bytes=50):
+        got += split_fields(pa.array(records, pa.binary())).to_pylist()
+    assert got == [fields_slowly(r) for _, r in split_slowly(data, True)]
+
+
+def test_escaped_control_bytes_are_refused():
+    with pytest.raises(ValueError):
+        list(read_records(io.BytesIO(b"a\\\x01b\n"), 0, True))
+
+
 def test_dump_round_trip(spark):
     rng = random.Random(3)
     alphabet = ["\\", "\t", "\n", "\0", "N", "0", "t", "é", "漢", "\r", '"', "'", "\b", "\x1a"]
