@@ -1,7 +1,7 @@
 """Latest-per-key and keyed upsert.
 
-``rank() = 1`` and ``row_number() = 1`` filters get a group limit before the shuffle, so a
-hot key sends a few rows per input task, never all its rows, to one place.
+A ``row_number() = 1`` filter gets a group limit before the shuffle, so a hot key sends one row
+per input task, never all its rows, to one place.
 """
 
 from __future__ import annotations
@@ -15,9 +15,14 @@ from .ordered import carry_last
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
-    """The newest rows of each key; rows tied at the newest time are all kept."""
-    newest = Window.partitionBy(*keys).orderBy(F.col(ts).desc())
-    return df.withColumn("__rank", F.rank().over(newest)).where("__rank = 1").drop("__rank")
+    """The newest rows of each key; rows tied at the newest time are all kept.
+
+    The newest times are aggregated map-side, then select their rows by a semi-join. However
+    many rows tie at one key, they may stay spread out: the join broadcasts a small list of
+    keys and splits skewed partitions otherwise, which a rank window could not.
+    """
+    newest = df.groupBy(*keys).agg(F.max(ts).alias(ts))
+    return df.join(newest, [*keys, ts], "left_semi")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

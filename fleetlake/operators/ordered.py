@@ -193,7 +193,7 @@ def asof_join(
         F.struct(*[F.col(c) for c in left.columns]).alias("__left"),
         F.lit(None).cast(right.select(carried.alias("c")).schema["c"].dataType).alias("__right"),
         F.lit(None).cast("long").alias("__tie"),
-        F.lit(0 if forward else 1).alias("__side"),
+        F.lit(1).alias("__side"),
     )
     right_side = right.select(
         *keys,
@@ -201,26 +201,24 @@ def asof_join(
         F.lit(None).cast(left_side.schema["__left"].dataType).alias("__left"),
         carried.alias("__right"),
         rank.alias("__tie"),
-        F.lit(1 if forward else 0).alias("__side"),
+        F.lit(0).alias("__side"),
     )
     line = left_side.unionByName(right_side).withColumn(SLICE, slice_of(F.col("__at")))
     value = F.col("__right")
-    # Of right rows at one position the smallest tie is nearest to the probe.
+    # Rows are read towards the probe, so that the last right row seen is the nearest one; a frame
+    # that looks ahead would be computed anew for every row. Of right rows at one position the
+    # smallest tie comes last. Right rows of a position come before its probes.
+    at = F.col("__at").desc() if forward else F.col("__at").asc()
+    order = [at, F.col("__side"), F.col("__tie").desc()]
+    seen = _by_slice(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = F.last(value, ignorenulls=True).over(seen)
     if forward:
-        order = [F.col("__at"), F.col("__side"), F.col("__tie")]
-        inside = _by_slice(keys, order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        local = F.first(value, ignorenulls=True).over(inside)
         edge = F.min_by(value, F.when(value.isNotNull(), F.struct("__at", "__tie")))
-        later = _over_slices(keys).rowsBetween(1, Window.unboundedFollowing)
-        carry = F.first("__edge", ignorenulls=True).over(later)
     else:
-        order = [F.col("__at"), F.col("__side"), F.col("__tie").desc()]
-        inside = _by_slice(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        local = F.last(value, ignorenulls=True).over(inside)
         position = F.struct("__at", F.bitwise_not("__tie").alias("t"))
         edge = F.max_by(value, F.when(value.isNotNull(), position))
-        earlier = _over_slices(keys).rowsBetween(Window.unboundedPreceding, -1)
-        carry = F.last("__edge", ignorenulls=True).over(earlier)
+    passed = _over_slices(keys, forward).rowsBetween(Window.unboundedPreceding, -1)
+    carry = F.last("__edge", ignorenulls=True).over(passed)
     summary = line.groupBy(*keys, SLICE).agg(edge.alias("__edge"))
     summary = summary.select(*keys, SLICE, carry.alias("__edge"))
     probes = line.withColumn("__near", local).where(F.col("__left").isNotNull())

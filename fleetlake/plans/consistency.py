@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import consistency as C
+from ..session import materialize
 
 
 def audit_rows(
@@ -27,7 +28,8 @@ def audit_rows(
     The list of chunks to look into holds at most ``max_diffs`` rows, so the row check reads
     both sides through a filter and shuffles only those chunks.
     """
-    chunks = C.chunk_diff(source, replica, chunk, columns)
+    # Written once: the checksums read both tables whole, and the list is used three times.
+    chunks = materialize(C.chunk_diff(source, replica, chunk, columns), "chunks")
     summary = chunks.agg(
         F.count(F.lit(1)).alias("chunk_count"),
         F.sum("master_cnt").alias("row_count"),
@@ -36,21 +38,15 @@ def audit_rows(
         F.lit(chunk_skips).alias("chunk_skips"),
     )
     counts = [F.col(c) for c in ("chunk_errors", "chunk_diffs", "chunk_skips")]
+    checked = C.rows_are_checked(*counts, min_diffs, max_diffs)
+    suspect = chunks.where("differs").where(summary.select(checked).scalar())
+    suspect = suspect.select(F.col("chunk").alias("__chunk"))
     summary = summary.withColumns(
         {
-            "rows_checked": F.when(
-                C.rows_are_checked(*counts, min_diffs, max_diffs), "YES"
-            ).otherwise("NO"),
+            "rows_checked": F.when(checked, "YES").otherwise("NO"),
             "checksum_status": C.checksum_status(*counts, min_diffs, max_diffs),
         }
     )
-    gate = summary.where("rows_checked = 'YES'").select(F.lit(1).alias("__open"))
-    suspect = (
-        chunks.where("differs")
-        .select(F.col("chunk").alias("__chunk"), F.lit(1).alias("__open"))
-        .join(gate, "__open", "left_semi")
-        .select("__chunk")
-    )
     ours = source.withColumn("__chunk", chunk).join(suspect, "__chunk", "left_semi")
     theirs = replica.withColumn("__chunk", chunk).join(suspect, "__chunk", "left_semi")
     return summary, C.row_diff(ours, theirs, keys, columns)
@@ -72,6 +68,7 @@ def audit(
         F.count(F.lit(1)).alias("row_diffs"),
         *[F.count_if(F.col("change") == k).alias(f"rows_to_{k}") for k in ("insert", "delete", "update")],
     )
-    # Both sides hold exactly one row.
-    named = summary.withColumn("__one", F.lit(1)).join(kinds.withColumn("__one", F.lit(1)), "__one")
-    return named.drop("__one").withColumns({k: F.lit(v) for k, v in labels.items()})
+    # Two rows, one with the summary's columns and one with the counts, fold into one.
+    both = summary.unionByName(kinds, allowMissingColumns=True)
+    whole = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    return whole.withColumns({k: F.lit(v) for k, v in labels.items()})

@@ -34,7 +34,7 @@ def dumped(spark, df, part=None, compression="none"):
 def dump_round_trip(spark, d):
     doc = load(spark, d, "documents")
     # Ranges far below the default, so that records are cut everywhere.
-    return S.read_dump(spark, dumped(spark, doc), doc.schema, range_bytes=256 * 1024)
+    return S.read_dump(spark, dumped(spark, doc), doc.schema, range_bytes=1024 * 1024)
 
 
 @query(

@@ -51,6 +51,9 @@ def _apply_markers(partition) -> None:
 def write_success_markers(actions: DataFrame, root: str, keys: Sequence[str]) -> None:
     """Create or remove a ``_SUCCESS`` marker per row of (keys, action), from the tasks."""
     folders = [F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in keys]
+    jvm = actions.sparkSession.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    folder.getFileSystem(actions.sparkSession.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
     marked = actions.where(F.col("action").isin("create", "remove"))
     path = F.concat_ws("/", F.lit(root.rstrip("/")), *folders, F.lit("_SUCCESS"))
     marked.select(path.alias("path"), "action").foreachPartition(_apply_markers)

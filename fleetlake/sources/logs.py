@@ -74,20 +74,25 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
 
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """All groups of a pattern that covers the whole text, by one pass of it; null without a match."""
+    mark = "\x01"
+    marked = F.regexp_replace(text, pattern, mark.join(f"${i}" for i in range(1, n + 1)))
+    groups = F.split(marked, mark, n)
+    return F.when((F.size(groups) == n) & (marked != text), groups)
+
+
 def parse_checksum_log(lines: DataFrame, line: str = "line") -> DataFrame:
     """Result lines of a table checksum run; other lines are dropped."""
-    text = F.col(line)
-    fields = [
-        F.regexp_extract(text, CHECKSUM_LINE, i).cast(kind).alias(name)
-        for i, (name, kind) in enumerate(CHECKSUM_FIELDS.items(), 1)
-    ]
     kept = [c for c in lines.columns if c != line]
-    return lines.where(text.rlike(CHECKSUM_LINE)).select(*kept, *fields)
+    found = lines.select(*kept, _groups(F.col(line), CHECKSUM_LINE, len(CHECKSUM_FIELDS)).alias("__g"))
+    fields = [F.col("__g")[i].cast(kind).alias(name) for i, (name, kind) in enumerate(CHECKSUM_FIELDS.items())]
+    return found.where("__g IS NOT NULL").select(*kept, *fields)
 
 
 def sync_diffs(line: Column) -> Column:
     """Differences counted by one line of a table sync run; 0 for any line that is not a count."""
-    fields = F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")
+    fields = F.split(F.btrim(line, F.lit(" \t\r\n\f\v")), r"\s+")
     counts = [F.try_element_at(fields, F.lit(i)).try_cast("bigint") for i in range(2, 6)]
     total = counts[0] + counts[1] + counts[2] + counts[3]
     is_count = (F.size(fields) == 10) & (fields[0] == "#")

@@ -190,6 +190,8 @@ class RecordReader(DataSourceReader):
             system, path = _file_system(root)
             prefix = root[: len(root) - len(path)] if root.endswith(path) else ""
             info = system.get_file_info(path)
+            if info.type == fs.FileType.NotFound:
+                raise FileNotFoundError(root)
             if info.type == fs.FileType.File:
                 found = [info]
             else:
@@ -201,7 +203,7 @@ class RecordReader(DataSourceReader):
                 if item.type == fs.FileType.File and item.size and hidden == self.markers:
                     yield prefix + item.path, item.size
 
-    def partitions(self) -> Sequence[ByteRange]:
+    def partitions(self) -> Sequence[InputPartition]:
         ranges = []
         for path, size in self._files():
             if os.path.splitext(path)[1] in _COMPRESSED:
@@ -209,7 +211,7 @@ class RecordReader(DataSourceReader):
                 continue
             for start in range(0, size, self.range_bytes):
                 ranges.append(ByteRange(path, start, min(start + self.range_bytes, size)))
-        return ranges
+        return ranges or [InputPartition(None)]
 
     def _records(self, part: ByteRange):
         """(offset, records) lists of one range."""
@@ -226,6 +228,9 @@ class RecordReader(DataSourceReader):
         import numpy as np
         import pyarrow as pa
 
+        if not isinstance(partition, ByteRange):
+            # Without any file there are no ranges to read.
+            return
         names = ["path", "start", "fields" if self.escaped else "value"]
         for offset, records in self._records(partition):
             steps = np.fromiter(map(len, records), dtype=np.int64, count=len(records)) + 1

@@ -187,8 +187,12 @@ def test_failed_check_writes_nothing(spark):
         spark.read.parquet(path).collect()
 
 
-def test_skewed_key_is_split(spark):
-    """A latest-per-key filter limits rows before the shuffle."""
-    df = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("ts"))
-    plan = N.latest_per_key(df, ["k"], "ts")._jdf.queryExecution().executedPlan().toString()
+def test_one_row_per_key_is_limited_before_the_shuffle(spark):
+    df = spark.range(1000).repartition(4).select((F.col("id") % 3).alias("k"), F.col("id").alias("ts"))
+    plan = N.first_per_key(df, ["k"], [F.col("ts").desc()])._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_latest_keeps_ties(spark):
+    df = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("a", 2, 3), ("b", 1, 4)], "k string, ts int, id int")
+    assert sorted(r.id for r in N.latest_per_key(df, ["k"], "ts").collect()) == [2, 3, 4]
