@@ -9,8 +9,7 @@ DEFAULT_PORT = 3306
 INNODB_EXTENSION = "ibd"
 
 # Formats and patterns of names already in use.
-BACKUP_KEY = "%s/%s/%s/%s-%s-%s.%s"
-INITIAL_BACKUP_KEY = "%s/initial_build/%s-%s-%s.%s"
+INITIAL_BUILD = "initial_build"
 BACKUP_STAMP = "yyyy-MM-dd-HH:mm:ss"
 BACKUP_FILE = r"^([a-z0-9-]+)-(330[0-9])-(\d{4}-\d{2}-\d{2}).*"
 TABLE_FILE = r"^([^#.]+)(#P#)?(.+)?\." + INNODB_EXTENSION
@@ -75,15 +74,10 @@ def backup_key(
     taken_at: Column,
 ) -> Column:
     """Object key of a backup; a host in no replica set goes under ``initial_build``."""
-    extension = BACKUP_EXTENSIONS[backup_type]
     stamp = F.date_format(taken_at, BACKUP_STAMP)
-    port_text = port.cast("string")
-    regular = F.format_string(
-        BACKUP_KEY, F.lit(backup_type), retention, replica_set, hostname, port_text, stamp, F.lit(extension)
-    )
-    initial = F.format_string(
-        INITIAL_BACKUP_KEY, F.lit(backup_type), hostname, port_text, stamp, F.lit(extension)
-    )
+    name = F.concat(F.concat_ws("-", hostname, port.cast("string"), stamp), F.lit("." + BACKUP_EXTENSIONS[backup_type]))
+    regular = F.concat_ws("/", F.lit(backup_type), retention, replica_set, name)
+    initial = F.concat_ws("/", F.lit(backup_type), F.lit(INITIAL_BUILD), name)
     return F.when(replica_set.isNull(), initial).otherwise(regular)
 
 

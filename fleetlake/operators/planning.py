@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .latest import first_per_key
+from .latest import first_per_key, upsert
 
 # Limits of restore testing and server builds.
 AGE_START_TESTING = 55
@@ -75,3 +75,14 @@ def replacement_role(instances: DataFrame, log: DataFrame, config: DataFrame) ->
     roles = config.select(F.col("host").alias("old_host"), F.col("role").alias("r"))
     joined = instances.join(old, "new_instance", "left").join(roles, "old_host", "left")
     return joined.select("new_instance", "old_host", F.when(F.col("r") != "master", F.col("r")).alias("role"))
+
+
+def replacement_ledger(log: DataFrame, orders: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The log after new replacements are recorded.
+
+    ``orders`` has the log's columns; only those whose old host was judged ``new`` or
+    ``replace_again`` are written, and an old host keeps its newest replacement only.
+    """
+    granted = verdicts.where(F.col("verdict").isin("new", "replace_again")).select(F.col("hostname").alias("old_host"))
+    accepted = orders.join(granted, "old_host", "left_semi")
+    return upsert(log, accepted, ["old_host"], ["created_at", "new_host"])

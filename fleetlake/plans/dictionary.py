@@ -23,6 +23,12 @@ def turn_pairs(conversations: DataFrame, first: str = "user", second: str = "ass
     return a.join(b, ["conv_id", "turn"])
 
 
+def pairs_of_both_roles(conversations: DataFrame, roles: tuple[str, str] = ("user", "assistant")) -> DataFrame:
+    """Turn pairs in both directions: (asker, conv_id, turn, a, b)."""
+    there = turn_pairs(conversations, *roles).withColumn("asker", F.lit(roles[0]))
+    return there.unionByName(turn_pairs(conversations, *reversed(roles)).withColumn("asker", F.lit(roles[1])))
+
+
 def mined_freqs(conversations: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Frequencies of the substrings common to question and answer."""
     return substring_freq(mine_pairs(turn_pairs(conversations), "a", "b", keys), keys)

@@ -136,6 +136,21 @@ def table_export(spark, d):
     return back.join(kinds, "source")
 
 
+@query(
+    "export_namespaces",
+    """SELECT c_custkey, CASE WHEN c_nationkey < 8 THEN 'rs-' || c_nationkey WHEN c_nationkey < 16 THEN 'flexdb' WHEN c_nationkey < 20 THEN 'moddb'
+      ELSE 'moddb_' || lower(c_mktsegment) END AS namespace, '2001-08-01' AS dt FROM customer""",
+)
+def export_namespaces(spark, d):
+    c = load(spark, d, "customer")
+    nation = F.col("c_nationkey")
+    kind = F.when(nation < 8, "unsharded").when(nation < 16, "flex").otherwise("sharded")
+    prefix = F.when(nation < 16, "flexdb").otherwise("moddb")
+    db = F.when(nation < 20, "shard12").otherwise(F.concat(F.lit("zen_"), F.lower("c_mktsegment"), F.lit("_12")))
+    space = E.export_namespace(kind, F.concat(F.lit("rs-"), nation), prefix, db, "^zen_([a-z]+)_")
+    return c.select("c_custkey", space.alias("namespace"), E.export_day(moment("2001-08-02 00:30:00")).alias("dt"))
+
+
 @query(
     "export_positions",
     f"""SELECT event_type, '{{"heartbeat":"' || strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') || '","repl_positions":[{{"file":"mysql-bin.' || max_by(user_id, ts) || '","pos":' || max_by(event_id, ts) ||

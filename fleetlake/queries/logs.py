@@ -18,9 +18,10 @@ from .common import SQL_EVENTS, events
 )
 def checksum_log(spark, d):
     li = load(spark, d, "lineitem")
-    good = F.format_string(
-        "%s   %d  %d  %d %d    %d   %.2f db%d.tbl.%s", F.date_format("l_shipdate", "MM-dd'T'HH:mm:ss"), F.col("l_linenumber") % 2,
-        F.col("l_suppkey") % 3, "l_partkey", F.col("l_quantity").cast("int"), F.col("l_suppkey") % 5, F.col("l_discount") + 1, "l_suppkey", "l_returnflag",
+    good = F.concat(
+        F.date_format("l_shipdate", "MM-dd'T'HH:mm:ss"), F.lit("   "), F.col("l_linenumber") % 2, F.lit("  "), F.col("l_suppkey") % 3,
+        F.lit("  "), F.col("l_partkey"), F.lit(" "), F.col("l_quantity").cast("int"), F.lit("    "), F.col("l_suppkey") % 5, F.lit("   "),
+        F.col("l_discount") + 1, F.lit(" db"), F.col("l_suppkey"), F.lit(".tbl."), F.col("l_returnflag"),
     )
     line = F.when(F.col("l_linestatus") == "F", good).otherwise("            TS ERRORS  DIFFS     ROWS  CHUNKS SKIPPED    TIME TABLE")
     return S.parse_checksum_log(li.select("l_orderkey", "l_linenumber", line.alias("line")))
@@ -32,7 +33,9 @@ def checksum_log(spark, d):
 )
 def sync_log(spark, d):
     li = load(spark, d, "lineitem")
-    good = F.format_string("# %6d %d 1  0 Chunk     00:00:00 00:00:01 2    db.tbl", "l_linenumber", F.col("l_partkey") % 3)
+    good = F.concat(
+        F.lit("#      "), F.col("l_linenumber"), F.lit(" "), F.col("l_partkey") % 3, F.lit(" 1  0 Chunk     00:00:00 00:00:01 2    db.tbl")
+    )
     line = F.when(F.col("l_linenumber") <= 5, good).when(F.col("l_linenumber") == 6, "# x 1 1 1 Chunk a b 2 db.tbl").otherwise("DELETE FROM t WHERE id = 1")
     return S.parse_sync_log(li.select("l_suppkey", line.alias("line")), ["l_suppkey"])
 

@@ -42,4 +42,6 @@ def swallowed_scores(spark, d):
 
 @query("build_dictionary")
 def build_dictionary(spark, d):
-    return Z.build_dictionary(D.mined_freqs(load(spark, d, "conversations")), 4096)
+    """One dictionary per asking role."""
+    pairs = D.pairs_of_both_roles(load(spark, d, "conversations"))
+    return D.dictionary_of_pairs(pairs, "a", "b", 4096, ["asker"])

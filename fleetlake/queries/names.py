@@ -88,13 +88,13 @@ def table_file_parts(spark, d):
 
 @query(
     "namespace_of_schema",
-    """SELECT event_id, CASE user_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'modsharddb_' || event_type ELSE 'modsharddb_default' END AS namespace FROM events""",
+    """SELECT event_id, CASE user_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'moddb_' || event_type ELSE 'moddb_default' END AS namespace FROM events""",
 )
 def namespace_of_schema(spark, d):
     e = load(spark, d, "events")
     kind = F.col("user_id") % 3
     schema = F.when(kind == 0, "mysql").when(kind == 1, F.concat(F.lit("zen_"), "event_type", F.lit("_"), "user_id")).otherwise(F.concat(F.lit("pb"), "user_id"))
-    return e.select("event_id", H.namespace_of_schema(schema, F.lit("modsharddb-12-3")).alias("namespace"))
+    return e.select("event_id", H.namespace_of_schema(schema, F.lit("moddb-12-3")).alias("namespace"))
 
 
 @query(
@@ -103,7 +103,7 @@ def namespace_of_schema(spark, d):
 )
 def ipv4_number(spark, d):
     li = load(spark, d, "lineitem")
-    good = F.format_string("10.%d.%d.%d", F.col("l_orderkey") % 256, F.col("l_partkey") % 256, F.col("l_suppkey") % 256)
+    good = F.concat_ws(".", F.lit("10"), *[(F.col(c) % 256).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey")])
     address = F.when(F.col("l_quantity") < 49, good).otherwise("no address")
     return li.select("l_orderkey", "l_linenumber", H.ipv4_number(address).alias("server_id"))
 

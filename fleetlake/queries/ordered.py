@@ -325,8 +325,9 @@ def gtid_expand(spark, d):
 )
 def gtid_sets_parsed(spark, d):
     li = load(spark, d, "lineitem")
-    text = F.format_string(
-        "uuid-%d:%d-%d:%d,\nother:%d", "l_suppkey", "l_partkey", F.col("l_partkey") + F.col("l_linenumber"), F.col("l_partkey") + 20, "l_linenumber"
+    text = F.concat(
+        F.lit("uuid-"), "l_suppkey", F.lit(":"), "l_partkey", F.lit("-"), F.col("l_partkey") + F.col("l_linenumber"), F.lit(":"),
+        F.col("l_partkey") + 20, F.lit(",\nother:"), "l_linenumber",
     )
     return I.parse_gtid_sets(li.select("l_orderkey", text.alias("gtids")), keep=["l_orderkey"])
 
@@ -399,3 +400,20 @@ def replacement_requests(spark, d):
 def replacement_role(spark, d):
     _, log, config = replacements(spark, d)
     return Q.replacement_role(load(spark, d, "orders").select(F.col("o_orderkey").alias("new_instance")), log, config)
+
+
+@query(
+    "replacement_ledger",
+    f"""WITH {SQL_REPLACE}, v AS (SELECT h.c_custkey AS old_host FROM hosts h LEFT JOIN cfg USING (c_custkey) LEFT JOIN log ON o_custkey = c_custkey
+      WHERE role IS NOT NULL AND role <> 'master' AND (created_at IS NULL OR date_diff('day', created_at, {ORDERS_NOW}) >= 7)),
+    l AS (SELECT o_custkey AS old_host, o_orderkey AS new_host, o_orderdate AS created_at, 0 AS src FROM orders WHERE o_orderstatus = 'F'
+      UNION ALL SELECT o_custkey, o_orderkey, o_orderdate, 1 FROM orders WHERE o_orderstatus = 'P' AND o_custkey IN (SELECT old_host FROM v))
+    SELECT old_host, new_host, new_host AS new_instance, created_at FROM l
+    QUALIFY row_number() OVER (PARTITION BY old_host ORDER BY src DESC, created_at DESC, new_host DESC) = 1""",
+)
+def replacement_ledger(spark, d):
+    hosts, log, config = replacements(spark, d)
+    asked = load(spark, d, "orders").where("o_orderstatus = 'P'").select(
+        F.col("o_custkey").alias("old_host"), F.col("o_orderkey").alias("new_host"), F.col("o_orderkey").alias("new_instance"), F.col("o_orderdate").alias("created_at")
+    )
+    return Q.replacement_ledger(log, asked, Q.replacement_requests(hosts, log, config, moment(ORDERS_AS_OF)))

@@ -18,9 +18,9 @@ def format_metrics(metrics: DataFrame) -> DataFrame:
     Rows have metric, epoch, value, replica_set, db_type and a map of further tags.
     """
     tags = F.array_join(F.transform(F.map_entries("tags"), lambda e: F.concat_ws("=", e["key"], e["value"])), " ")
-    text = F.format_string(
-        "mysql.%s %s %s replica_set=%s db_type=%s %s",
-        "metric", F.col("epoch").cast("string"), F.col("value").cast("string"), "replica_set", "db_type", tags,
+    text = F.concat(
+        F.lit("mysql."), "metric", F.lit(" "), F.col("epoch").cast("string"), F.lit(" "), F.col("value").cast("string"),
+        F.lit(" replica_set="), "replica_set", F.lit(" db_type="), "db_type", F.lit(" "), tags,
     )
     return metrics.select(F.trim(text).alias("value"))
 

@@ -10,19 +10,28 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.lag import LOOSE_HEARTBEAT_LAG, NORMAL_HEARTBEAT_LAG
 from ..operators.lifecycle import LEASE_SECONDS
 
 
 def event_time(df: DataFrame, ts: str, watermark: str) -> DataFrame:
-    """The stream with its time as TIMESTAMP under a watermark."""
-    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+    """The stream with its time as TIMESTAMP under a watermark. Times without zone are UTC."""
+    timed = df
+    if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
+        timed = df.withColumn(ts, F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), F.col(ts))))
+    return timed.withWatermark(ts, watermark)
+
+
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def local_time(col: str) -> Column:
-    """A TIMESTAMP as a timestamp without zone."""
-    return F.col(col).cast("timestamp_ntz")
+    """A TIMESTAMP as a timestamp without zone, in UTC."""
+    seconds = F.unix_micros(col).cast("decimal(18,0)") / F.lit(1000000).cast("decimal(7,0)")
+    return _epoch() + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
 
 
 def heartbeat_lag_stream(stream: DataFrame, server: str, ts: str, window: str = "5 minutes", watermark: str = "10 minutes") -> DataFrame:

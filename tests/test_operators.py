@@ -31,9 +31,9 @@ def test_host_names(spark):
     row = one(spark, H.host_parts(F.lit("sharddb-12-3:3309")).alias("a"), H.host_parts(F.lit("sharddb-1-1")).alias("b"))
     assert (row.a.prefix, row.a.set_num, row.a.host_id, row.a.port) == ("sharddb", "12", "3", 3309)
     assert row.b.port == 3306 and row.b.valid
-    path = "xtrabackup/standard/testmodsharddb-1/testmodsharddb-1-79-3306-2016-05-18-22:34:39.xbstream"
+    path = "xtrabackup/standard/testdb-1/testdb-1-79-3306-2016-05-18-22:34:39.xbstream"
     got = one(spark, H.backup_file_parts(F.lit(path)).alias("f")).f
-    assert (got.host, got.port, got.created) == ("testmodsharddb-1-79", 3306, dt.date(2016, 5, 18))
+    assert (got.host, got.port, got.created) == ("testdb-1-79", 3306, dt.date(2016, 5, 18))
     files = one(spark, H.table_file_parts(F.lit("users.ibd")).alias("a"), H.table_file_parts(F.lit("users#P#p3.ibd")).alias("b"))
     assert tuple(files.a) == ("users", "") and tuple(files.b) == ("users", "p3")
 
@@ -45,9 +45,9 @@ def test_grant(spark):
 
 
 def test_checksum_line(spark):
-    line = "08-30T06:25:33      0      0    28598      60       0   0.547 pbdata04159.userstats"
+    line = "08-30T06:25:33      0      0    28598      60       0   0.547 shard04159.userstats"
     df = spark.createDataFrame([(line,), ("TS ERRORS DIFFS",)], "line string")
-    assert tuple(S.parse_checksum_log(df).first()) == ("08-30T06:25:33", 0, 0, 28598, 60, 0, 0.547, "pbdata04159", "userstats")
+    assert tuple(S.parse_checksum_log(df).first()) == ("08-30T06:25:33", 0, 0, 28598, 60, 0, 0.547, "shard04159", "userstats")
     assert S.parse_checksum_log(df).count() == 1
 
 
