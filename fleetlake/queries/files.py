@@ -73,7 +73,7 @@ def numbered_lines(spark, d):
     # One file per language, in document order, so that line numbers are known.
     ordered = doc.select("lang", "doc_id", F.col("text").alias("value")).repartition("lang").sortWithinPartitions("lang", "doc_id")
     ordered.drop("doc_id").write.partitionBy("lang").text(root)
-    lines = S.number_lines(S.read_lines(spark, root, range_bytes=200 * 1024), slice_bytes=50 * 1024)
+    lines = S.number_lines(S.read_lines(spark, root, range_bytes=200 * 1024))
     return lines.select(F.regexp_extract("path", "lang=([a-z]+)", 1).alias("lang"), "line_no", F.md5("line").alias("line_md5"))
 
 

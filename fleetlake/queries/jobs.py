@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.moments import moment, span
+from ..functions.moments import moment
 from ..operators import lifecycle as Y
 from ..operators import rollups as A
 from ..plans import audits as J
 from ..plans.metrics import as_metrics, rollup
 from ..plans.settings import effective_settings
 from ..registry import query
-from ..session import load, materialize
+from ..session import load
 from ..sinks.files import format_metrics
 from ..sources.logs import parse_engine_status
-from .common import EVENTS_AS_OF, EVENTS_NOW, ORDERS_AS_OF, ORDERS_NOW, SQL_EVENTS, cents, events, sql_cents
+from .common import EVENTS_AS_OF, EVENTS_NOW, ORDERS_AS_OF, ORDERS_NOW, SQL_EVENTS, events
 from .lifecycle import STEPS, steps, SQL_STEPS
 from .logs import SQL_STATUS, status_lines
 from .names import grants
@@ -78,9 +78,6 @@ def schema_line_diff(spark, d):
     return J.drift_audit(definitions(spark, d), F.lit(SEED_DDL))[1]
 
 
-SQL_TEXT_SEED = "'The of' || chr(10) || 'and' || chr(10) || 'id INT'"
-
-
 @query(
     "document_line_diff",
     """WITH t AS (SELECT DISTINCT md5(text) AS hash, text FROM documents),
@@ -158,7 +155,7 @@ SQL_METRICS = f"""
     FROM lines LEFT JOIN supplier ON host = 'host-' || s_suppkey""",
 )
 def metrics_rollup(spark, d):
-    engine = parse_engine_status(status_lines(spark, d), slice_lines=1_000_000).groupBy("path", "metric", "type").agg(F.sum("value").alias("value"))
+    engine = parse_engine_status(status_lines(spark, d)).groupBy("path", "metric", "type").agg(F.sum("value").alias("value"))
     engine = engine.select(F.col("path").alias("host"), F.lit(3306).alias("port"), "metric", "type", "value")
     typed = as_metrics(engine.where("type <> ''"), F.col("metric"), F.col("value"), ["type"])
     plain = as_metrics(engine.where("type = ''"), F.col("metric"), F.col("value"))

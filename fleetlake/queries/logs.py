@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.ordered import number_slice, ordinal
 from ..registry import query
 from ..session import load
 from ..sources import logs as S
@@ -55,11 +56,13 @@ def status_lines(spark, d):
         .when(k < 75, F.format_string("%d read views open inside InnoDB", k))
         .otherwise(F.format_string("History list length %d", a))
     )
-    return e.select(F.concat(F.lit("host-"), "user_id").alias("path"), F.col("event_id").alias("line_no"), line.alias("line"))
+    lines = e.select("user_id", "event_id", line.alias("line"))
+    numbered = ordinal(lines, ["user_id"], ["event_id"], number_slice("event_id", 50_000), "line_no")
+    return numbered.select(F.concat(F.lit("host-"), "user_id").alias("path"), "line_no", "line")
 
 
 SQL_STATUS = f"""
-    e AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM ({SQL_EVENTS})),
+    e AS (SELECT *, lag(event_type) OVER w AS before, row_number() OVER w - 1 AS line_no FROM ({SQL_EVENTS}) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
     m AS (
       SELECT *, unnest([{{'m': 'oswait_array.reservation_count', 't': '', 'v': k}}, {{'m': 'oswait_array.signal_count', 't': '', 'v': amount}}]) AS x FROM e WHERE event_type = 'signup'
       UNION ALL SELECT *, unnest([{{'m': 'locks.spin_waits', 't': 'mutex', 'v': k}}, {{'m': 'locks.rounds', 't': 'mutex', 'v': amount}}, {{'m': 'locks.os_waits', 't': 'mutex', 'v': k + 1}}]) FROM e WHERE event_type = 'view'
@@ -71,9 +74,9 @@ SQL_STATUS = f"""
       UNION ALL SELECT *, {{'m': 'history_list_length', 't': '', 'v': amount}} FROM e WHERE event_type = 'click' AND k >= 75)"""
 
 
-@query("engine_status", f"WITH {SQL_STATUS} SELECT 'host-' || user_id AS path, event_id AS line_no, 'innodb.' || x.m AS metric, x.t AS type, x.v AS value FROM m")
+@query("engine_status", f"WITH {SQL_STATUS} SELECT 'host-' || user_id AS path, line_no, 'innodb.' || x.m AS metric, x.t AS type, x.v AS value FROM m")
 def engine_status(spark, d):
-    return S.parse_engine_status(status_lines(spark, d), slice_lines=5_000)
+    return S.parse_engine_status(status_lines(spark, d))
 
 
 def binlog_lines(spark, d):
@@ -107,7 +110,7 @@ def binlog_starts(spark, d):
     FROM events WHERE event_type NOT IN ('signup', 'error')""",
 )
 def binlog_gtids(spark, d):
-    return S.binlog_gtids(binlog_lines(spark, d), slice_lines=4_000)
+    return S.binlog_gtids(binlog_lines(spark, d))
 
 
 @query(

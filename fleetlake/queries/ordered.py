@@ -12,7 +12,7 @@ from ..operators import ordered as O
 from ..operators import planning as Q
 from ..registry import query
 from ..session import load
-from .common import EVENTS_AS_OF, EVENTS_NOW, ORDERS_AS_OF, ORDERS_NOW, SQL_EVENTS, cents, events, sql_cents
+from .common import EVENTS_AS_OF, EVENTS_NOW, ORDERS_AS_OF, ORDERS_NOW, SQL_EVENTS, events
 from .rollups import SQL_RESTORE_AGE, ages
 
 DAY = 24 * 3600

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.moments import moment, span
+from ..functions.moments import moment
 from ..operators import rollups as A
 from ..operators.percentiles import PERCENTILES, histogram_percentile
 from ..registry import query
 from ..session import load
-from .common import EVENTS_AS_OF, EVENTS_NOW, ORDERS_AS_OF, ORDERS_NOW, SQL_EVENTS, cents, events, sql_cents
+from .common import EVENTS_AS_OF, SQL_EVENTS, cents, events, sql_cents
 
 
 def size_log(spark, d):

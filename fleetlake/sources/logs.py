@@ -1,7 +1,8 @@
 """Tool output as rows.
 
 Every parser takes a DataFrame of lines. Those that look at neighbouring lines also take the
-columns naming the file and ordering its lines, and a slice of that order (see ``ordered``).
+columns naming the file and numbering its lines without gaps (see ``records.number_lines``); they
+join the few lines concerned on the number, so that the others are never shuffled.
 """
 
 from __future__ import annotations
@@ -9,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordered import neighbour, number_slice
-
 # Formats written by the tools whose output is read here.
 CHECKSUM_LINE = (
     r"^(\d+-\d+T\d+:\d+:\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+\.\d+)\s+(.+?)\.(.+)$"
@@ -67,7 +66,6 @@ SERVER_EVENTS = [
     ("A mysqld process already exists", "ERROR"),
 ]
 BACKUP_OK = "completed OK!"
-LINES_PER_SLICE = 1_000_000
 
 
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
@@ -104,23 +102,25 @@ def parse_sync_log(lines: DataFrame, keys: list[str], line: str = "line") -> Dat
     return lines.groupBy(*keys).agg(F.sum(sync_diffs(F.col(line))).cast("long").alias("diff_count"))
 
 
-def parse_engine_status(
-    lines: DataFrame,
-    file: str = "path",
-    order: str = "line_no",
-    line: str = "line",
-    slice_lines: int = LINES_PER_SLICE,
-) -> DataFrame:
+def parse_engine_status(lines: DataFrame, file: str = "path", order: str = "line_no", line: str = "line") -> DataFrame:
     """Storage engine counters as (file, order, metric, type, value).
 
     The first family that matches a line gives its metrics. The insert-buffer family counts
     only on the line after the ``merged operations:`` header.
     """
-    armed = neighbour(lines, [file], [order], number_slice(order, slice_lines), {"before": line})
     text = F.col(line)
-    after_header = F.coalesce(F.col("before").startswith(MERGED_OPERATIONS), F.lit(False))
+    inserts = [f for f in ENGINE_STATUS if f[1][0][0] == "ibuf.inserts"]
+    others = [f for f in ENGINE_STATUS if f not in inserts]
+    headers = lines.where(text.startswith(MERGED_OPERATIONS)).select(file, (F.col(order) + 1).alias(order))
+    after_header = lines.where(text.rlike(inserts[0][0])).join(headers, [file, order], "left_semi")
+    return _engine_metrics(lines, others, file, order, text).unionByName(
+        _engine_metrics(after_header, inserts, file, order, text)
+    )
+
+
+def _engine_metrics(lines: DataFrame, families, file: str, order: str, text: Column) -> DataFrame:
     metrics = None
-    for pattern, outputs in ENGINE_STATUS:
+    for pattern, outputs in families:
         values = F.array(
             *[
                 F.struct(
@@ -132,10 +132,8 @@ def parse_engine_status(
             ]
         )
         hit = text.rlike(pattern)
-        if outputs[0][0] == "ibuf.inserts":
-            hit = hit & after_header
         metrics = F.when(hit, values) if metrics is None else metrics.when(hit, values)
-    rows = armed.select(file, order, F.explode(metrics).alias("m"))
+    rows = lines.select(file, order, F.explode(metrics).alias("m"))
     return rows.select(file, order, "m.metric", "m.type", "m.value")
 
 
@@ -149,27 +147,15 @@ def binlog_starts(lines: DataFrame, file: str = "path", order: str = "line_no",
     return stamps.groupBy(file).agg(F.min_by("ts", order).alias("started"))
 
 
-def binlog_gtids(
-    lines: DataFrame,
-    file: str = "path",
-    order: str = "line_no",
-    line: str = "line",
-    slice_lines: int = LINES_PER_SLICE,
-) -> DataFrame:
+def binlog_gtids(lines: DataFrame, file: str = "path", order: str = "line_no", line: str = "line") -> DataFrame:
     """(file, order, ts, gtid): a commit line's stamp and the id on the line after it."""
-    paired = neighbour(
-        lines, [file], [order], number_slice(order, slice_lines), {"after": line}, following=True
-    )
     text = F.col(line)
-    hit = text.rlike(r"GTID.*commit") & F.col("after").contains("GTID_NEXT")
     stamp = _found(text, r"^#(\d{6} +\d+:\d{2}:\d{2})")
-    ts = F.try_to_timestamp(F.regexp_replace(stamp, " +", " "), F.lit("yyMMdd H:mm:ss"))
-    return paired.where(hit).select(
-        file,
-        order,
-        ts.cast("timestamp_ntz").alias("ts"),
-        F.try_element_at(F.split("after", "'"), F.lit(2)).alias("gtid"),
-    )
+    ts = F.try_to_timestamp(F.regexp_replace(stamp, " +", " "), F.lit("yyMMdd H:mm:ss")).cast("timestamp_ntz")
+    commits = lines.where(text.rlike(r"GTID.*commit")).select(file, order, ts.alias("ts"))
+    gtid = F.try_element_at(F.split(text, "'"), F.lit(2))
+    named = lines.where(text.contains("GTID_NEXT")).select(file, (F.col(order) - 1).alias(order), gtid.alias("gtid"))
+    return commits.join(named, [file, order])
 
 
 def parse_slave_position(text: Column) -> Column:

@@ -12,13 +12,12 @@ import os
 import re
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import typed_field
-from ..operators.ordered import number_slice, ordinal
 
 FORMAT = "fleet_records"
 RANGE_BYTES = 128 * 1024 * 1024
@@ -231,7 +230,8 @@ class RecordReader(DataSourceReader):
         if not isinstance(partition, ByteRange):
             # Without any file there are no ranges to read.
             return
-        names = ["path", "start", "fields" if self.escaped else "value"]
+        names = ["path", "start", "fields"] if self.escaped else ["path", "start", "range_start", "seq", "value"]
+        seq = 0
         for offset, records in self._records(partition):
             steps = np.fromiter(map(len, records), dtype=np.int64, count=len(records)) + 1
             starts = offset + np.cumsum(steps) - steps
@@ -240,16 +240,21 @@ class RecordReader(DataSourceReader):
             for low, high in zip([0, *cuts + 1], [*cuts + 1, len(records)]):
                 if low >= high:
                     continue
+                n = high - low
                 values = pa.array(records[low:high], pa.binary())
+                columns = [pa.array([partition.path] * n, pa.string()), pa.array(starts[low:high])]
                 if self.escaped:
-                    values = split_fields(values)
-                paths = pa.array([partition.path] * (high - low), pa.string())
-                yield pa.RecordBatch.from_arrays([paths, pa.array(starts[low:high]), values], names=names)
+                    columns.append(split_fields(values))
+                else:
+                    place = [np.full(n, partition.start, dtype=np.int64), np.arange(seq, seq + n, dtype=np.int64)]
+                    columns += [*map(pa.array, place), values]
+                    seq += n
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 class RecordSource(DataSource):
-    """``format("fleet_records")``: (path, start, value) per line, or (path, start, fields) per
-    dump record with the option ``escaped``."""
+    """``format("fleet_records")``: (path, start, fields) per dump record, or, without the option
+    ``escaped``, (path, start, range_start, seq, value) per line, ``seq`` counting from 0 in each range."""
 
     @classmethod
     def name(cls):
@@ -257,7 +262,9 @@ class RecordSource(DataSource):
 
     def schema(self):
         escaped = str(self.options.get("escaped", "true")).lower() == "true"
-        return "path string, start bigint, " + ("fields array<binary>" if escaped else "value binary")
+        return "path string, start bigint, " + (
+            "fields array<binary>" if escaped else "range_start bigint, seq bigint, value binary"
+        )
 
     def reader(self, schema):
         return RecordReader(self.options)
@@ -287,9 +294,9 @@ def read_dump(
 
 
 def read_lines(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(path, start, line) of text files; ``start`` is the byte offset, which orders a file's lines."""
+    """(path, start, range_start, seq, line) of text files; ``start`` is the byte offset of a line."""
     records = _records_frame(spark, path, False, range_bytes)
-    return records.select("path", "start", F.decode("value", "UTF-8").alias("line"))
+    return records.withColumn("value", F.decode("value", "UTF-8")).withColumnRenamed("value", "line")
 
 
 def read_markers(spark: SparkSession, path: str) -> DataFrame:
@@ -297,9 +304,17 @@ def read_markers(spark: SparkSession, path: str) -> DataFrame:
     return _records_frame(spark, path, False, markers=True).select("path").distinct()
 
 
-def number_lines(lines: DataFrame, slice_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Add ``line_no`` from 0 per file, counted slice by slice."""
-    return ordinal(lines, ["path"], ["start"], number_slice("start", slice_bytes), "line_no")
+def number_lines(lines: DataFrame) -> DataFrame:
+    """(path, line_no, line), numbered from 0 per file without gaps.
+
+    Lines know their number within the range they were read from. The ranges of a file are
+    counted and summed up, one row each, and added back: the lines themselves are not shuffled.
+    """
+    counts = lines.groupBy("path", "range_start").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("path").orderBy("range_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("path", "range_start", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    numbered = lines.join(before, ["path", "range_start"])
+    return numbered.select("path", (F.col("before") + F.col("seq")).alias("line_no"), "line")
 
 
 def zip_lines(first: DataFrame, second: DataFrame, on: str = "line_no") -> DataFrame:

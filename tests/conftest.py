@@ -15,7 +15,7 @@ def local_session() -> SparkSession:
         SparkSession.builder.master("local[8]")
         .appName("fleetlake-tests")
         .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.session.timeZone", os.environ.get("FLEETLAKE_TZ", "UTC"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")

@@ -144,7 +144,7 @@ def test_line_numbers(spark):
     root = scratch(spark, "lines")
     text = [("\n".join(f"{i}-{'x' * (i % 50)}" for i in range(500)),)]
     spark.createDataFrame(text, "value string").write.text(root)
-    rows = number_lines(read_lines(spark, root, range_bytes=2000), slice_bytes=1000).collect()
+    rows = number_lines(read_lines(spark, root, range_bytes=2000)).collect()
     assert sorted(r.line_no for r in rows) == list(range(500))
     assert all(int(r.line.split("-")[0]) == r.line_no for r in rows)
 
