@@ -37,18 +37,24 @@ def number_slice(value: str | Column, width: int) -> Column:
     return F.call_function("div", col, F.lit(width)).cast("long")
 
 
-def _by_slice(keys: Sequence[str], order: Sequence[Column]):
-    return Window.partitionBy(*keys, SLICE).orderBy(*order)
+def _cut(df: DataFrame, keys: Sequence[str], slice_col: Column) -> DataFrame:
+    """Add the keys and the slice as one struct; as a struct, null keys are equal to each other."""
+    parts = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    return df.withColumn(SLICE, F.struct(*parts, slice_col.alias("at")))
+
+
+def _by_slice(order: Sequence[Column]):
+    return Window.partitionBy(SLICE).orderBy(*order)
 
 
 def _over_slices(keys: Sequence[str], descending: bool = False):
-    order = F.col(SLICE).desc() if descending else F.col(SLICE).asc()
-    window = Window.orderBy(order)
-    return window.partitionBy(*keys) if keys else window
+    at = F.col(SLICE)["at"]
+    window = Window.orderBy(at.desc() if descending else at.asc())
+    return window.partitionBy(*[F.col(SLICE)[f"k{i}"] for i in range(len(keys))]) if keys else window
 
 
-def _attach(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(summary, [*keys, SLICE], "left")
+def _attach(df: DataFrame, summary: DataFrame) -> DataFrame:
+    return df.join(summary, SLICE, "left")
 
 
 def running_total(
@@ -62,20 +68,20 @@ def running_total(
     descending: bool = False,
 ) -> DataFrame:
     """Add running sums, current row included. Rows with equal (order, tie) count one by one."""
-    sliced = df.withColumn(SLICE, slice_col)
+    sliced = _cut(df, keys, slice_col)
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    inside = _by_slice(keys, [direction(c) for c in (order, *tie)]).rowsBetween(
+    inside = _by_slice([direction(c) for c in (order, *tie)]).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     before = _over_slices(keys, descending).rowsBetween(Window.unboundedPreceding, -1)
-    summary = sliced.groupBy(*keys, SLICE).agg(
+    summary = sliced.groupBy(SLICE).agg(
         *[F.sum(value).alias(f"__{out}") for out, value in totals.items()]
     )
     summary = summary.select(
-        *keys, SLICE, *[F.sum(f"__{out}").over(before).alias(f"__{out}") for out in totals]
+        SLICE, *[F.sum(f"__{out}").over(before).alias(f"__{out}") for out in totals]
     )
     local = sliced.withColumns({out: F.sum(value).over(inside) for out, value in totals.items()})
-    joined = _attach(local, summary, keys).withColumns(
+    joined = _attach(local, summary).withColumns(
         {
             out: F.coalesce(F.col(out), F.lit(0)) + F.coalesce(F.col(f"__{out}"), F.lit(0))
             for out in totals
@@ -93,12 +99,12 @@ def ordinal(
     start: int = 0,
 ) -> DataFrame:
     """Number rows of a key in order, from ``start``. ``slice_col`` must not fall as order grows."""
-    sliced = df.withColumn(SLICE, slice_col)
-    inside = _by_slice(keys, [F.col(c) for c in order])
+    sliced = _cut(df, keys, slice_col)
+    inside = _by_slice([F.col(c) for c in order])
     before = _over_slices(keys).rowsBetween(Window.unboundedPreceding, -1)
-    summary = sliced.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("__n"))
-    summary = summary.select(*keys, SLICE, F.sum("__n").over(before).alias("__n"))
-    joined = _attach(sliced.withColumn(out, F.row_number().over(inside)), summary, keys)
+    summary = sliced.groupBy(SLICE).agg(F.count(F.lit(1)).alias("__n"))
+    summary = summary.select(SLICE, F.sum("__n").over(before).alias("__n"))
+    joined = _attach(sliced.withColumn(out, F.row_number().over(inside)), summary)
     number = F.col(out) + F.coalesce(F.col("__n"), F.lit(0)) + F.lit(start - 1)
     return joined.withColumn(out, number.cast("long")).drop(SLICE, "__n")
 
@@ -113,8 +119,8 @@ def neighbour(
     following: bool = False,
 ) -> DataFrame:
     """Add columns of the row just before (or after) within the key: ``{new name: source column}``."""
-    sliced = df.withColumn(SLICE, slice_col)
-    inside = _by_slice(keys, [F.col(c) for c in order])
+    sliced = _cut(df, keys, slice_col)
+    inside = _by_slice([F.col(c) for c in order])
     packed = F.struct(*[F.col(src).alias(out) for out, src in columns.items()])
     position = F.struct(*[F.col(c) for c in order])
     if following:
@@ -123,9 +129,9 @@ def neighbour(
     else:
         local, edge = F.lag(packed).over(inside), F.max_by(packed, position)
         across = F.lag("__edge").over(_over_slices(keys))
-    summary = sliced.groupBy(*keys, SLICE).agg(edge.alias("__edge"))
-    summary = summary.select(*keys, SLICE, across.alias("__edge"))
-    joined = _attach(sliced.withColumn("__near", local), summary, keys)
+    summary = sliced.groupBy(SLICE).agg(edge.alias("__edge"))
+    summary = summary.select(SLICE, across.alias("__edge"))
+    joined = _attach(sliced.withColumn("__near", local), summary)
     found = F.coalesce(F.col("__near"), F.col("__edge"))
     return joined.withColumns({out: found[out] for out in columns}).drop(SLICE, "__near", "__edge")
 
@@ -139,27 +145,26 @@ def carry_last(
 ) -> DataFrame:
     """Add, per new column, the last non-null value up to and including the current row."""
     staged = {f"__v_{out}": value for out, value in columns.items()}
-    sliced = df.withColumn(SLICE, slice_col).withColumns(staged)
-    inside = _by_slice(keys, [F.col(c) for c in order]).rowsBetween(
+    sliced = _cut(df, keys, slice_col).withColumns(staged)
+    inside = _by_slice([F.col(c) for c in order]).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     before = _over_slices(keys).rowsBetween(Window.unboundedPreceding, -1)
     position = F.struct(*[F.col(c) for c in order])
-    summary = sliced.groupBy(*keys, SLICE).agg(
+    summary = sliced.groupBy(SLICE).agg(
         *[
             F.max_by(f"__v_{out}", F.when(F.col(f"__v_{out}").isNotNull(), position)).alias(f"__s_{out}")
             for out in columns
         ]
     )
     summary = summary.select(
-        *keys,
         SLICE,
         *[F.last(f"__s_{out}", ignorenulls=True).over(before).alias(f"__s_{out}") for out in columns],
     )
     local = sliced.withColumns(
         {f"__v_{out}": F.last(f"__v_{out}", ignorenulls=True).over(inside) for out in columns}
     )
-    joined = _attach(local, summary, keys).withColumns(
+    joined = _attach(local, summary).withColumns(
         {out: F.coalesce(F.col(f"__v_{out}"), F.col(f"__s_{out}")) for out in columns}
     )
     return joined.drop(SLICE, *[f"__{kind}_{out}" for out in columns for kind in "vs"])
@@ -203,14 +208,14 @@ def asof_join(
         rank.alias("__tie"),
         F.lit(0).alias("__side"),
     )
-    line = left_side.unionByName(right_side).withColumn(SLICE, slice_of(F.col("__at")))
+    line = _cut(left_side.unionByName(right_side), keys, slice_of(F.col("__at")))
     value = F.col("__right")
     # Rows are read towards the probe, so that the last right row seen is the nearest one; a frame
     # that looks ahead would be computed anew for every row. Of right rows at one position the
     # smallest tie comes last. Right rows of a position come before its probes.
     at = F.col("__at").desc() if forward else F.col("__at").asc()
     order = [at, F.col("__side"), F.col("__tie").desc()]
-    seen = _by_slice(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = _by_slice(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = F.last(value, ignorenulls=True).over(seen)
     if forward:
         edge = F.min_by(value, F.when(value.isNotNull(), F.struct("__at", "__tie")))
@@ -219,10 +224,10 @@ def asof_join(
         edge = F.max_by(value, F.when(value.isNotNull(), position))
     passed = _over_slices(keys, forward).rowsBetween(Window.unboundedPreceding, -1)
     carry = F.last("__edge", ignorenulls=True).over(passed)
-    summary = line.groupBy(*keys, SLICE).agg(edge.alias("__edge"))
-    summary = summary.select(*keys, SLICE, carry.alias("__edge"))
+    summary = line.groupBy(SLICE).agg(edge.alias("__edge"))
+    summary = summary.select(SLICE, carry.alias("__edge"))
     probes = line.withColumn("__near", local).where(F.col("__left").isNotNull())
-    joined = _attach(probes, summary, keys)
+    joined = _attach(probes, summary)
     found = F.coalesce(F.col("__near"), F.col("__edge"))
     return joined.select("__left.*", *[found[c].alias(c) for c in columns])
 

@@ -34,11 +34,16 @@ class ByteRange(InputPartition):
 
 
 def _file_system(path: str):
+    """Arrow file system and plain path of a path or URI as Spark writes them."""
     from pyarrow import fs
 
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), os.path.abspath(path)
+    scheme, _, rest = path.partition(":")
+    if not rest or "/" in scheme:
+        return fs.LocalFileSystem(), os.path.abspath(path)
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    # Hadoop's names for S3 clients are all plain S3 here.
+    return fs.FileSystem.from_uri(("s3" if scheme in ("s3a", "s3n") else scheme) + ":" + rest)
 
 
 # Inside a task, an escaped backslash, tab or line feed is written as a backslash and one of

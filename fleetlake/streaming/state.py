@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.hosts import pair_identity
 from ..operators.latest import first_per_key
 from ..operators.mining import mine_pairs
 from ..session import scratch, shared_root
@@ -83,7 +83,7 @@ def resumable_mining(pairs: DataFrame, a: str, b: str, names: tuple[str, str], r
     start anew. Each pair is mined exactly once, whatever fails in between.
     """
     spark: SparkSession = pairs.sparkSession
-    identity = spark.range(1).select(pair_identity(F.lit(names[0]), F.lit(names[1]))).first()[0]
+    identity = hashlib.md5("".join(names).encode()).hexdigest()
     base = f"{(root or shared_root(spark)).rstrip('/')}/mining-{identity}"
     mined = mine_pairs(pairs, a, b)
     run_available(mined, f"{base}/substrings", f"{base}/checkpoint")

@@ -15,8 +15,8 @@ from fleetlake.operators import ordered as O
 @pytest.fixture(scope="module")
 def line(spark):
     rng = random.Random(4)
-    # One key holds most rows.
-    rows = [(0 if rng.random() < 0.7 else rng.randint(1, 5), i, rng.randint(0, 400), None if rng.random() < 0.4 else rng.randint(0, 99)) for i in range(600)]
+    # One key holds half of the rows; null is a key like any other.
+    rows = [(rng.choice([0, 0, None]) if rng.random() < 0.7 else rng.randint(1, 5), i, rng.randint(0, 400), None if rng.random() < 0.4 else rng.randint(0, 99)) for i in range(600)]
     return spark.createDataFrame(rows, "key int, id int, at int, v int").cache()
 
 

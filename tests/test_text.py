@@ -14,7 +14,7 @@ from fleetlake.functions.moments import moment
 from fleetlake.functions.text import ONE_BYTE, null_escape
 from fleetlake.session import scratch
 from fleetlake.sinks.export import export_table
-from fleetlake.sources.records import number_lines, range_records, read_dump, read_lines, read_records, split_fields
+from fleetlake.sources.records import _file_system, number_lines, range_records, read_dump, read_lines, read_records, split_fields
 
 VECTORS = [
     ("5c30", "00"),
@@ -155,3 +155,21 @@ def test_unreadable_record_is_an_error(spark):
     schema = T.StructType().add("a", "string").add("b", "string")
     with pytest.raises(Exception):
         read_dump(spark, root, schema).collect()
+
+
+def test_paths_as_spark_writes_them():
+    for path in ("/tmp/a b", "file:/tmp/a b", "file:///tmp/a b"):
+        assert _file_system(path)[1] == "/tmp/a b"
+
+
+def test_dump_under_a_file_uri(spark, tmp_path):
+    root = f"file:{tmp_path}/dump"
+    df = spark.range(10).select("id", F.col("id").cast("string").alias("t"))
+    export_table(df, root, "ns", "db", "t", moment("2024-01-31 03:00:00"))
+    assert sorted(map(tuple, read_dump(spark, root, df.schema).collect())) == [(i, str(i)) for i in range(10)]
+
+
+def test_truncated_last_record_is_read(spark, tmp_path):
+    (tmp_path / "d.txt").write_bytes(b"1\ta\n2\tb")
+    got = read_dump(spark, str(tmp_path), T.StructType().add("a", "integer").add("b", "string")).collect()
+    assert sorted(map(tuple, got)) == [(1, "a"), (2, "b")]
