@@ -33,8 +33,8 @@ def dumped(spark, df, part=None, compression="none"):
 @query("dump_round_trip", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def dump_round_trip(spark, d):
     doc = load(spark, d, "documents")
-    # Ranges far below the default, so that records are cut everywhere.
-    return S.read_dump(spark, dumped(spark, doc), doc.schema, range_bytes=1024 * 1024)
+    # Ranges below the default, so that a file of this size is cut.
+    return S.read_dump(spark, dumped(spark, doc), doc.schema, range_bytes=4 * 1024 * 1024)
 
 
 @query(

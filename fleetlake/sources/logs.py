@@ -73,19 +73,18 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def _groups(text: Column, pattern: str, n: int) -> Column:
-    """All groups of a pattern that covers the whole text, by one pass of it; null without a match."""
+    """All groups of a pattern that matches the whole text, by one pass of it."""
     mark = "\x01"
-    marked = F.regexp_replace(text, pattern, mark.join(f"${i}" for i in range(1, n + 1)))
-    groups = F.split(marked, mark, n)
-    return F.when((F.size(groups) == n) & (marked != text), groups)
+    return F.split(F.regexp_replace(text, pattern, mark.join(f"${i}" for i in range(1, n + 1))), mark, n)
 
 
 def parse_checksum_log(lines: DataFrame, line: str = "line") -> DataFrame:
     """Result lines of a table checksum run; other lines are dropped."""
     kept = [c for c in lines.columns if c != line]
-    found = lines.select(*kept, _groups(F.col(line), CHECKSUM_LINE, len(CHECKSUM_FIELDS)).alias("__g"))
+    results = lines.where(F.col(line).rlike(CHECKSUM_LINE))
+    found = results.select(*kept, _groups(F.col(line), CHECKSUM_LINE, len(CHECKSUM_FIELDS)).alias("__g"))
     fields = [F.col("__g")[i].cast(kind).alias(name) for i, (name, kind) in enumerate(CHECKSUM_FIELDS.items())]
-    return found.where("__g IS NOT NULL").select(*kept, *fields)
+    return found.select(*kept, *fields)
 
 
 def sync_diffs(line: Column) -> Column:
