@@ -99,7 +99,7 @@ def listing(spark, d):
 
 @query(
     "listing_filters",
-    f"""SELECT event_id, amount > 5000 AS backup, amount > 0 AS export, false AS garbage FROM ({SQL_EVENTS}) WHERE k >= 5
+    f"""SELECT event_id, amount > 5000 AS backup, amount > 0 AS export, amount = 0 AND user_id % 2 = 0 AS garbage FROM ({SQL_EVENTS}) WHERE k >= 5
     UNION ALL SELECT event_id, false, false, user_id % 2 = 0 FROM ({SQL_EVENTS}) WHERE k < 5""",
 )
 def listing_filters(spark, d):

@@ -16,10 +16,11 @@ EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type s
 
 
 def event_stream(spark, d):
-    """The events file as a stream; a real folder delivers many files, a few per batch."""
-    raw = (
-        spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 64).parquet(d)
-    )
+    """The events table as a stream; a folder of files is delivered a few files per batch.
+
+    The path is a pattern, which a stream source takes for one file as well as for a folder.
+    """
+    raw = spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 64).parquet(f"{d}/events.parque[t]")
     return raw.withColumns({"k": F.get_json_object("props", "$.k").cast("long"), "amount": cents("value")})
 
 
