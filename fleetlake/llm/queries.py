@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..session import load
-from . import bpe, html, language, quality
+from . import bpe, chat, html, language, quality, secret_scan, vectors
 
 
 def ranks_path() -> str:
@@ -24,6 +24,23 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+@query("op1_secret_scan")
+def op1_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    found = secret_scan.scan(load(spark, d, "documents").select("doc_id", "text"))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(secret_scan.render(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.render(F.col("spans")).alias("spans"),
+    )
+
+
 @query("op2_byte_bpe")
 def op2_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents").select("doc_id", "text")
@@ -37,6 +54,61 @@ def op2_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+CHAT_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), placed AS (
+  SELECT *, row_number() OVER w AS place, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS trained,
+         length(text) + length(role) + 24
+           + len(regexp_extract_all(text, '(<)(\\*)(\|[A-Za-z0-9_]+\|>|/?s>|</?SYS>>)|(\[)(\\*)(/?INST\])')) AS written
+  FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), counted AS (
+  SELECT *, sum(trained) OVER (PARTITION BY conv_id ORDER BY place DESC) AS replies,
+         last_value(trained) OVER (PARTITION BY conv_id ORDER BY place
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS closed
+  FROM placed
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+       coalesce(sum(CASE WHEN trained = 1 THEN length(text) END), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN trained = 1 THEN text END, '' ORDER BY place), '')) AS loss_sha256,
+       sum(written * (replies + 1 - closed))::BIGINT AS formatted_chars
+FROM counted GROUP BY conv_id
+"""
+
+
+@query("op3_chat_format", CHAT_SQL)
+def op3_chat_format(spark: SparkSession, d: str) -> DataFrame:
+    turns = load(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], turns.schema)
+    made = chat.examples(turns.union(more)).withColumn(
+        "reply", F.struct("example", chat.masked(F.col("formatted"), F.col("loss_start"), F.col("loss_length")).alias("t"))
+    )
+    whole = made.groupBy("conv_id").agg(
+        chat.read_back(F.max_by("formatted", "example")).alias("turns"),
+        F.array_join(F.transform(F.sort_array(F.collect_list("reply")), lambda r: r["t"]), "").alias("loss"),
+        F.sum(F.length("formatted")).alias("formatted_chars"),
+    )
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return whole.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+@query("op4_nearest_vectors")
+def op4_nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "embeddings").select("vec_id", "embedding")
+    return vectors.nearest(rows, F.col("vec_id") % 100 == 0, k=10)
+
+
 @query("op5_language_id")
 def op5_language_id(spark: SparkSession, d: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
