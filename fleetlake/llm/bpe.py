@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words that a task remembers at most before it starts anew, and the longest it remembers.
-REMEMBERED, REMEMBERED_LENGTH = 1 << 19, 64
+REMEMBERED, REMEMBERED_LENGTH = 1 << 17, 64
 #: Pieces of up to two to this power bytes, and one, are merged together; longer ones one by one.
 TOGETHER_BITS = 6
 #: Letters of text that are encoded together.
-PORTION = 1 << 22
+PORTION = 1 << 20
 NONE = 1 << 62
 
 

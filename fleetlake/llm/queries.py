@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..session import load
-from . import bpe, chat, html, language, quality, secret_scan, vectors
+from . import bpe, chat, html, language, line_dedup, mixing, near_dedup, quality, secret_scan, vectors
 
 
 def ranks_path() -> str:
@@ -123,11 +123,28 @@ def op5_language_id(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("op6_line_dedup")
+def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    return line_dedup.cut(docs).select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), "text")
+
+
+@query("op7_mix_sources")
+def op7_mix_sources(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.amounts(load(spark, d, "documents").select("doc_id", "text", "source"))
+
+
 @query("op8_quality_rules")
 def op8_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality.judge(load(spark, d, "documents").select("doc_id", "text")).select("doc_id", "quality.*")
 
 
+@query("op9_near_dedup")
+def op9_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    return near_dedup.groups(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query("op10_html_main_text")
 def op10_html_main_text(spark: SparkSession, d: str) -> DataFrame:
     pages = load(spark, d, "pages").select("page_id", "url", "html")
