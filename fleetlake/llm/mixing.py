@@ -83,8 +83,8 @@ def draws(slots: list[int], shards: int, seed: int) -> np.ndarray:
 
 
 def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """A keyed permutation of 0..size-1 applied to ``index``: a four-round Feistel network that walks
-    its cycle until it is inside the range."""
+    """A keyed permutation of 0..size-1 applied to ``index``, which has to be inside: a four-round
+    Feistel network that walks its cycle until it is inside again."""
     bits = np.maximum(np.ceil(np.log2(np.maximum(size, 2)) / 2), 1).astype(np.uint64)
     mask = (np.uint64(1) << bits) - np.uint64(1)
     out = index.astype(np.uint64)
@@ -146,7 +146,12 @@ def slots(rows: DataFrame, plan: list[tuple], source: str, block: int = BLOCK, s
             "block",
             F.when(
                 F.col("place") < F.col("whole"),
-                place("place", F.greatest("whole", F.lit(1)), F.xxhash64(F.lit(seed), "number", "pass")),
+                # Python sees every row, so a place outside the permutation is moved into it.
+                place(
+                    F.least("place", F.greatest(F.col("whole") - 1, F.lit(0))),
+                    F.greatest("whole", F.lit(1)),
+                    F.xxhash64(F.lit(seed), "number", "pass"),
+                ),
             ).otherwise(F.col("whole")),
         )
         .withColumn("full", F.least(F.lit(block), F.col("size") - F.col("block") * block))
