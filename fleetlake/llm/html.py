@@ -172,15 +172,16 @@ def content(page: str | None) -> str:
     def ratio(values: np.ndarray) -> np.ndarray:
         """The path's mean, for each of its blocks."""
         out = np.empty(len(found))
-        for own in paths.values():
-            out[own] = values[own].mean()
+        for places in paths.values():
+            out[places] = values[places].mean()
         return out
 
     def smooth(values: np.ndarray) -> np.ndarray:
         padded = np.concatenate([values[:1], values, values[-1:]])
         return sum(w * padded[k : k + len(values)] for k, w in enumerate(SMOOTHING))
 
-    score = smooth(ratio(length)) * (1 + smooth(ratio(marks)))  # text and punctuation, fused
+    own = ratio(length)
+    score = np.sqrt(own * smooth(own)) * (1 + smooth(ratio(marks)))  # text and punctuation, fused
     score /= max(float(score.max()), 1e-12)
     main = np.array([block[2] for block in found])
     score = 0.99 * ratio(score) + main  # inside a named main text every path passes, outside none

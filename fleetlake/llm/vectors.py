@@ -135,7 +135,7 @@ def best_of_block(vectors: pa.Table, queries: pa.Table, k: int, centre: np.ndarr
         near = exact(first)
         limit = np.sort(near)[min(k, some) - 1] if some >= k else np.inf
         low = np.where(other, squared(dot + error), np.inf)
-        at = np.flatnonzero(low <= limit**2 * (1 + 1e-9) + 1e-12)
+        at = np.flatnonzero(other & (low <= limit**2 * (1 + 1e-9) + 1e-12))
         at = np.union1d(at, first)
         score = exact(at)
         best = np.lexsort((place[at], score))[:k]
