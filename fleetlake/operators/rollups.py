@@ -80,9 +80,12 @@ def user_activity(stats: DataFrame, counters: Sequence[str], keys: Sequence[str]
 
 
 def replicas_in_sync(status: DataFrame, keys: Sequence[str] = ("replica_set",)) -> DataFrame:
-    """Whether all replicas of a set are at one (log, position)."""
+    """Whether all replicas of a set are at one (log, position); one without a position is not."""
     same = (F.min("log") == F.max("log")) & (F.min("pos") == F.max("pos"))
-    return status.groupBy(*keys).agg(F.count(F.lit(1)).alias("replicas"), same.alias("in_sync"))
+    known = F.count_if(F.col("log").isNull() | F.col("pos").isNull()) == 0
+    return status.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("replicas"), F.coalesce(known & same, F.lit(False)).alias("in_sync")
+    )
 
 
 def schema_drift(definitions: DataFrame, seed: Column) -> DataFrame:
@@ -166,20 +169,22 @@ def _rates(stats: DataFrame, keys: Sequence[str], seconds: int | Column) -> Data
 
 
 def user_rates(stats: DataFrame, seconds: int, user: str = "user") -> DataFrame:
-    """(user, metric, value): every numeric counter per second; other columns are left out."""
+    """(user, metric, value): every numeric counter per second; fractions of counters are cut off.
+
+    Columns that are no numbers are left out.
+    """
     counters = [c for c in stats.columns if c != user]
     long = stats.select(
         F.regexp_replace(user, "[^a-zA-Z0-9_]", "").alias("user"),
         *[F.col(c).cast("string").alias(c) for c in counters],
     ).unpivot(["user"], counters, "metric", "text")
-    value = whole(F.col("text").try_cast("bigint"), seconds)
+    value = whole(F.col("text").try_cast("decimal(38,9)").cast("bigint"), seconds)
     return long.select("user", "metric", value.alias("value")).where("value IS NOT NULL")
 
 
 def global_status_metrics(variables: DataFrame) -> DataFrame:
-    """(metric, value) of the variables that are numbers, names in lower case."""
-    text = F.col("value")
-    number = F.when(text.contains("."), text.try_cast("double")).otherwise(text.try_cast("bigint").cast("double"))
+    """(metric, value) of the variables that are numbers, names in lower case; values are exact."""
+    number = F.col("value").try_cast("decimal(38,9)")
     return variables.select(F.lower("name").alias("metric"), number.alias("value")).where("value IS NOT NULL")
 
 
@@ -205,9 +210,11 @@ def writes_after_quiesce(activity: DataFrame) -> DataFrame:
     return changed.where("rows_changed <> 0")
 
 
-def variables_map(variables: DataFrame, names: Sequence[str], key: str = "instance") -> DataFrame:
-    """(instance, variables): a map of the named settings, from one row per setting."""
-    entries = []
-    for name in names:
-        entries += [F.lit(name), F.max(F.when(F.col("name") == name, F.col("value")))]
-    return variables.groupBy(key).agg(F.create_map(*entries).alias("variables"))
+def variables_map(variables: DataFrame, key: str = "instance") -> DataFrame:
+    """(instance, variables): a map of all settings, from one row per setting.
+
+    A server has some hundreds of settings; of a setting given twice the greater value stays.
+    """
+    single = variables.groupBy(key, "name").agg(F.max("value").alias("value"))
+    entries = F.sort_array(F.collect_list(F.struct("name", "value")))
+    return single.groupBy(key).agg(F.map_from_entries(entries).alias("variables"))

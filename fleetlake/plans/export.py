@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.filters import select_for_export
 from ..session import materialize
-from ..sinks.export import export_schema, export_table
+from ..sinks.export import export_definitions, export_table
 
 
 def export_run(
@@ -18,7 +18,8 @@ def export_run(
 
     ``rows`` holds the rows of all tables, ``table_column`` says of which. The export filters
     and writes in one pass: the choice is a short list of tables that joins the rows, and each
-    table becomes a folder of the layout. The schema goes to ``_schema`` beside the data.
+    table becomes a folder of the layout. Running it again replaces the day's folders. Each chosen
+    table's definition goes to ``_schema`` beside the data.
     """
     names = rows.select(F.col(table_column).alias("t")).distinct()
     parts = names.select(
@@ -28,9 +29,11 @@ def export_run(
         F.lit(0).alias("position"),
     )
     chosen = materialize(select_for_export(parts, rules), "chosen")
-    wanted = chosen.select(F.substring_index("full_name", ".", -1).alias(table_column)).distinct()
+    # Names may hold dots, so a name is not taken back from the full one.
+    full = names.select(F.col("t").alias(table_column), F.concat_ws(".", F.lit(db), "t").alias("full_name"))
+    wanted = full.join(chosen, "full_name", "left_semi").select(table_column)
     kept = rows.join(wanted, table_column, "left_semi").select(*rows.columns)
-    export_schema(rows, f"{root}/_schema", db, table_column)
+    export_definitions(wanted, table_column, rows.drop(table_column), f"{root}/_schema", db)
     # The table's name is a column of the rows, so one write files every table in its own folder.
     export_table(kept, root, host.rsplit("-", 1)[0], db, F.col(table_column), run_at, part)
     return chosen

@@ -14,19 +14,24 @@ from .common import EVENTS_AS_OF, EVENTS_NOW, SQL_EVENTS, events
 STEPS = ("signup", "view", "purchase")
 
 
-def steps(spark, d):
-    """Users as servers, three kinds of events as retirement steps; each step's last time counts."""
-    e = load(spark, d, "events").where(F.col("event_type").isin(*STEPS) & ((F.col("event_type") == "signup") | (F.col("value") > 140)))
-    log = e.groupBy("user_id", "event_type").agg(F.max("ts").alias("happened"))
-    return log.select(
+def step_events(e):
+    """Users as servers, events as activities: some views and purchases are steps, other events are none."""
+    step = (F.col("event_type") == "signup") | (F.col("event_id") % 40 == 0)
+    return e.select(
         F.concat(F.lit("host-"), F.col("user_id")).alias("hostname"), F.concat(F.lit("i-"), F.col("user_id") % 140).alias("instance_id"),
-        F.col("event_type").alias("activity"), "happened",
+        F.when(step, F.col("event_type")).otherwise("none").alias("activity"), "ts",
     )
 
 
+def steps(spark, d):
+    """Each step's last time counts."""
+    log = step_events(load(spark, d, "events"))
+    return log.groupBy("hostname", "instance_id", "activity").agg(F.max("ts").alias("happened"))
+
+
 SQL_STEPS = f"""
     l AS (SELECT 'host-' || user_id AS hostname, 'i-' || (user_id % 140) AS instance_id, max(ts) FILTER (WHERE event_type = 'signup') AS r,
-      max(ts) FILTER (WHERE event_type = 'view' AND value > 140) AS s, max(ts) FILTER (WHERE event_type = 'purchase' AND value > 140) AS t FROM events GROUP BY user_id),
+      max(ts) FILTER (WHERE event_type = 'view' AND event_id % 40 = 0) AS s, max(ts) FILTER (WHERE event_type = 'purchase' AND event_id % 40 = 0) AS t FROM events GROUP BY user_id),
     states AS (SELECT hostname, instance_id, coalesce(s, r) AS happened, CASE
       WHEN s IS NULL AND r > {EVENTS_NOW} - INTERVAL 18 HOUR THEN 'ADDED' WHEN s IS NULL AND r > {EVENTS_NOW} - INTERVAL 21 DAY THEN 'READY_FOR_MYSQL_SHUTDOWN'
       WHEN t IS NULL AND s > {EVENTS_NOW} - INTERVAL 18 HOUR THEN 'MYSQL_SHUTDOWN' WHEN t IS NULL AND s > {EVENTS_NOW} - INTERVAL 21 DAY THEN 'READY_FOR_TERMINATION' END AS state FROM l)"""
@@ -95,7 +100,11 @@ def lease_conflicts(spark, d):
 
 
 def locks(spark, d):
-    e = events(spark, d)
+    return lock_events(events(spark, d))
+
+
+def lock_events(e):
+    """Events as changes of locks, two a lock: taken, then extended or released."""
     return e.select(
         F.concat(F.lit("lock-"), F.floor(F.col("event_id") / 2).cast("long")).alias("lock_identifier"),
         F.when((F.col("event_id") % 2 == 0) | (F.col("k") < 90), "active").alias("lock_active"),

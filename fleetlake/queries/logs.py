@@ -82,13 +82,14 @@ def engine_status(spark, d):
 def binlog_lines(spark, d):
     """Decoded binlogs, one per user: a header, then commit lines and the id lines after them."""
     e = events(spark, d)
-    stamp = F.date_format("ts", "yyMMdd HH:mm:ss")
+    # Hours are padded with a blank.
+    stamp = F.concat(F.date_format("ts", "yyMMdd "), F.lpad(F.date_format("ts", "H"), 2, " "), F.date_format("ts", ":mm:ss"))
     path = F.concat(F.lit("mysql-bin."), "user_id").alias("path")
     rows = e.select(
         path, "event_type",
         F.explode(
             F.array(
-                F.struct(F.lit(0).alias("i"), F.when(F.col("event_type") == "signup", F.concat(F.lit("#"), stamp, F.lit(" server id 1 end_log_pos 120 Start: binlog v 4, server v 5.6 created "), stamp))
+                F.struct(F.lit(0).alias("i"), F.when(F.col("event_type") == "signup", F.concat(F.lit("#"), stamp, F.lit(" server id 1 end_log_pos 120 Start: binlog v 4, server v 5.6 created "), stamp, F.lit(" at startup")))
                          .otherwise(F.concat(F.lit("#"), stamp, F.lit(" server id 1  end_log_pos 4 GTID [commit=yes]"))).alias("line")),
                 F.struct(F.lit(1).alias("i"), F.when(F.col("event_type") == "error", "COMMIT")
                          .otherwise(F.format_string("SET @@SESSION.GTID_NEXT= 'uuid-%d:%d'/*!*/;", "user_id", "event_id")).alias("line")),

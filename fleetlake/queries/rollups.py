@@ -96,12 +96,13 @@ def user_activity(spark, d):
 
 @query(
     "replicas_in_sync",
-    "SELECT o_custkey AS replica_set, count(*) AS replicas, count(DISTINCT (o_orderstatus, o_orderkey % 2)) = 1 AS in_sync FROM orders GROUP BY 1",
+    """SELECT o_custkey AS replica_set, count(*) AS replicas,
+      count(DISTINCT (o_orderstatus, o_orderkey % 2)) = 1 AND count(*) FILTER (WHERE o_orderkey % 7 = 3) = 0 AS in_sync FROM orders GROUP BY 1""",
 )
 def replicas_in_sync(spark, d):
     o = load(spark, d, "orders")
     return A.replicas_in_sync(
-        o.select(F.col("o_custkey").alias("replica_set"), F.col("o_orderstatus").alias("log"), (F.col("o_orderkey") % 2).alias("pos"))
+        o.select(F.col("o_custkey").alias("replica_set"), F.col("o_orderstatus").alias("log"), F.when(F.col("o_orderkey") % 7 != 3, F.col("o_orderkey") % 2).alias("pos"))
     )
 
 
@@ -240,22 +241,24 @@ def schema_rates(spark, d):
 @query(
     "user_rates",
     f"""WITH u AS (SELECT event_type || user_id AS "user", CAST(sum(k) AS BIGINT) AS k, CAST(sum(amount) AS BIGINT) AS amount FROM ({SQL_EVENTS}) GROUP BY 1)
-    SELECT "user", 'k' AS metric, k // 5 AS value FROM u UNION ALL SELECT "user", 'amount', amount // 5 FROM u""",
+    SELECT "user", 'k' AS metric, k // 5 AS value FROM u UNION ALL SELECT "user", 'amount', amount // 5 FROM u
+    UNION ALL SELECT "user", 'busy', amount // 100 // 5 FROM u""",
 )
 def user_rates(spark, d):
     e = events(spark, d).withColumn("user", F.concat("event_type", F.lit("@%-"), "user_id"))
     counted = A.user_activity(e.withColumn("label", F.col("event_type")), ["k", "amount"], ["user", "label"])
-    return A.user_rates(counted, 5)
+    # Busy time has fractions, like 12.50.
+    return A.user_rates(counted.withColumn("busy", (F.col("amount") / F.lit(100).cast("decimal(3,0)")).cast("decimal(20,2)")), 5)
 
 
 @query(
     "global_status_metrics",
-    f"""SELECT lower(event_type) || event_id AS metric, CAST(CASE WHEN event_type = 'view' THEN CAST(k AS VARCHAR) ELSE CAST(value AS VARCHAR) END AS DOUBLE) AS value
+    f"""SELECT lower(event_type) || event_id AS metric, CASE WHEN event_type = 'view' THEN CAST(k + 9007199254740993 AS DECIMAL(38,9)) ELSE CAST(CAST(value AS VARCHAR) AS DECIMAL(38,9)) END AS value
     FROM ({SQL_EVENTS}) WHERE event_type <> 'error'""",
 )
 def global_status_metrics(spark, d):
     e = events(spark, d)
-    text = F.when(F.col("event_type") == "error", "OFF").when(F.col("event_type") == "view", F.col("k").cast("string")).otherwise(F.col("value").cast("string"))
+    text = F.when(F.col("event_type") == "error", "OFF").when(F.col("event_type") == "view", (F.col("k") + 9007199254740993).cast("string")).otherwise(F.col("value").cast("string"))
     return A.global_status_metrics(e.select(F.concat(F.upper("event_type"), "event_id").alias("name"), text.alias("value")))
 
 
@@ -277,13 +280,11 @@ def writes_after_quiesce(spark, d):
 
 @query(
     "variables_map",
-    f"""SELECT user_id AS instance, max(k) FILTER (WHERE event_type = 'view') AS "view", max(k) FILTER (WHERE event_type = 'click') AS click
-    FROM ({SQL_EVENTS}) GROUP BY 1""",
+    f"SELECT user_id AS instance, event_type AS name, max(k) AS value FROM ({SQL_EVENTS}) GROUP BY 1, 2",
 )
 def variables_map(spark, d):
     e = events(spark, d).select(F.col("user_id").alias("instance"), F.col("event_type").alias("name"), F.col("k").alias("value"))
-    m = A.variables_map(e, ["view", "click"])
-    return m.select("instance", F.col("variables")["view"].alias("view"), F.col("variables")["click"].alias("click"))
+    return A.variables_map(e).select("instance", F.explode("variables").alias("name", "value"))
 
 
 @query(

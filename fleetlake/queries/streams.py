@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.moments import moment
 from ..registry import query
 from ..session import load, scratch
 from ..sinks.upsert import KeyedTable
 from ..sources.changes import read_change_stream
 from ..streaming import state as U
 from ..streaming import windows as V
-from .common import EVENTS_NOW, SQL_EVENTS, cents
+from .common import EVENTS_AS_OF, SQL_EVENTS, cents
+from .lifecycle import SQL_LOCKS, SQL_STEPS, STEPS, lock_events, step_events
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -86,41 +88,36 @@ def late_metrics(spark, d):
     return U.collect_stream(V.late_metrics(event_stream(spark, d), ["event_type"], "ts", 3600, "30 minutes"), "late")
 
 
-@query(
-    "active_locks_stream",
-    f"""SELECT user_id, event_id, ts AS created_at, event_type FROM events
-    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1 AND ts > {EVENTS_NOW} - INTERVAL 12 HOUR""",
-)
+@query("active_locks_stream", f"WITH {SQL_LOCKS} SELECT lock_identifier, created_at, expires, replica_set FROM s WHERE state = 'active'")
 def active_locks_stream(spark, d):
-    table = KeyedTable(spark, scratch(spark, "locks"), ["user_id"], ["created_at"], buckets=8)
-    stream = event_stream(spark, d).select("user_id", "event_id", F.col("ts").alias("created_at"), "event_type")
-    U.active_locks_stream(stream, table, scratch(spark, "locks-checkpoint"))
-    return table.read().where(F.expr("created_at > TIMESTAMP_NTZ'2024-01-31 00:00:00' - INTERVAL '12' HOUR"))
+    """Two events a lock: taken, then extended or released."""
+    table = KeyedTable(spark, scratch(spark, "locks"), ["lock_identifier"], ["created_at"], buckets=8)
+    stream = lock_events(event_stream(spark, d))
+    held = U.active_locks_stream(stream, table, scratch(spark, "locks-checkpoint"), moment(EVENTS_AS_OF))
+    return held.select("lock_identifier", "created_at", "expires", "replica_set")
 
 
-@query(
-    "lifecycle_stream",
-    "SELECT user_id AS hostname, event_type AS activity, max(ts) AS happened, max_by(event_id, ts) AS instance_id FROM events GROUP BY 1, 2",
-)
+@query("lifecycle_stream", f"WITH {SQL_STEPS} SELECT * FROM states WHERE state IS NOT NULL")
 def lifecycle_stream(spark, d):
-    table = KeyedTable(spark, scratch(spark, "steps"), ["hostname", "activity"], ["happened"], buckets=8)
-    stream = event_stream(spark, d).select(
-        F.col("user_id").alias("hostname"), F.col("event_type").alias("activity"), F.col("ts").alias("happened"), F.col("event_id").alias("instance_id")
-    )
-    U.lifecycle_stream(stream, table, scratch(spark, "steps-checkpoint"))
-    return table.read()
+    keys = ["hostname", "instance_id", "activity"]
+    table = KeyedTable(spark, scratch(spark, "steps"), keys, ["happened"], buckets=8)
+    stream = step_events(event_stream(spark, d)).withColumnRenamed("ts", "happened")
+    return U.lifecycle_stream(stream, table, scratch(spark, "steps-checkpoint"), moment(EVENTS_AS_OF), STEPS)
 
 
 def change_events(spark, d):
-    """Events as change capture JSON; every tenth is delivered twice."""
+    """Events as change capture JSON, with positions as logs have them, unpadded; every tenth comes twice."""
     e = load(spark, d, "events")
     event = F.to_json(
         F.struct(
             F.when(F.col("event_type") == "error", "mysql").otherwise("shop").alias("database"),
             F.lit("carts").alias("table"),
-            F.lit("update").alias("type"),
+            F.when(F.col("event_id") % 7 == 0, "delete")
+            .when(F.col("event_type") == "signup", "insert")
+            .otherwise("update")
+            .alias("type"),
             F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"),
-            F.format_string("mysql-bin.000001:%012d", "event_id").alias("position"),
+            F.format_string("mysql-bin.%06d:%d", F.floor(F.col("event_id") / 500), F.col("event_id") % 500 * 97).alias("position"),
             F.create_map(F.lit("user_id"), F.col("user_id").cast("string"), F.lit("kind"), F.col("event_type")).alias("data"),
         )
     )
@@ -132,17 +129,17 @@ def change_events(spark, d):
 
 @query(
     "change_apply",
-    """SELECT user_id, event_type AS kind, 'mysql-bin.000001:' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS position FROM events WHERE event_type <> 'error'
-    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""",
+    """SELECT user_id, event_type AS kind, 'mysql-bin.' || lpad(CAST(event_id // 500 AS VARCHAR), 6, '0') || ':' || (event_id % 500 * 97) AS position
+    FROM (SELECT * FROM events WHERE event_type <> 'error' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+    WHERE event_id % 7 <> 0""",
 )
 def change_apply(spark, d):
     stream = change_events(spark, d).select(
         F.col("data")["user_id"].cast("long").alias("user_id"), F.col("data")["kind"].alias("kind"), "position",
-        F.timestamp_seconds("ts").alias("ts"),
+        F.timestamp_seconds("ts").alias("ts"), "type",
     )
-    table = KeyedTable(spark, scratch(spark, "current"), ["user_id"], ["position"], buckets=8)
-    U.change_apply(stream, table, ["position"], "ts", scratch(spark, "current-checkpoint"), "40 days")
-    return table.read().drop("ts")
+    table = KeyedTable(spark, scratch(spark, "current"), ["user_id"], ["log_number", "log_offset"], buckets=8)
+    return U.change_apply(stream, table, "position", "ts", scratch(spark, "current-checkpoint"), "40 days").drop("ts", "type")
 
 
 @query(

@@ -57,7 +57,8 @@ def export_table(
     writer = keyed.write.partitionBy(*LAYOUT).option("compression", compression)
     if files_records:
         writer = writer.option("maxRecordsPerFile", files_records)
-    writer.mode("append").text(root)
+    # A run replaces what an earlier run of the same day wrote, and nothing else.
+    writer.option("partitionOverwriteMode", "dynamic").mode("overwrite").text(root)
 
 
 def table_definition(db: str, table: str, df: DataFrame) -> str:
@@ -73,6 +74,13 @@ def export_schema(df: DataFrame, path: str, db: str, table: str) -> None:
     spark.range(1).select(F.lit(text).alias("value")).write.mode("overwrite").text(path)
 
 
+def export_definitions(tables: DataFrame, name: str, layout: DataFrame, path: str, db: str) -> None:
+    """Write a definition per table in ``tables``, whose rows are laid out like ``layout``, one folder each."""
+    head, _, tail = table_definition(db, "\0", layout).partition("\0")
+    text = F.concat(F.lit(head), F.col(name), F.lit(tail + "\n" + layout.schema.json()))
+    tables.select(F.col(name).alias("table"), text.alias("value")).write.partitionBy("table").mode("overwrite").text(path)
+
+
 def positions(status: DataFrame, keys: list[str]) -> DataFrame:
     """One JSON document per key: heartbeat, log positions and executed ids.
 

@@ -56,7 +56,7 @@ ENGINE_STATUS = [
     (r"^History list length (\d+)", [("history_list_length", "")]),
 ]
 MERGED_OPERATIONS = "merged operations:"
-BINLOG_STAMP = "yyMMdd HH:mm:ss"
+BINLOG_STAMP = "yyMMdd H:mm:ss"
 POSITION_FILE = r"MASTER_LOG_FILE='([a-z0-9-.]+)'"
 POSITION_OFFSET = r"MASTER_LOG_POS=([0-9]+)"
 POSITION_GTID = r"gtid_purged='([a-z0-9-:,\s]+)';"
@@ -138,8 +138,9 @@ def _engine_metrics(lines: DataFrame, families, file: str, order: str, text: Col
 
 def binlog_starts(lines: DataFrame, file: str = "path", order: str = "line_no", line: str = "line") -> DataFrame:
     """(file, started): the first ``created`` stamp of each log."""
-    words = F.split(F.trim(F.regexp_replace(F.col(line), r"\s+", " ")), " ")
-    text = F.concat_ws(" ", F.try_element_at(words, F.lit(-2)), F.try_element_at(words, F.lit(-1)))
+    # Hours are padded with a blank, and words may follow the stamp.
+    stamp = _found(F.col(line), r"created (\d{6} +\d{1,2}:\d{2}:\d{2})")
+    text = F.regexp_replace(stamp, " +", " ")
     stamps = lines.where(F.col(line).contains("created")).select(
         file, order, F.try_to_timestamp(text, F.lit(BINLOG_STAMP)).cast("timestamp_ntz").alias("ts")
     )
@@ -150,7 +151,7 @@ def binlog_gtids(lines: DataFrame, file: str = "path", order: str = "line_no", l
     """(file, order, ts, gtid): a commit line's stamp and the id on the line after it."""
     text = F.col(line)
     stamp = _found(text, r"^#(\d{6} +\d+:\d{2}:\d{2})")
-    ts = F.try_to_timestamp(F.regexp_replace(stamp, " +", " "), F.lit("yyMMdd H:mm:ss")).cast("timestamp_ntz")
+    ts = F.try_to_timestamp(F.regexp_replace(stamp, " +", " "), F.lit(BINLOG_STAMP)).cast("timestamp_ntz")
     commits = lines.where(text.rlike(r"GTID.*commit")).select(file, order, ts.alias("ts"))
     gtid = F.try_element_at(F.split(text, "'"), F.lit(2))
     named = lines.where(text.contains("GTID_NEXT")).select(file, (F.col(order) - 1).alias(order), gtid.alias("gtid"))

@@ -61,6 +61,8 @@ _ESCAPES = {
     b"\\Z": b"\x1a",
 }
 _OTHER_ESCAPE = re.compile(rb"\\([^\x01])", re.DOTALL)
+# An odd run of backslashes ahead of a stand-in's byte: an escape that cannot be told from one.
+_AMBIGUOUS = re.compile(rb"(?<!\\)(?:\\\\)*\\[\x01-\x03]")
 
 
 def _trailing_backslashes(piece: bytes) -> int:
@@ -89,7 +91,7 @@ def _borders_marked(block: bytes, lead: bool) -> bytes:
     """
     first, rest = (block[:1], block[1:]) if lead else (b"", block)
     if b"\\" in rest:
-        if any(mark in rest for _, mark in _STAND_INS):
+        if any(mark in rest for _, mark in _STAND_INS) and _AMBIGUOUS.search(rest):
             raise ValueError("the dump escapes control bytes 1 to 3, which no dump writer does")
         for escaped, mark in _STAND_INS:
             rest = rest.replace(escaped, mark)

@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.latest import first_per_key
+from ..operators.lifecycle import active_locks, lifecycle_state
 from ..operators.mining import mine_pairs
 from ..session import scratch, shared_root
 from ..sinks.upsert import KeyedTable
@@ -58,22 +59,48 @@ def keep_current(stream: DataFrame, table: KeyedTable, checkpoint: str) -> None:
     into_batches(stream, lambda batch, _: table.merge(first_per_key(batch, table.keys, order)), checkpoint)
 
 
-def active_locks_stream(stream: DataFrame, table: KeyedTable, checkpoint: str) -> None:
-    """Follow lock events; ``table`` has the newest row of each lock (see ``lifecycle.lock_state``)."""
+def active_locks_stream(stream: DataFrame, table: KeyedTable, checkpoint: str, as_of: Column) -> DataFrame:
+    """Follow lock events and return the locks in force: newest rows that are neither released nor expired.
+
+    ``table`` is keyed by lock and ordered by the time of its last change; a release is a row
+    without ``lock_active``.
+    """
     keep_current(stream, table, checkpoint)
+    return active_locks(table.read(), as_of)
+
 
+def lifecycle_stream(
+    stream: DataFrame, table: KeyedTable, checkpoint: str, as_of: Column, activities: Sequence[str]
+) -> DataFrame:
+    """Follow retirement steps and return the state of each server in the queue.
 
-def lifecycle_stream(stream: DataFrame, table: KeyedTable, checkpoint: str) -> None:
-    """Follow retirement steps; ``table`` has the newest row per (hostname, instance_id, activity)."""
+    ``table`` has the newest row per (hostname, instance_id, activity).
+    """
     keep_current(stream, table, checkpoint)
+    return lifecycle_state(table.read(), as_of, activities)
+
+
+def with_position(stream: DataFrame, position: str = "position") -> DataFrame:
+    """``stream`` with a log position, ``name.number:offset``, as the numbers log_number and log_offset."""
+
+    def number(group: int) -> Column:
+        return F.regexp_extract(position, r"(\d+):(\d+)$", group).cast("bigint")
+
+    return stream.withColumns({"log_number": number(1), "log_offset": number(2)})
 
 
 def change_apply(
-    stream: DataFrame, table: KeyedTable, position: Sequence[str], ts: str, checkpoint: str, watermark: str = "1 hour"
-) -> None:
-    """Apply change events: repeats of a position are dropped, the newest position per key wins."""
-    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
-    keep_current(timed.dropDuplicatesWithinWatermark(list(position)), table, checkpoint)
+    stream: DataFrame, table: KeyedTable, position: str, ts: str, checkpoint: str, watermark: str = "1 hour", kind: str = "type"
+) -> DataFrame:
+    """Apply change events and return the rows there are.
+
+    Repeats of a position are dropped, and of a key the newest position wins, by the numbers of log
+    and offset. A delete stays in ``table`` as a mark, so that an older change that comes late does
+    not bring the row back.
+    """
+    timed = with_position(stream, position).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+    keep_current(timed.dropDuplicatesWithinWatermark([position]), table, checkpoint)
+    return table.read().where(F.col(kind) != "delete").drop("log_number", "log_offset")
 
 
 def resumable_mining(pairs: DataFrame, a: str, b: str, names: tuple[str, str], root: str | None = None) -> DataFrame:
