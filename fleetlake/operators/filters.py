@@ -13,14 +13,6 @@ from .ordered import number_slice, ordinal
 # Names with a given meaning in the fleet.
 SYSTEM_SCHEMAS = ("mysql", "information_schema", "performance_schema", "test")
 ENGINES = ("InnoDB", "MyISAM")
-IGNORABLE_USERS = (
-    "admin", "ptkill", "monit", "dbascript", "#mysql_system#", "ptchecksum", "maxwell",
-    "replicant", "root", "heartbeat", "system user",
-)
-KILL_IGNORE_USERS = (
-    "admin", "etl", "longqueryro", "longqueryrw", "pbuser", "mysqldump", "xtrabackup",
-    "ptchecksum", "dbascript", "maxwell",
-)
 BUSY_SECONDS = 10
 JOB_QUEUE_BUSY_SECONDS = 6
 LONG_TRANSACTION_SECONDS = 2
@@ -110,7 +102,7 @@ def autoincrement_info(tables: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def unexpected_activity(
-    stats: DataFrame, connections: DataFrame, hosts: DataFrame, ignore: Sequence[str] = IGNORABLE_USERS
+    stats: DataFrame, connections: DataFrame, hosts: DataFrame, ignore: Sequence[str]
 ) -> DataFrame:
     """(hostname, active): whether anyone outside the ignore list has activity or a connection."""
     users = stats.select("hostname", "user").unionByName(connections.select("hostname", "user"))
@@ -144,8 +136,8 @@ def owned_hosts(
 
 def long_running(
     processes: DataFrame,
-    seconds: int = BUSY_SECONDS,
-    ignore: Sequence[str] = KILL_IGNORE_USERS,
+    seconds: int,
+    ignore: Sequence[str],
     age: str = "age_seconds",
 ) -> DataFrame:
     """Sessions older than the limit, except those of users allowed to run long."""

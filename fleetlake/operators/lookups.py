@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hosts import host_parts, standardized_replica_set
+from ..functions.hosts import host_parts, shard_type_of, standardized_replica_set
 from ..functions.text import redact_columns
 from .latest import first_per_key
 
@@ -95,11 +95,6 @@ def replica_set_members(config: DataFrame) -> DataFrame:
     return redact_columns(shown)
 
 
-def type_of_service(service: Column, namespace: Column) -> Column:
-    """Shard type of a service and namespace."""
-    return F.when(namespace == "", service).otherwise(F.concat_ws("_", service, namespace))
-
-
 def shard_counts(shard_map: DataFrame) -> DataFrame:
     """Number of shards per (service, namespace); one shard alone is not sharding."""
     return shard_map.groupBy("service", "namespace").agg(F.count_distinct("shard").alias("n_shards"))
@@ -112,19 +107,19 @@ def sharded_services(shard_map: DataFrame) -> DataFrame:
 
 def sharded_types(shard_map: DataFrame) -> DataFrame:
     """Shard types of more than one shard."""
-    kind = type_of_service(F.col("service"), F.col("namespace"))
+    kind = shard_type_of(F.col("service"), F.col("namespace"))
     return shard_counts(shard_map).where("n_shards > 1").select(kind.alias("shard_type"))
 
 
 def replica_sets_of_type(shard_map: DataFrame) -> DataFrame:
     """(shard_type, replica_set) pairs."""
-    kind = type_of_service(F.col("service"), F.col("namespace"))
+    kind = shard_type_of(F.col("service"), F.col("namespace"))
     return shard_map.select(kind.alias("shard_type"), "replica_set").distinct()
 
 
 def shards_of_type(shard_map: DataFrame) -> DataFrame:
     """(shard_type, shard) pairs."""
-    kind = type_of_service(F.col("service"), F.col("namespace"))
+    kind = shard_type_of(F.col("service"), F.col("namespace"))
     return shard_map.select(kind.alias("shard_type"), "shard").distinct()
 
 

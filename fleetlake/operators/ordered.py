@@ -10,13 +10,12 @@ two levels:
 
 Slices depend on the row alone, so a task that is run again puts each row in the same slice.
 Choose the width so that a slice of the busiest key fits a task; the number of slices per key
-is the key's range divided by the width. Key columns hold no nulls.
+is the key's range divided by the width. Null is a key like any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -230,8 +229,3 @@ def asof_join(
     joined = _attach(probes, summary)
     found = F.coalesce(F.col("__near"), F.col("__edge"))
     return joined.select("__left.*", *[found[c].alias(c) for c in columns])
-
-
-def all_of(conditions: Sequence[Column]) -> Column:
-    """Conjunction of a list of conditions."""
-    return reduce(lambda a, b: a & b, conditions)

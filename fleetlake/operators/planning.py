@@ -14,19 +14,22 @@ MAX_LAUNCHED = 10
 SERVER_BUILD_DAYS = 7
 
 
-def plan_restore_tests(ages: DataFrame) -> DataFrame:
-    """(replica_set, age, launch_order) of the restore tests to start now, oldest first.
+def plan_restore_tests(ages: DataFrame, launched: int = MAX_LAUNCHED) -> DataFrame:
+    """(replica_set, age, launch_order, start_now) of all restore tests, oldest first.
 
-    Always above 55 days; else until a sixtieth of all sets are under test; never more than
-    11 in one run. Ties in age go by name. Only the first 11 rows are ever numbered.
+    A test is due above 55 days, and else until a sixtieth of all sets are under test; of the due
+    ones the first ``launched`` and one more start now. Ties in age go by name. Sets are numbered
+    within their age and moved on by the number of older ones.
     """
-    most = MAX_LAUNCHED + 1
-    oldest = ages.orderBy(F.col("age").desc(), "replica_set").limit(most)
-    order = Window.orderBy(F.col("age").desc(), "replica_set")
-    numbered = oldest.withColumn("launch_order", F.row_number().over(order))
+    by_age = ages.groupBy("age").agg(F.count(F.lit(1)).alias("n"))
+    older = F.coalesce(F.sum("n").over(Window.orderBy(F.col("age").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = by_age.select(F.col("age").alias("__age"), older.alias("__older"))
+    own = F.row_number().over(Window.partitionBy("age").orderBy("replica_set"))
+    numbered = ages.withColumn("__own", own).join(ahead, F.col("age").eqNullSafe(F.col("__age")))
     least = ages.agg((F.call_function("div", F.count(F.lit(1)), F.lit(AGE_ALARM))).alias("n"))
-    wanted = (F.col("age") > AGE_START_TESTING) | (F.col("launch_order") <= least.scalar())
-    return numbered.where(wanted)
+    order = (F.col("__own") + F.col("__older")).cast("int")
+    due = (F.col("age") > AGE_START_TESTING) | (order <= least.scalar())
+    return numbered.select(*ages.columns, order.alias("launch_order"), F.coalesce(due & (order <= launched + 1), F.lit(False)).alias("start_now"))
 
 
 def next_free_name(inventory: DataFrame, used: DataFrame) -> DataFrame:

@@ -11,22 +11,16 @@ from ..operators.mining import build_dictionary, mine_pairs, substring_freq
 from ..session import materialize
 
 
-def turn_pairs(conversations: DataFrame, first: str = "user", second: str = "assistant") -> DataFrame:
-    """Each turn of one role with the next turn of the other: (conv_id, turn, a, b).
+def turn_pairs(conversations: DataFrame, first: str | None = None, second: str | None = None) -> DataFrame:
+    """Each turn with the next one: (conv_id, turn, asker, a, b); a role named limits its side.
 
     Joined on conversation and turn number together, so a long conversation is spread out.
     """
-    a = conversations.where(F.col("role") == first).select("conv_id", "turn", F.col("text").alias("a"))
-    b = conversations.where(F.col("role") == second).select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b")
-    )
-    return a.join(b, ["conv_id", "turn"])
-
-
-def pairs_of_both_roles(conversations: DataFrame, roles: tuple[str, str] = ("user", "assistant")) -> DataFrame:
-    """Turn pairs in both directions: (asker, conv_id, turn, a, b)."""
-    there = turn_pairs(conversations, *roles).withColumn("asker", F.lit(roles[0]))
-    return there.unionByName(turn_pairs(conversations, *reversed(roles)).withColumn("asker", F.lit(roles[1])))
+    a = conversations.select("conv_id", "turn", F.col("role").alias("asker"), F.col("text").alias("a"))
+    b = conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("__role"), F.col("text").alias("b"))
+    a = a.where(F.col("asker") == first) if first else a
+    b = b.where(F.col("__role") == second) if second else b
+    return a.join(b.drop("__role"), ["conv_id", "turn"])
 
 
 def mined_freqs(conversations: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

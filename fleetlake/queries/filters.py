@@ -107,7 +107,7 @@ def unexpected_activity(spark, d):
     user = F.when(F.col("value") > F.when(F.col("event_type") == "error", 150).otherwise(200), "app").otherwise("root")
     stats = e.where("event_type = 'error'").select("hostname", user.alias("user"))
     connections = e.where("event_type = 'click'").select("hostname", user.alias("user"))
-    return P.unexpected_activity(stats, connections, e)
+    return P.unexpected_activity(stats, connections, e, ("root", "monitor"))
 
 
 @query(

@@ -54,7 +54,7 @@ def backup_coverage(spark, d):
 
 @query(
     "placement_audit",
-    f"""WITH {SQL_SHARDS}, {SQL_DBS.replace('expected AS', 'unused AS')}, e AS (SELECT DISTINCT replica_set, mysqldb AS db FROM shards WHERE replica_set < 'rs-5'),
+    f"""WITH {SQL_SHARDS}, {SQL_DBS.replace('expected AS', 'unused AS')}, e AS (SELECT DISTINCT replica_set, mysqldb AS db FROM shards),
     a AS (SELECT replica_set, db, sum(rows_changed) AS changed FROM actual GROUP BY 1, 2)
     SELECT finding, replica_set, count(*) AS n FROM (
       SELECT coalesce(e.replica_set, a.replica_set) AS replica_set,
@@ -64,7 +64,7 @@ def backup_coverage(spark, d):
 )
 def placement_audit(spark, d):
     actual = actual_dbs(spark, d)
-    found = J.placement_audit(shard_map(spark, d).where("replica_set < 'rs-5'"), actual.select("replica_set", "db"), actual)
+    found = J.placement_audit(shard_map(spark, d), actual.select("replica_set", "db"), actual)
     return found.groupBy("finding", "replica_set").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -10,7 +10,7 @@ from ..registry import query
 from ..session import load
 
 
-@query("turn_pairs", "SELECT a.conv_id, a.turn, a.text AS a, b.text AS b FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'")
+@query("turn_pairs", "SELECT a.conv_id, a.turn, a.role AS asker, a.text AS a, b.text AS b FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
 def turn_pairs(spark, d):
     return D.turn_pairs(load(spark, d, "conversations"))
 
@@ -43,5 +43,5 @@ def swallowed_scores(spark, d):
 @query("build_dictionary")
 def build_dictionary(spark, d):
     """One dictionary per asking role."""
-    pairs = D.pairs_of_both_roles(load(spark, d, "conversations"))
+    pairs = D.turn_pairs(load(spark, d, "conversations"))
     return D.dictionary_of_pairs(pairs, "a", "b", 4096, ["asker"])

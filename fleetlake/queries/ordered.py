@@ -343,7 +343,7 @@ def gtid_text(spark, d):
 @query(
     "plan_restore_tests",
     f"""WITH {SQL_RESTORE_AGE}, r AS (SELECT *, row_number() OVER (ORDER BY age DESC, replica_set) AS launch_order FROM ages)
-    SELECT * FROM r WHERE launch_order <= 11 AND (age > 55 OR launch_order <= (SELECT count(*) // 60 FROM ages))""",
+    SELECT *, launch_order <= 11 AND (age > 55 OR launch_order <= (SELECT count(*) // 60 FROM ages)) AS start_now FROM r""",
 )
 def plan_restore_tests(spark, d):
     return Q.plan_restore_tests(ages(spark, d))

@@ -147,7 +147,9 @@ def verified(spark, d):
     e = load(spark, d, "events")
     rows = e.select(F.to_date("ts").alias("backup_date"), (F.col("user_id") % 2 == 0).alias("dev_bucket"), "event_type", "value")
     work = rows.select("backup_date", "dev_bucket").distinct()
-    return work, rows.where("event_type = 'purchase' AND value > 120")
+    # An export that is not finished has a log row without a date.
+    finished = (F.col("event_type") == "purchase") & (F.col("value") > 120)
+    return work, rows.withColumn("backup_date", F.when(finished, F.col("backup_date")))
 
 
 @query("exports_already_verified", f"WITH {SQL_VERIFIED} SELECT * FROM work WHERE (backup_date, dev_bucket) IN (SELECT (backup_date, dev_bucket) FROM log)")
@@ -168,8 +170,9 @@ def exports_to_verify(spark, d):
 )
 def pending_transition(spark, d):
     e = load(spark, d, "events")
-    log = e.where("event_type <> 'purchase' OR value > 60").select(
-        F.col("user_id").cast("string").alias("instance_id"), F.col("event_type").alias("activity"),
+    activity = F.when((F.col("event_type") == "purchase") & (F.col("value") <= 60), "none").otherwise(F.col("event_type"))
+    log = e.select(
+        F.col("user_id").cast("string").alias("instance_id"), activity.alias("activity"),
         F.col("ts").alias("happened"), "event_id",
     )
     now = moment(EVENTS_AS_OF)

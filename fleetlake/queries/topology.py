@@ -324,12 +324,11 @@ def all_replica_sets(spark, d):
 
 @query(
     "dbs_by_replica_set",
-    f"""WITH {SQL_SHARDS}, {SQL_RS}, p AS (SELECT DISTINCT replica_set, mysqldb FROM shards WHERE service = 'machinery' AND mysqldb < 'db2')
+    f"""WITH {SQL_SHARDS}, {SQL_RS}, p AS (SELECT DISTINCT replica_set, mysqldb FROM shards)
     SELECT replica_set, mysqldb FROM rs LEFT JOIN p USING (replica_set)""",
 )
 def dbs_by_replica_set(spark, d):
-    some = shard_map(spark, d).where("service = 'machinery' AND mysqldb < 'db2'")
-    return L.dbs_by_replica_set(some, all_replica_sets(spark, d))
+    return L.dbs_by_replica_set(shard_map(spark, d), all_replica_sets(spark, d))
 
 
 @query(

@@ -1,62 +1,6 @@
-"""Fixed schemas of the fleet's metadata tables, as DDL text for ``spark.read.schema``."""
+"""Shapes of the fleet's JSON documents, as DDL text."""
 
-
-# Table layouts shared with the existing metadata databases.
-HOST_REPLACEMENT_LOG = (
-    "old_host string, old_instance string, old_az string, old_hw_type string, new_host string, "
-    "new_instance string, new_az string, new_hw_type string, created_at timestamp, reason string, "
-    "is_completed boolean"
-)
-BACKUPS = (
-    "id bigint, hostname string, port int, filename string, started timestamp_ntz, "
-    "finished timestamp_ntz, size bigint, backup_type string"
-)
-PROMOTION_LOCKS = (
-    "lock_identifier string, lock_active string, created_at timestamp_ntz, expires timestamp_ntz, "
-    "released timestamp_ntz, replica_set string, promoting_host string, promoting_user string"
-)
-RETIREMENT_PROTECTION = ("hostname string, reason string, protecting_user string")
-RETIREMENT_QUEUE = (
-    "hostname string, instance_id string, activity string, happened timestamp_ntz"
-)
-UNIQUE_HOSTNAME_INDEX = ("hostname string")
-MIGRATION_LOCKS = (
-    "lock_identifier string, lock_active string, created_at timestamp_ntz, released timestamp_ntz, "
-    "source_replica_set string, destination_replica_set string, mig_databases string, "
-    "non_mig_databases string, status string"
-)
-CHECKSUM_DETAIL = (
-    "id bigint, reported_at timestamp_ntz, instance string, master_instance string, db string, "
-    "tbl string, elapsed_time_ms int, chunk_count int, chunk_errors int, chunk_diffs int, "
-    "chunk_skips int, row_count int, row_diffs int, rows_checked string, checksum_status string, "
-    "checksum_cmd string, checksum_stdout string, checksum_stderr string, checksum_rc int, "
-    "sync_cmd string, sync_stdout string, sync_stderr string, sync_rc int"
-)
-CHUNK_CHECKSUM = (
-    "db string, tbl string, chunk bigint, master_cnt bigint, this_cnt bigint, master_crc string, "
-    "this_crc string, chunk_time double"
-)
-HISTORIC_TABLE_SIZE = (
-    "hostname string, port int, db string, table_name string, partition_name string, "
-    "reported_at date, size_mb bigint"
-)
-BINLOG_ARCHIVE = (
-    "hostname string, port int, binlog string, binlog_creation timestamp_ntz, uploaded timestamp_ntz"
-)
-BACKUP_LOCKS = (
-    "lock_identifier string, lock_active string, created_at timestamp_ntz, expires timestamp_ntz, "
-    "released timestamp_ntz, table_name string, partition_number bigint, hostname string, port int"
-)
-EXPORT_SUCCESS = ("backup_date date, completion timestamp_ntz, dev_bucket boolean")
-RESTORE_STATUS = (
-    "id bigint, restore_source string, restore_type string, test_restore string, "
-    "restore_destination string, restore_date date, restore_port int, restore_file string, "
-    "replication string, zookeeper string, started_at timestamp_ntz, finished_at timestamp_ntz, "
-    "restore_status string, status_message string"
-)
-HEARTBEAT = ("ts string, server_id bigint")
-
-# Shapes of the JSON documents.
+# Documents shared with the existing tools.
 _ENDPOINT = "struct<host: string, port: int>"
 REPLICA_CONFIG_JSON = (
     f"map<string, struct<db: string, user: string, passwd: string, master: {_ENDPOINT}, "

@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 from ..schemas import CHANGE_EVENT_JSON
 
 
-def topic(namespace: str, name: str) -> str:
-    """Topic name of a change stream."""
-    return f"{namespace}.{name}"
-
-
 def parse_changes(raw: DataFrame, value: str = "value", excluded: Sequence[str] = ()) -> DataFrame:
     """Change events from JSON text, without those of excluded databases."""
     event = raw.select(F.from_json(F.col(value).cast("string"), CHANGE_EVENT_JSON).alias("e")).select("e.*")

@@ -139,7 +139,9 @@ def test_next_free_name(spark):
 def test_restore_plan(spark, old, sets, wanted):
     rows = [(f"rs{i:04d}", 80 if i < old else 10) for i in range(sets)]
     plan = Q.plan_restore_tests(spark.createDataFrame(rows, "replica_set string, age int")).collect()
-    assert len(plan) == wanted and [p.replica_set for p in sorted(plan, key=lambda p: p.launch_order)] == [r[0] for r in rows[:wanted]]
+    ordered = sorted(plan, key=lambda p: p.launch_order)
+    assert [p.replica_set for p in ordered] == [r[0] for r in rows]
+    assert [p.start_now for p in ordered] == [True] * wanted + [False] * (sets - wanted)
 
 
 def test_gates(spark):
