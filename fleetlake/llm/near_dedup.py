@@ -1,10 +1,10 @@
 """Near-duplicate groups by b-bit MinHash.
 
-A document is the set of its runs of five lower-cased words. ``PERMUTATIONS`` minima are taken of a set;
-bands of them, hashed, make the buckets in which candidates meet, and of each minimum only the low
-``BITS`` bits are kept, packed. The share of equal low bits, counted on the packed words and corrected
-for chance agreement, estimates the similarity of a candidate pair. Pairs that may reach the threshold
-are confirmed on the full sets of their texts; confirmed links make the groups.
+A document is the set of its runs of five lower-cased words. Bands of minima of a set, hashed, make the
+buckets in which candidates meet. Sets that share a bucket get ``MINIMA`` more minima, of which only the
+low ``BITS`` bits are kept, packed. The share of equal low bits, counted on the packed words and
+corrected for chance agreement, estimates the similarity of a candidate pair. Pairs that may reach the
+threshold are confirmed on the full sets of their texts; confirmed links make the groups.
 
 No pairs are spelt out within large groups:
 
@@ -41,11 +41,11 @@ from ..session import materialize
 from .words import Words, mix64, rolling
 
 RUN = 5
-PERMUTATIONS, BANDS, ROWS = 128, 25, 5
-BITS = 2
+BANDS, ROWS = 25, 5
+MINIMA, BITS = 512, 2
 SIMILARITY = 85  # hundredths
-#: Estimates of this much less than the threshold are still confirmed (over four standard deviations).
-MARGIN = 0.17
+#: Estimates of this much less than the threshold are still confirmed: 4.5 standard deviations.
+MARGIN = 0.085
 #: Sets of a bucket that meet in one portion.
 PORTION = 1024
 SEED = 11
@@ -60,23 +60,23 @@ def shingles(words: Words, data: bytes, run: int = RUN) -> np.ndarray:
 
 
 class MinHash:
-    """Signatures; one per task."""
+    """``count`` minima of sets; one per task and use."""
 
-    def __init__(self) -> None:
-        rng = np.random.default_rng(SEED)
-        self.times = rng.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.plus = rng.integers(0, 1 << 63, PERMUTATIONS, np.uint64)
+    def __init__(self, count: int, seed: int = SEED) -> None:
+        rng = np.random.default_rng([seed, count])
+        self.times = rng.integers(0, 1 << 63, count, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.plus = rng.integers(0, 1 << 63, count, np.uint64)
         self.band = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
 
     def minima(self, runs: np.ndarray) -> np.ndarray:
-        least = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(runs), 2048):
-            part = runs[at : at + 2048, None] * self.times + self.plus
+        least = np.full(len(self.plus), np.iinfo(np.uint64).max, np.uint64)
+        for at in range(0, len(runs), 512):
+            part = runs[at : at + 512, None] * self.times + self.plus
             np.minimum(least, part.min(axis=0), out=least)
         return least
 
     def bands(self, least: np.ndarray) -> np.ndarray:
-        rows = least[: BANDS * ROWS].reshape(BANDS, ROWS)
+        rows = least.reshape(BANDS, ROWS)
         out = self.band.copy()
         for r in range(ROWS):
             out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + rows[:, r])
@@ -90,42 +90,52 @@ class MinHash:
 
 
 def signatures(docs: DataFrame, text: str = "text", into: str = "sig") -> DataFrame:
-    """``docs`` with a struct ``into``: n, set1, set2 (which name the set), bands, bits."""
+    """``docs`` with a struct ``into``: n, set1, set2 (which name the set), bands."""
 
-    @F.arrow_udf("struct<n:bigint,set1:bigint,set2:bigint,bands:array<bigint>,bits:array<bigint>>")
+    @F.arrow_udf("struct<n:bigint,set1:bigint,set2:bigint,bands:array<bigint>>")
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words, minhash = Words(), MinHash()
+        words, minhash = Words(), MinHash(BANDS * ROWS)
         for batch in batches:
-            n, one, two, bands, bits = [], [], [], [], []
+            n, one, two, bands = [], [], [], []
             for value in batch:
                 runs = shingles(words, (value.as_py() or b""))
                 n.append(len(runs))
                 if not len(runs):
-                    one.append(None), two.append(None), bands.append(None), bits.append(None)
+                    one.append(None), two.append(None), bands.append(None)
                     continue
-                least = minhash.minima(runs)
                 one.append(int(runs.sum(dtype=np.uint64).view(np.int64)))
                 two.append(int(mix64(runs ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
-                bands.append(minhash.bands(least))
-                bits.append(minhash.packed(least))
-            lists = pa.list_(pa.int64())
+                bands.append(minhash.bands(minhash.minima(runs)))
+            numbers = [pa.array(x, pa.int64()) for x in (n, one, two)]
             yield pa.StructArray.from_arrays(
-                [pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, lists), pa.array(bits, lists)],
-                ["n", "set1", "set2", "bands", "bits"],
+                [*numbers, pa.array(bands, pa.list_(pa.int64()))], ["n", "set1", "set2", "bands"]
             )
 
     return docs.withColumn(into, sign(F.col(text).cast("binary")))
 
 
+def low_bits(docs: DataFrame, text: str = "text", into: str = "bits") -> DataFrame:
+    """``docs`` with the packed low bits of ``MINIMA`` minima of each text's set."""
+
+    @F.arrow_udf("array<bigint>")
+    def pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words, minhash = Words(), MinHash(MINIMA)
+        for batch in batches:
+            made = [minhash.packed(minhash.minima(shingles(words, value.as_py() or b""))) for value in batch]
+            yield pa.array(made, pa.list_(pa.int64()))
+
+    return docs.withColumn(into, pack(F.col(text).cast("binary")))
+
+
 def estimate(a: str, b: str) -> Column:
     """Similarity by the packed bits ``a`` and ``b``: equal minima per bit count, less chance agreement."""
     mask = 0x5555555555555555
     unequal: Column = F.lit(0)
-    for i in range(PERMUTATIONS * BITS // 64):
+    for i in range(MINIMA * BITS // 64):
         x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
         unequal = unequal + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(mask)))
     chance = 2.0**-BITS
-    return (1 - unequal / PERMUTATIONS - chance) / (1 - chance)
+    return (1 - unequal / MINIMA - chance) / (1 - chance)
 
 
 def _may_link(similarity: int) -> Column:
@@ -210,7 +220,6 @@ def groups(
             F.min(F.struct("text1", "text2")).alias("t"),
             F.first("n").alias("n"),
             F.first("bands").alias("bands"),
-            F.first("bits").alias("bits"),
         ),
         "sets",
     )
@@ -222,15 +231,15 @@ def groups(
     )
     shared = materialize(placed.join(crowded, "bucket"), "shared-buckets")
     near = shared.select("id").distinct()
-    wanted = sets.join(near, "id").select("id", "t.text1", "t.text2")
-    texts = materialize(
+    wanted = sets.join(near, "id").select("id", "n", "t.text1", "t.text2")
+    candidates = (
         docs.select(F.col(text).alias("text"), *[c.alias(n) for n, c in hashes.items()])
         .join(wanted.hint("shuffle_hash"), ["text1", "text2"])
         .groupBy("id")
-        .agg(F.first("text").alias("text")),
-        "candidate-texts",
+        .agg(F.first("text").alias("text"), F.first("n").alias("n"))
     )
-    bits = sets.select("id", "n", "bits")
+    texts = materialize(low_bits(candidates), "candidate-texts")
+    bits = texts.select("id", "n", "bits")
     side = {x: bits.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab"}
     stars = (
         shared.where("id <> pivot")
@@ -247,23 +256,26 @@ def groups(
     mixed = members.groupBy("bucket").agg(F.min("root").alias("l"), F.max("root").alias("h")).where("l < h").select("bucket")
     portions = F.ceil(F.col("members") / PORTION)
     own = F.pmod(F.xxhash64("id"), portions)
-    rows = members.join(mixed, "bucket").join(bits, "id").withColumns({"own": own, "every": F.sequence(F.lit(0).cast("long"), portions - 1)})
+    rows = members.join(mixed, "bucket").join(bits, "id").join(sets.select("id", "bands"), "id").withColumns({"own": own, "every": F.sequence(F.lit(0).cast("long"), portions - 1)})
     left, right = (
         rows.select(
             "bucket",
             *( [F.col("own").alias("p"), F.explode("every").alias("q")] if x == "a" else [F.explode("every").alias("p"), F.col("own").alias("q")] ),
             F.col("id").alias(x), F.col("root").alias(f"root_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"),
+            F.col("bands").alias(f"bands_{x}"),
         )
         for x in "ab"
     )
+    # A pair comes out of the first bucket it shares only.
+    common = F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    first_common = F.get(common, F.lit(0)) == left["bucket"]
     across = (
         left.join(
             right,
             (left["bucket"] == right["bucket"]) & (left["p"] == right["p"]) & (left["q"] == right["q"])
-            & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _may_link(similarity),
+            & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _may_link(similarity) & first_common,
         )
         .select("a", "b", "root_a", "root_b")
-        .distinct()
     )
     links = confirm(across.select("a", "b"), texts, similarity).join(across, ["a", "b"])
     second = components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))

@@ -119,13 +119,13 @@ def test_near_groups_of_null_ids_and_repeats(spark):
 
 
 def test_similarity_from_bits():
-    made = near_dedup.MinHash()
+    made, banded = near_dedup.MinHash(near_dedup.MINIMA), near_dedup.MinHash(125)
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 3000, np.uint64)
     a, b = pool[:2000], pool[200:2200]  # 1800 of 2200
     equal = (made.minima(a) & np.uint64(3)) == (made.minima(b) & np.uint64(3))
-    assert abs((equal.mean() - 0.25) / 0.75 - 1800 / 2200) < 0.15
-    assert len(made.packed(made.minima(a))) == 4 and len(made.bands(made.minima(a))) == 25
+    assert abs((equal.mean() - 0.25) / 0.75 - 1800 / 2200) < near_dedup.MARGIN
+    assert len(made.packed(made.minima(a))) == 16 and len(banded.bands(banded.minima(a))) == 25
 
 
 def test_components(spark):
