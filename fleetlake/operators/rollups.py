@@ -193,10 +193,15 @@ def table_row_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def row_estimate(rows: DataFrame, keys: Sequence[str], fraction: float, seed: int = 0) -> DataFrame:
-    """Estimated rows per table from a random sample."""
-    counted = table_row_counts(rows.sample(fraction=fraction, seed=seed), keys)
-    return counted.withColumn("cnt", F.round(F.col("cnt") / fraction).cast("long"))
+def row_estimate(rows: DataFrame, keys: Sequence[str], by: Sequence[str], one_in: int) -> DataFrame:
+    """Estimated rows per table from one in ``one_in`` rows, chosen by a hash of the columns ``by``.
+
+    The same rows are chosen at every run, however the table is dealt out.
+    """
+    digest = F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in by]).cast("binary"))
+    hashed = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    counted = table_row_counts(rows.where(F.pmod(hashed, F.lit(one_in)) == 0), keys)
+    return counted.withColumn("cnt", F.col("cnt") * one_in)
 
 
 def non_blackhole_tables(tables: DataFrame) -> DataFrame:

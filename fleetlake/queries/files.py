@@ -16,7 +16,7 @@ from ..sinks.upsert import KeyedTable
 from ..sources import listing as L
 from ..sources import records as S
 from ..sources.fleet import read_fleet_table
-from ..plans.dictionary import mined_freqs
+from ..operators.mining import substring_freq
 from .common import SQL_EVENTS, events
 from .ordered import SQL_UPSERT, sizes
 from .reconcile import SQL_EXPORT, export_inputs
@@ -92,9 +92,15 @@ def zipped_lines(spark, d):
     return S.zip_lines(*sides)
 
 
-@query("listing")
+@query("listing", "SELECT DISTINCT o_orderstatus AS status, o_orderpriority AS priority, true AS filled FROM orders")
 def listing(spark, d):
-    return L.read_listing(spark, d, "*.parquet")
+    """Orders written to a folder per status and priority, and found again by name, unread."""
+    root = scratch(spark, "listed")
+    folders = ["o_orderstatus", "o_orderpriority"]
+    load(spark, d, "orders").select(*folders, "o_orderkey").write.partitionBy(*folders).parquet(root)
+    found = L.read_listing(spark, root, "*.parquet")
+    status, priority = (F.url_decode(F.regexp_extract("path", f"/{c}=([^/]*)/", 1)) for c in folders)
+    return found.groupBy(status.alias("status"), priority.alias("priority")).agg((F.min("size") > 0).alias("filled"))
 
 
 @query(
@@ -216,8 +222,12 @@ def atomic_write(spark, d):
     return spark.read.parquet(path)
 
 
-@query("written_freqs")
+SQL_WORD_FREQS = "SELECT w AS substr, count(*) AS freq FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM documents) GROUP BY 1"
+
+
+@query("written_freqs", SQL_WORD_FREQS)
 def written_freqs(spark, d):
     path = scratch(spark, "freqs")
-    W.write_freqs(mined_freqs(load(spark, d, "conversations")), path)
+    words = load(spark, d, "documents").select(F.explode(F.split(F.lower("text"), " ")).alias("substr"))
+    W.write_freqs(substring_freq(words), path)
     return spark.read.schema(T.StructType().add("substr", "string").add("freq", "long")).json(path)

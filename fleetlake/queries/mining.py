@@ -20,9 +20,14 @@ def common_substrings(spark, d):
     return Z.mine_pairs(D.turn_pairs(load(spark, d, "conversations")), "a", "b", ["conv_id", "turn"])
 
 
-@query("substring_freqs")
+@query(
+    "substring_freqs",
+    "SELECT w AS substr, count(*) AS freq FROM (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY 1 ORDER BY freq DESC, substr",
+)
 def substring_freqs(spark, d):
-    return Z.freqs_descending(D.mined_freqs(load(spark, d, "conversations")))
+    """In how many documents each word occurs, most frequent first."""
+    words = load(spark, d, "documents").select(F.explode(F.array_distinct(F.split("text", " "))).alias("substr"))
+    return Z.freqs_descending(Z.substring_freq(words))
 
 
 @query(

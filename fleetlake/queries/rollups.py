@@ -196,9 +196,13 @@ def table_row_counts(spark, d):
     return A.table_row_counts(load(spark, d, "lineitem").select(F.col("l_suppkey").alias("table_name")), ["table_name"])
 
 
-@query("row_estimate")
+@query(
+    "row_estimate",
+    """SELECT l_returnflag, 10 * count(*) AS cnt FROM lineitem
+    WHERE CAST('0x' || substr(md5(l_orderkey || ':' || l_linenumber), 1, 8) AS BIGINT) % 10 = 0 GROUP BY 1""",
+)
 def row_estimate(spark, d):
-    return A.row_estimate(load(spark, d, "lineitem"), ["l_returnflag"], 0.1)
+    return A.row_estimate(load(spark, d, "lineitem"), ["l_returnflag"], ["l_orderkey", "l_linenumber"], 10)
 
 
 @query(
