@@ -13,6 +13,13 @@ def load(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{table}.parquet")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark gives it: one without a scheme is of the default file system."""
+    jvm = spark.sparkContext._jvm
+    plain = jvm.org.apache.hadoop.fs.Path(path)
+    return plain.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(plain).toString()
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.mining import freqs_descending
-from ..session import scratch
+from ..session import qualified
 from ..sources.records import _file_system
 
 
@@ -55,17 +56,18 @@ def write_success_markers(actions: DataFrame, root: str, keys: Sequence[str]) ->
     folder = jvm.org.apache.hadoop.fs.Path(root)
     folder.getFileSystem(actions.sparkSession.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
     marked = actions.where(F.col("action").isin("create", "remove"))
-    path = F.concat_ws("/", F.lit(root.rstrip("/")), *folders, F.lit("_SUCCESS"))
+    path = F.concat_ws("/", F.lit(qualified(actions.sparkSession, root).rstrip("/")), *folders, F.lit("_SUCCESS"))
     marked.select(path.alias("path"), "action").foreachPartition(_apply_markers)
 
 
 def atomic_write(df: DataFrame, path: str, check: Callable[[DataFrame], DataFrame], fmt: str = "parquet") -> None:
-    """Write to staging, run the check on what was written, and only then give it its name.
+    """Write to staging beside the target, run the check on what was written, and only then give it its name.
 
     ``check`` returns the rows that are wrong; any such row leaves ``path`` untouched.
     """
     spark = df.sparkSession
-    staging = scratch(spark, "staging")
+    parent, _, name = path.rstrip("/").rpartition("/")
+    staging = f"{parent or '.'}/.{name}-staging-{uuid.uuid4().hex}"
     df.write.format(fmt).save(staging)
     wrong = check(spark.read.format(fmt).schema(df.schema).load(staging))
     if not wrong.isEmpty():

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import typed_field
+from ..session import qualified
 
 FORMAT = "fleet_records"
 RANGE_BYTES = 128 * 1024 * 1024
@@ -286,7 +287,7 @@ def _records_frame(
         .option("escaped", str(escaped).lower())
         .option("markers", str(markers).lower())
         .option("rangebytes", str(range_bytes))
-        .load(path)
+        .load(",".join(qualified(spark, root) for root in path.split(",")))
     )
 
 

@@ -70,10 +70,9 @@ def _windowed(stream, keys, ts, values, seconds, step, watermark):
 def lease_sessions_stream(stream: DataFrame, keys: Sequence[str], ts: str, seconds: int = LEASE_SECONDS, watermark: str = "10 minutes") -> DataFrame:
     """(keys, lease_start, expires, n_events): leases as session windows over take and extend events.
 
-    Sessions are merged inside each input partition first, so a busy key is shuffled as
-    sessions, not as events.
+    For busy keys set ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition``: sessions
+    are then merged inside each input partition first, and shuffled as sessions, not as events.
     """
-    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     session = F.session_window(ts, f"{seconds} seconds").alias("w")
     counted = event_time(stream, ts, watermark).groupBy(session, *keys).agg(F.count(F.lit(1)).alias("n_events"))
     return counted.select(*keys, local_time("w.start").alias("lease_start"), local_time("w.end").alias("expires"), "n_events")
