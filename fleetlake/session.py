@@ -39,9 +39,32 @@ def shared_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_given_out: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _given_out.append(path)
+    return path
+
+
+def mark() -> int:
+    """A point in time for ``release``."""
+    return len(_given_out)
+
+
+def release(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
+    """Delete the scratch tables given out since ``mark``, but for those in ``keep``.
+
+    For callers that have read, or written elsewhere, whatever was made of them.
+    """
+    jvm = spark.sparkContext._jvm
+    for path in _given_out[since:]:
+        if path not in keep:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _given_out[since:] = [path for path in _given_out[since:] if path in keep]
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
