@@ -1,8 +1,8 @@
 """A training corpus from raw documents: quality rules, line dedup, near dedup, mixing, token ids.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before it kept; ``run`` writes
-each result as Parquet in the shared folder and reads it back for the next. All stages but the last
-return the columns of documents.
+each result as Parquet in the shared folder and reads it back for the next, and then deletes what the
+stage left there. All stages but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import fleetlake.llm.queries as operators
 from fleetlake.llm import bpe, line_dedup, mixing, near_dedup, quality
 from fleetlake.registry import query
-from fleetlake.session import load, materialize
+from fleetlake.session import load, mark, release, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -64,7 +64,10 @@ ORACLE_SQL = None
 
 @query("pipeline", ORACLE_SQL)
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs, since = load(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        release(spark, since, keep=(path,))
     return STAGES[-1][1](spark, docs, sf_dir)
