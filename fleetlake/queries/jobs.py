@@ -10,7 +10,7 @@ from ..operators import rollups as A
 from ..plans import audits as J
 from ..plans.metrics import as_metrics, rollup
 from ..plans.settings import effective_settings
-from ..registry import query
+from ..registry import ORACLES, query
 from ..session import load
 from ..sinks.files import format_metrics
 from ..sources.logs import parse_engine_status
@@ -20,7 +20,16 @@ from .logs import SQL_STATUS, status_lines
 from .names import grants
 from .ordered import SQL_LAGGED, replication
 from .reconcile import SQL_DBS, SQL_EXPORT, actual_dbs, export_inputs
-from .rollups import SEED_DDL, SQL_STATS, definitions, stats
+from .rollups import (
+    SEED_DDL,
+    SQL_STATS,
+    definitions,
+    global_status_metrics,
+    histogram_percentiles,
+    process_counts,
+    stats,
+    user_rates,
+)
 from .topology import SQL_SHARDS, shard_map
 
 
@@ -143,8 +152,12 @@ def replication_health(spark, d):
 
 SQL_METRICS = f"""
     lines AS (
-      SELECT 'host-' || user_id AS host, 'innodb.' || x.m AS metric, CAST(sum(x.v) AS BIGINT) AS value, CASE WHEN x.t = '' THEN '' ELSE 'type=' || x.t END AS tags FROM m GROUP BY ALL
-      UNION ALL SELECT 'host-0', 'tablestats.rows_read', CAST(sum(rows_read) AS BIGINT) // 60, 'table=' || table_name || ' namespace=' || coalesce(namespace, '') FROM stats GROUP BY namespace, table_name)"""
+      SELECT 'host-' || user_id AS host, 'innodb.' || x.m AS metric, CAST(CAST(sum(x.v) AS BIGINT) AS VARCHAR) AS value, CASE WHEN x.t = '' THEN '' ELSE 'type=' || x.t END AS tags FROM m GROUP BY ALL
+      UNION ALL SELECT 'host-0', 'tablestats.rows_read', CAST(CAST(sum(rows_read) AS BIGINT) // 60 AS VARCHAR), 'table=' || table_name || ' namespace=' || coalesce(namespace, '') FROM stats GROUP BY namespace, table_name
+      UNION ALL SELECT 'host-1', 'processlist', CAST(cnt AS VARCHAR), 'user=' || "user" || ' source=' || source || ' command=' || command FROM ({ORACLES["process_counts"]})
+      UNION ALL SELECT 'host-1', 'userstats.' || metric, CAST(value AS VARCHAR), 'user=' || "user" FROM ({ORACLES["user_rates"]})
+      UNION ALL SELECT 'host-2', 'status.' || metric, CAST(value AS VARCHAR), '' FROM ({ORACLES["global_status_metrics"]})
+      UNION ALL SELECT 'host-2', 'latency', CAST(CAST(floor(value) AS BIGINT) AS VARCHAR), 'percentile=' || CAST(round(percentile * 10000) AS INTEGER) || ' flag=' || l_returnflag FROM ({ORACLES["histogram_percentile"]}))"""
 
 
 @query(
@@ -163,11 +176,20 @@ def metrics_rollup(spark, d):
         F.lit("host-0").alias("host"), F.lit(3306).alias("port"), F.col("table_name").alias("table"), F.coalesce("namespace", F.lit("")).alias("namespace"), "rows_read"
     )
     tables = as_metrics(rates, F.lit("tablestats.rows_read"), F.col("rows_read"), ["table", "namespace"])
+
+    def of(rows, number):
+        return rows.withColumns({"host": F.lit(f"host-{number}"), "port": F.lit(3306)})
+
+    processes = as_metrics(of(process_counts(spark, d), 1), F.lit("processlist"), F.col("cnt"), ["user", "source", "command"])
+    users = as_metrics(of(user_rates(spark, d), 1), F.concat(F.lit("userstats."), "metric"), F.col("value"), ["user"])
+    status = as_metrics(of(global_status_metrics(spark, d), 2), F.concat(F.lit("status."), "metric"), F.col("value"))
+    shares = of(histogram_percentiles(spark, d), 2).withColumns({"percentile": F.round(F.col("percentile") * 10000).cast("int"), "flag": F.col("l_returnflag")})
+    latency = as_metrics(shares, F.lit("latency"), F.floor("value"), ["percentile", "flag"])
     config = load(spark, d, "supplier").select(
         F.concat(F.lit("host-"), F.col("s_suppkey")).alias("host"), F.lit(3306).alias("port"),
         F.concat(F.lit("rs-"), F.col("s_nationkey")).alias("replica_set"), F.lit("slave").alias("role"),
     )
-    return format_metrics(rollup([typed, plain, tables], config, 1706659200))
+    return format_metrics(rollup([typed, plain, tables, processes, users, status, latency], config, 1706659200))
 
 
 SQL_READY = f"""
