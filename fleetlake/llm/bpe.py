@@ -187,6 +187,21 @@ def merge_many(pieces: list[bytes], ranks: Ranks, size: int) -> list[bytes]:
     return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+
+
+def parts_of(text: str) -> Iterator[str]:
+    """A text in parts of bounded length, as far as it has spaces at which a piece always starts."""
+    at = 0
+    while len(text) - at > PORTION:
+        found = _BETWEEN.search(text, at + PORTION)
+        if found is None:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:] if at else text
+
+
 class Encoder:
     """Texts to ids, with the words of this task remembered within bounds."""
 
@@ -267,14 +282,18 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(read_ranks(ranks_path), pattern)
         for batch in batches:
-            out, portion, size = [], [], 0
+            made, portion, size, firsts = [], [], 0, [0]
             for value in batch:
-                portion.append(value.as_py() or "")
-                size += len(portion[-1])
-                if size >= PORTION:
-                    out.append(encoder.encode(portion))
-                    portion, size = [], 0
-            yield pa.concat_arrays([*out, encoder.encode(portion)])
+                for part in parts_of(value.as_py() or ""):
+                    portion.append(part)
+                    size += len(part)
+                    if size >= PORTION:
+                        made.append(encoder.encode(portion))
+                        portion, size = [], 0
+                firsts.append(sum(map(len, made)) + len(portion))
+            parts = pa.concat_arrays([*made, encoder.encode(portion)])
+            # The ids of a text are those of its parts, one after the other.
+            yield pa.ListArray.from_arrays(parts.offsets.take(pa.array(firsts)), parts.values)
 
     return docs.withColumn(into, ids_of(F.col(text)))
 

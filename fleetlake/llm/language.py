@@ -32,6 +32,7 @@ ROUNDS = 12
 #: A centroid's radius is this times the distance within which nearly all its sample lies.
 SLACK = 1.25
 UNDETERMINED = "und"
+_PART = 1 << 20
 
 
 class Grams:
@@ -42,7 +43,19 @@ class Grams:
 
     def counts(self, text: str | None) -> np.ndarray | None:
         """Counts by bin, or None for a text without a letter."""
-        points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
+        out, at, text = None, 0, (text or "").lower()
+        while at < len(text) or not at:
+            end = len(text)
+            if end - at > _PART and (space := text.find(" ", at + _PART)) >= 0:
+                end = space + 1  # no run of letters reaches over a space
+            found = self._of_part(text[at:end])
+            if found is not None:
+                out = found if out is None else out + found
+            at = max(end, 1)
+        return out
+
+    def _of_part(self, text: str) -> np.ndarray | None:
+        points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
         letter = self._letter[np.minimum(points, 0xFFFF)]
         if len(points) and points.max() > 0xFFFF:
             for i in np.flatnonzero(points > 0xFFFF):

@@ -87,6 +87,21 @@ def test_bpe_of_odd_texts(spark, tik):
     assert bpe.encode(odd(spark).limit(0), path, queries.split_pattern()).count() == 0
 
 
+def test_long_texts_in_parts(spark, tik, monkeypatch):
+    monkeypatch.setattr(bpe, "PORTION", 50)
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["a", "the", "x  y", "\n", "it's", "漢字", "", "12"]) for _ in range(rng.randint(0, 200))) for _ in range(40)]
+    assert all("".join(bpe.parts_of(t)) == t for t in texts)
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    rows = bpe.encode(df, queries.ranks_path(), queries.split_pattern()).orderBy("doc_id").collect()
+    assert [r["ids"] for r in rows] == [tik.encode_ordinary(t) for t in texts]
+    whole = language.Grams()
+    counts = [whole.counts(t) for t in texts]
+    monkeypatch.setattr(language, "_PART", 20)
+    parts = language.Grams()
+    assert all(np.array_equal(a, parts.counts(t)) if a is not None else parts.counts(t) is None for a, t in zip(counts, texts, strict=True))
+
+
 def test_quality(spark, sf_dir):
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     rows = quality.judge(odd(spark, quality=1)).select("quality.*").collect()
