@@ -79,13 +79,38 @@ def lease_sessions_stream(spark, d):
     return U.collect_stream(V.lease_sessions_stream(event_stream(spark, d), ["user_id"], "ts", 6 * 3600), "leases")
 
 
+# The second delivery has every tenth event; one whose window has closed by then is too late.
+SQL_IN_TIME = f"""
+    placed AS (SELECT *, {sql_windows(3600)} AS start FROM events),
+    counted AS (SELECT * FROM placed WHERE event_id % 10 <> 0
+      OR start + INTERVAL 1 HOUR > (SELECT max(ts) FROM events WHERE event_id % 10 <> 0) - INTERVAL 30 MINUTE)"""
+
+
+def late_deliveries(spark, d):
+    """Events in two deliveries, counted per hour and kept: (windows, rows that arrived)."""
+    root, checkpoint = scratch(spark, "deliveries"), scratch(spark, "late-checkpoint")
+    table = KeyedTable(spark, scratch(spark, "late"), ["event_type", "start"], ["n"], buckets=8)
+    arrived = 0
+    for delivery in ("event_id % 10 <> 0", "event_id % 10 = 0"):
+        load(spark, d, "events").where(delivery).write.mode("append").parquet(root)
+        stream = spark.readStream.schema(EVENTS_SCHEMA).parquet(root)
+        arrived += U.keep_windows(V.late_metrics(stream, ["event_type"], "ts", 3600, "30 minutes"), table, checkpoint)
+    return table.read(), arrived
+
+
+@query("late_metrics", f"WITH {SQL_IN_TIME} SELECT event_type, start, count(*) AS n FROM counted GROUP BY 1, 2")
+def late_metrics(spark, d):
+    return late_deliveries(spark, d)[0]
+
+
 @query(
-    "late_metrics",
-    f"""SELECT event_type, start, count(*) AS n FROM (SELECT *, {sql_windows(3600)} AS start FROM events)
-    WHERE {sql_closed("start + INTERVAL 1 HOUR", "30 MINUTE")} GROUP BY 1, 2""",
+    "late_rows",
+    f"WITH {SQL_IN_TIME} SELECT (SELECT count(*) FROM events) AS arrived, count(*) AS counted, (SELECT count(*) FROM events) - count(*) AS dropped FROM counted",
 )
-def late_metrics(spark, d):
-    return U.collect_stream(V.late_metrics(event_stream(spark, d), ["event_type"], "ts", 3600, "30 minutes"), "late")
+def late_rows(spark, d):
+    windows, arrived = late_deliveries(spark, d)
+    counted = F.coalesce(F.sum("n"), F.lit(0)).cast("long")
+    return windows.agg(F.lit(arrived).cast("long").alias("arrived"), counted.alias("counted"), (F.lit(arrived) - counted).alias("dropped"))
 
 
 @query("active_locks_stream", f"WITH {SQL_LOCKS} SELECT lock_identifier, created_at, expires, replica_set FROM s WHERE state = 'active'")

@@ -38,15 +38,30 @@ def collect_stream(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def into_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def into_batches(
+    stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
+) -> StreamingQuery:
     """Run ``handle(batch, number)`` over everything that is there."""
     query = (
         stream.writeStream.foreachBatch(handle)
+        .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
+    return query
+
+
+def keep_windows(stream: DataFrame, table: KeyedTable, checkpoint: str, name: str = "arrivals") -> int:
+    """Keep the newest state of every window, open ones too, in ``table``; returns the rows that arrived.
+
+    ``stream`` counts per window and observes its arrivals under ``name`` (see ``late_metrics``). What
+    arrived and is in no window came too late.
+    """
+    query = into_batches(stream, lambda batch, _: table.merge(batch), checkpoint, "update")
+    seen = [p.observedMetrics.get(name) for p in query.recentProgress]
+    return sum(row["arrived"] for row in seen if row)
 
 
 def keep_current(stream: DataFrame, table: KeyedTable, checkpoint: str) -> None:

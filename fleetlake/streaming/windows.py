@@ -83,8 +83,8 @@ def late_metrics(
 ) -> DataFrame:
     """Counts per window; rows past the watermark are left out.
 
-    ``observe`` reports each batch's arrivals and newest time under ``name``; together with the
-    query progress (``numRowsDroppedByWatermark``) it shows how many came too late.
+    ``observe`` reports each batch's arrivals and newest time under ``name``; ``state.keep_windows``
+    holds them against the rows counted and so knows how many came too late.
     """
     timed = event_time(stream, ts, watermark)
     watched = timed.observe(name, F.count(F.lit(1)).alias("arrived"), F.max(ts).alias("newest"))
