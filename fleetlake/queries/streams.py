@@ -40,11 +40,14 @@ def sql_closed(end, delay):
     "heartbeat_lag_stream",
     f"""SELECT *, CASE WHEN seconds > 3600 THEN 'loose' WHEN seconds > 120 THEN 'normal' ELSE 'ok' END AS alert FROM (
       SELECT user_id, {sql_windows(21600)} AS start, max(ts) AS heartbeat,
-        CAST(epoch(make_timestamp((epoch_us(max(ts)) // 21600000000 + 1) * 21600000000)) AS BIGINT) - epoch_us(max(ts)) // 1000000 AS seconds FROM events GROUP BY 1, 2)
-    WHERE {sql_closed("start + INTERVAL 6 HOUR", "10 MINUTE")}""",
+        CAST(epoch(make_timestamp((epoch_us(max(ts)) // 21600000000 + 1) * 21600000000)) AS BIGINT) - epoch_us(max(ts)) // 1000000 AS seconds FROM events GROUP BY 1, 2)""",
 )
 def heartbeat_lag_stream(spark, d):
-    return U.collect_stream(V.heartbeat_lag_stream(event_stream(spark, d), "user_id", "ts", "6 hours"), "heartbeats")
+    """The newest windows count most to an alarm, so open ones are kept too."""
+    table = KeyedTable(spark, scratch(spark, "heartbeats"), ["user_id", "start"], ["heartbeat"], buckets=8)
+    stream = V.heartbeat_lag_stream(event_stream(spark, d), "user_id", "ts", "6 hours")
+    U.into_batches(stream, lambda batch, _: table.merge(batch), scratch(spark, "heartbeats-checkpoint"), "update")
+    return table.read()
 
 
 @query(
