@@ -9,8 +9,8 @@ threshold are confirmed on the full sets of their texts; confirmed links make th
 No pairs are spelt out within large groups:
 
 1. Documents with equal sets are one node from the start.
-2. Every set is compared with the pivot of each of its buckets, one pivot per bucket, and the best one
-   by estimate is confirmed. The links found join nearly all of a large group.
+2. Every set meets the pivot of each of its buckets, one pivot per bucket. The best one by estimate is
+   confirmed, then those whose groups still differ. The links found join most of a large group.
 3. What may still be missed are links between different groups. Only buckets that hold more than one
    group are looked at, and in them only pairs of different groups, within the join's condition: size
    and estimate have to allow the threshold, so what comes out are pairs to confirm. Crowded buckets are
@@ -42,10 +42,10 @@ from .words import Words, mix64, rolling
 
 RUN = 5
 BANDS, ROWS = 25, 5
-MINIMA, BITS = 512, 2
+MINIMA, BITS = 768, 2
 SIMILARITY = 85  # hundredths
 #: Estimates of this much less than the threshold are still confirmed: 4.5 standard deviations.
-MARGIN = 0.085
+MARGIN = 0.068
 #: Sets of a bucket that meet in one portion.
 PORTION = 1024
 SEED = 11
@@ -241,17 +241,24 @@ def groups(
     texts = materialize(low_bits(candidates), "candidate-texts")
     bits = texts.select("id", "n", "bits")
     side = {x: bits.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab"}
-    stars = (
+    stars = materialize(
         shared.where("id <> pivot")
         .select(F.col("pivot").alias("a"), F.col("id").alias("b"))
         .distinct()
         .join(side["b"], "b")
         .join(side["a"], "a")
         .where(_may_link(similarity))
-        .groupBy("b")
-        .agg(F.max_by("a", F.struct(estimate("bits_a", "bits_b"), -F.col("a"))).alias("a"))
+        .select("a", "b", estimate("bits_a", "bits_b").alias("similar")),
+        "stars",
     )
-    first = materialize(components(confirm(stars, texts, similarity)), "first-groups")
+    best = stars.groupBy("b").agg(F.max_by("a", F.struct("similar", -F.col("a"))).alias("a"))
+    linked = materialize(confirm(best, texts, similarity), "links")
+    known = materialize(components(linked), "groups")
+    root = {x: known.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"}
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    others = stars.select("a", "b").join(root["a"], "a", "left").join(root["b"], "b", "left").where(apart)
+    more = confirm(others.select("a", "b"), texts, similarity)
+    first = materialize(components(linked.select("a", "b").union(more)), "groups")
     members = shared.join(first, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"), "members")
     mixed = members.groupBy("bucket").agg(F.min("root").alias("l"), F.max("root").alias("h")).where("l < h").select("bucket")
     portions = F.ceil(F.col("members") / PORTION)

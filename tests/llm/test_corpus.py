@@ -125,7 +125,7 @@ def test_similarity_from_bits():
     a, b = pool[:2000], pool[200:2200]  # 1800 of 2200
     equal = (made.minima(a) & np.uint64(3)) == (made.minima(b) & np.uint64(3))
     assert abs((equal.mean() - 0.25) / 0.75 - 1800 / 2200) < near_dedup.MARGIN
-    assert len(made.packed(made.minima(a))) == 16 and len(banded.bands(banded.minima(a))) == 25
+    assert len(made.packed(made.minima(a))) == near_dedup.MINIMA // 32 and len(banded.bands(banded.minima(a))) == 25
 
 
 def test_components(spark):
