@@ -1,10 +1,12 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into text blocks, each with its root-to-leaf path of block tags. Text length and
-punctuation are aggregated per path, smoothed over the blocks in page order, and fused into one score
-per path; a path scores more inside an element that names the main text, and nothing inside one that
-names navigation, adverts, notices, forms or comments. Paths above the threshold give the content.
-Each page is judged by itself: no shuffle, and a task holds one Arrow batch.
+A page is cut into text blocks, each with its root-to-leaf path of block tags. Text length outside links,
+damped by a logarithm, and punctuation are aggregated per path, smoothed over the blocks in page order,
+and fused into one score per path, which is taken as a share of the page's median score (weighted by
+damped length), so that no single block sets the scale. Paths above the threshold give the content, and
+with them the lists, quotes, tables and preformatted texts that stand in an element with chosen text,
+unless most of such a part is links. Nothing inside an element that names navigation, adverts, notices,
+forms or comments is looked at. Each page is judged by itself: no shuffle, and a task holds one Arrow batch.
 
 Defined cases: a null or empty page has the empty text. A page cut off anywhere is read as if its open
 elements were closed at its end. Rows that repeat are read each for itself. Extra columns are kept; a
@@ -34,6 +36,13 @@ SKIPPED = frozenset(
     "button select option textarea input label dialog menu head title".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of lists, quotes, tables and preformatted texts, which go with the text around them.
+PARTS = frozenset(
+    "ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption details summary".split()
+)
+LISTS = frozenset("ul ol dl figure details".split())
+#: Elements that may wrap such a part alone.
+WRAPPERS = frozenset("div section center".split())
 #: Start tags that end an open element of the given names.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -64,11 +73,17 @@ _TOKEN = re.compile(
     re.S,
 )
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_HREF = re.compile(r"(?:^|\s)href\s*=", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、؟¿¡]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 SMOOTHING = (0.25, 0.5, 0.25)
+#: Characters of text from which on length is damped.
+SCALE = 20
+#: Least share of the page's median score.
 THRESHOLD = 0.2
+#: A list, quote or table with a larger share of text in links does not go with the text around it.
+LINKS = 0.5
 
 
 def _part(name: str, attributes: str, inside_main: bool) -> int:
@@ -91,20 +106,29 @@ def _part(name: str, attributes: str, inside_main: bool) -> int:
     return 1 if name in ("article", "main") else 0
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
-    """(path, text, inside the main text, is a heading) of each block that is not marked as other text."""
-    out: list[tuple[str, str, bool, bool]] = []
-    stack: list[tuple[str, int, int, str]] = []  # name, elements of other text, of main text, path
+def blocks(page: str) -> list[tuple[str, str, bool, bool, int, tuple[tuple[str, int], ...]]]:
+    """The blocks that are not marked as other text.
+
+    Each is (path, text, inside the main text, is a heading, characters in links, its elements from the
+    root down as (name, number in the page)).
+    """
+    out: list[tuple[str, str, bool, bool, int, tuple[tuple[str, int], ...]]] = []
+    stack: list[tuple[str, int, int, str, int]] = []  # name, elements of other text, of main text, path, number
     parts: list[str] = []
+    linked: list[str] = []
+    link = -1  # depth of the stack at which a link was opened
+    number = 0
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(parts).split())
-            parts.clear()
+            inside = len(" ".join("".join(linked).split()))
+            parts.clear(), linked.clear()
             if text:
-                name, other, main, path = stack[-1] if stack else ("", 0, 0, "")
+                name, other, main, path, _ = stack[-1] if stack else ("", 0, 0, "", 0)
                 if not other:
-                    out.append((path, text, main > 0, name in HEADINGS))
+                    line = tuple((element[0], element[4]) for element in stack)
+                    out.append((path, text, main > 0, name in HEADINGS, inside, line))
 
     def close(names: tuple[str, ...], stop: frozenset[str]) -> None:
         for i in range(len(stack) - 1, -1, -1):
@@ -123,6 +147,8 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
             token = found[0]
             if token[0] != "<" or token == "<":
                 parts.append(unescape(token))
+                if link >= 0:
+                    linked.append(parts[-1])
             continue
         name, closing, attributes = name.lower(), found[1] or found[4], found[3] or found[6] or ""
         if name in INLINE:
@@ -132,11 +158,15 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
                 # Other text inside a line: an inline element is looked at only to be left out.
                 stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 at = stop.end() if stop else at
+            elif name == "a":
+                link = len(stack) if not closing and _HREF.search(attributes) else -1
+                linked.append(" ")
             continue
         flush()
         if closing:
             if any(element[0] == name for element in stack):
                 close((name,), frozenset())
+                link = -1 if len(stack) < link else link
             continue
         if name in RAW:
             if not attributes.rstrip().endswith("/") or name not in ("svg", "math"):
@@ -151,13 +181,54 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
             close(CLOSES[name], HOLDS)
         if name in VOID:
             continue
-        _, other, main, path = stack[-1] if stack else ("", 0, 0, "")
+        link = -1 if len(stack) < link else link
+        _, other, main, path, _ = stack[-1] if stack else ("", 0, 0, "", 0)
         part = _part(name, attributes, main > 0)
-        stack.append((name, other + (part < 0), main + (part > 0), f"{path}/{name}"))
+        number += 1
+        stack.append((name, other + (part < 0), main + (part > 0), f"{path}/{name}", number))
     flush()
     return out
 
 
+def _beside(found: list, chosen: np.ndarray, length: np.ndarray, plain: np.ndarray) -> None:
+    """Adds to ``chosen`` the lists, quotes, tables and preformatted texts that stand beside chosen text."""
+    holds, tables, loose = set(), set(), set()  # numbers of elements: of chosen text, of text outside such parts
+    for block, keep in zip(found, chosen, strict=True):
+        if block[3]:
+            continue
+        line = [(name, i) for name, i in block[5] if name != "p"]
+        if keep:
+            holds.add(line[-1][1] if line else 0)
+        for name, i in reversed(line):
+            if name not in PARTS:
+                break
+            if keep and name in LISTS:
+                holds.add(i)
+            if keep and name == "table":
+                tables.add(i)
+                break
+        for name, i in reversed(line):
+            if name in PARTS:
+                break
+            loose.add(i)
+    parts: dict[int, list[int]] = {}
+    for k, block in enumerate(found):
+        outer, line = None, [(name, i) for name, i in block[5] if name != "p" and name not in HEADINGS]
+        labels = bool(line) and line[-1][0] in ("th", "caption")
+        for at in range(len(line) - 1, -1, -1):
+            name, i = line[at]
+            if name not in PARTS and (name not in WRAPPERS or i in loose):
+                break
+            above = line[at - 1][1] if at else 0
+            if above in holds or (labels and above in tables):
+                outer = i
+        if outer is not None:
+            parts.setdefault(outer, []).append(k)
+    for places in parts.values():
+        if plain[places].sum() >= (1 - LINKS) * length[places].sum():
+            chosen[places] = True
+
+
 def content(page: str | None) -> str:
     """The blocks whose paths pass the threshold, in page order, two line feeds between them."""
     found = blocks(page or "")
@@ -167,6 +238,9 @@ def content(page: str | None) -> str:
     for i, block in enumerate(found):
         paths.setdefault(block[0], []).append(i)
     length = np.array([len(block[1]) for block in found], float)
+    plain = np.maximum(length - [block[4] for block in found], 0)
+    if not plain.any():
+        plain = length  # a page of links only
     marks = np.array([len(_PUNCTUATION.findall(block[1])) for block in found], float)
 
     def ratio(values: np.ndarray) -> np.ndarray:
@@ -180,14 +254,19 @@ def content(page: str | None) -> str:
         padded = np.concatenate([values[:1], values, values[-1:]])
         return sum(w * padded[k : k + len(values)] for k, w in enumerate(SMOOTHING))
 
-    own = ratio(length)
-    score = np.sqrt(own * smooth(own)) * (1 + smooth(ratio(marks)))  # text and punctuation, fused
-    score /= max(float(score.max()), 1e-12)
+    damped = np.log1p(plain / SCALE)
+    own = ratio(damped)
+    marked = np.log1p(smooth(100 * ratio(marks) / (ratio(length) + SCALE)))
+    score = ratio(np.sqrt(own * smooth(own)) * (1 + marked))  # text and punctuation, fused
+    order = np.argsort(score, kind="stable")
+    heavy = np.cumsum(damped[order])
+    score /= score[order][np.searchsorted(heavy, heavy[-1] / 2)]
     main = np.array([block[2] for block in found])
-    score = 0.99 * ratio(score) + main  # inside a named main text every path passes, outside none
-    limit = 1.0 if main.any() else THRESHOLD
-    chosen = score >= limit
-    if not main.any():
+    if main.any():
+        chosen = main.copy()
+    else:
+        chosen = score >= THRESHOLD
+        _beside(found, chosen, length, plain)
         # A heading leads the block after it, and stays or goes with it.
         for i in range(len(found) - 2, -1, -1):
             if found[i][3]:

@@ -219,6 +219,36 @@ def test_main_text(spark, sf_dir):
         assert found.loc[key].n_chars == len(found.loc[key].text)
 
 
+SENTENCE = "Some words of a plain sentence, which go on for a while; then it ends. "
+PARTS_OF_PAGES = {
+    "quote": (f"<blockquote>{SENTENCE * 35}</blockquote>", [SENTENCE * 35]),
+    "quoted paragraph": (f"<blockquote><p>{SENTENCE * 35}</p></blockquote>", [SENTENCE * 35]),
+    "pre": (f"<pre>{'x = f(y); ' * 400}</pre>", ["x = f(y); " * 400]),
+    "vast pre": (f"<pre>{'x = f(y); ' * 9000}</pre>", ["x = f(y); " * 9000]),
+    "list": ("<ul>" + "<li>an item of about forty characters here" * 8 + "</ul>", ["an item of about forty characters here"] * 8),
+    "table": ("<table><tr><th>a<th>b" + "<tr><td>12<td>cell" * 9 + "</table>", ["a", "b", *["12", "cell"] * 9]),
+    "wrapped table": ("<div><table>" + "<tr><td>12<td>cell" * 9 + "</table></div>", ["12", "cell"] * 9),
+    "terms": ("<dl><dt>Term<dd>Meaning.</dl>", ["Term", "Meaning."]),
+}
+
+
+@pytest.mark.parametrize("size", [1, 3, 6])
+@pytest.mark.parametrize("part", PARTS_OF_PAGES)
+def test_parts_of_unnamed_main_text(part, size):
+    made, texts = PARTS_OF_PAGES[part]
+    paragraph = SENTENCE * size
+    own = [" ".join(t.split()) for t in ["Head", *[paragraph] * 12, *texts, *[paragraph] * 12]]
+    page = "<body><div class='menu'><a href='/'>Home</a></div><div><h1>Head</h1>" + f"<p>{paragraph}</p>" * 12 + made
+    page += f"<p>{paragraph}</p>" * 12 + "</div><div><ul>" + "<li><a href='/x'>Another page of the site</a>" * 30 + "</ul></div><div>Top</div></body>"
+    assert html.content(page).split("\n\n") == own
+
+
+def test_parts_alone():
+    assert html.content("<dl>" + f"<dt>Term<dd>{SENTENCE * 3}" * 5 + "</dl>").split("\n\n") == ["Term", (SENTENCE * 3).strip()] * 5
+    assert html.content("<table><tr><th>a<th>b" + f"<tr><td>{SENTENCE * 3}<td>12" * 5 + "</table>").startswith("a\n\nb\n\nSome")
+    assert html.content("<p><a href='x'>All of it a link</a></p>") == "All of it a link"
+
+
 def test_language(spark, sf_dir):
     found = queries.op5_language_id(spark, sf_dir).toPandas().set_index("doc_id")
     docs = load(spark, sf_dir, "documents").toPandas().set_index("doc_id")
