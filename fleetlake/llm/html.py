@@ -3,7 +3,8 @@
 A page is cut into text blocks, each with its root-to-leaf path of block tags. Text length outside links,
 damped by a logarithm, and punctuation are aggregated per path, smoothed over the blocks in page order,
 and fused into one score per path, which is taken as a share of the page's median score (weighted by
-damped length), so that no single block sets the scale. Paths above the threshold give the content, and
+damped length), so that no single block sets the scale. On a page that names its main text, paths inside
+it are moved up and those outside down, by less than the threshold. Paths above the threshold give the content, and
 with them the lists, quotes, tables and preformatted texts that stand in an element with chosen text,
 unless most of such a part is links. Nothing inside an element that names navigation, adverts, notices,
 forms or comments is looked at. Each page is judged by itself: no shuffle, and a task holds one Arrow batch.
@@ -82,6 +83,8 @@ SMOOTHING = (0.25, 0.5, 0.25)
 SCALE = 20
 #: Least share of the page's median score.
 THRESHOLD = 0.2
+#: What the name of the main text adds to the scores of paths inside it, and takes from those outside.
+PRIOR = 0.15
 #: A list, quote or table with a larger share of text in links does not go with the text around it.
 LINKS = 0.5
 
@@ -261,16 +264,16 @@ def content(page: str | None) -> str:
     order = np.argsort(score, kind="stable")
     heavy = np.cumsum(damped[order])
     score /= score[order][np.searchsorted(heavy, heavy[-1] / 2)]
-    main = np.array([block[2] for block in found])
+    main = np.array([block[2] for block in found], float)
     if main.any():
-        chosen = main.copy()
-    else:
-        chosen = score >= THRESHOLD
-        _beside(found, chosen, length, plain)
-        # A heading leads the block after it, and stays or goes with it.
-        for i in range(len(found) - 2, -1, -1):
-            if found[i][3]:
-                chosen[i] = chosen[i] or chosen[i + 1]
+        score += PRIOR * (2 * ratio(main) - 1)  # up inside a named main text, down outside
+    chosen = score >= THRESHOLD
+    _beside(found, chosen, length, plain)
+    # A heading leads the block after it, and stays with it; that of a named main text leads all of it.
+    for i in range(len(found) - 2, -1, -1):
+        if found[i][3]:
+            first = main[i] and found[i][0].endswith("/h1")
+            chosen[i] = chosen[i] or (chosen[i + 1 :].any() if first else chosen[i + 1])
     return "\n\n".join(block[1] for block, keep in zip(found, chosen, strict=True) if keep)
 
 

@@ -249,6 +249,16 @@ def test_parts_alone():
     assert html.content("<p><a href='x'>All of it a link</a></p>") == "All of it a link"
 
 
+@pytest.mark.parametrize("name", ["content", "entry", "story"])
+def test_names_only_shift_scores(name):
+    teaser, body = SENTENCE.strip(), (SENTENCE * 4).strip()
+    links = "<div><ul>" + "<li><a href='/x'>Another page of the site</a>" * 30 + "</ul></div>"
+    page = f"<body><div class='{name}'><p>{teaser}</p>{links}</div><div><section>" + f"<p>{body}</p>" * 9 + "</section></div><div>Top</div></body>"
+    assert html.content(page).split("\n\n") == [teaser, *[body] * 9]
+    inside = f"<article><h1>Head</h1>{links}<p>{body}</p><div>By Ann</div><div class='t'><table><tr><td>1<td>22</table></div><p>{body}</p></article>"
+    assert html.content(f"<body><div>Top</div>{inside}</body>").split("\n\n") == ["Head", body, "By Ann", "1", "22", body]
+
+
 def test_language(spark, sf_dir):
     found = queries.op5_language_id(spark, sf_dir).toPandas().set_index("doc_id")
     docs = load(spark, sf_dir, "documents").toPandas().set_index("doc_id")
