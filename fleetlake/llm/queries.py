@@ -26,7 +26,7 @@ def split_pattern() -> str:
 
 @query("op1_secret_scan")
 def op1_secret_scan(spark: SparkSession, d: str) -> DataFrame:
-    found = secret_scan.scan(load(spark, d, "documents").select("doc_id", "text"))
+    found = secret_scan.scan(load(spark, d, "documents").select("doc_id", "text"), whole=True)
 
     def count(kind: str):
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

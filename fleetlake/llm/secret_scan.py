@@ -2,12 +2,13 @@
 
 Patterns find strong parts (assigned secrets, access ids, long hex keys), which are reported as they
 are, and weak ones: names of accounts, secret-looking values, endpoints. A weak part is reported only
-if a part that complements it lies within its scope, ``reach`` code points to either side: a weak secret
+if a part that complements it reaches into its scope, ``reach`` code points to either side: a weak secret
 needs an identifier or an endpoint, a weak identifier or an endpoint needs a secret.
 
-Parts meet in an interval join. A document's positions are cut into buckets as wide as the reach; per
-bucket and role only the first and last start are kept, and a candidate meets the few buckets its scope
-touches. So no pairs of parts are spelt out, however many a document holds.
+Parts meet in an interval join. A document's positions are cut into buckets as wide as the reach. A part
+taken whole lies in every bucket that it touches; per bucket and role only the first start and the last end are kept,
+and a candidate meets the few buckets its scope touches. So no pairs of parts are spelt out, however many
+a document holds.
 
 Everything is column expressions. Matches of one pattern are the leftmost ones that do not overlap;
 positions are code points, ends exclusive, summed up from the texts between the matches.
@@ -121,16 +122,17 @@ def find(docs: DataFrame, text: str, kind: str, into: str) -> DataFrame:
     return docs.withColumn(into, kept).drop(found, gaps, long_enough, steps, ahead)
 
 
-def _link(found: DataFrame, reach: int) -> DataFrame:
+def _link(found: DataFrame, reach: int, whole: bool) -> DataFrame:
     """The weak parts with a complement in scope, as one array per row number."""
+    end = F.col("end" if whole else "start")
     role = F.element_at(F.create_map(*[F.lit(x) for kind, k in KINDS.items() for x in (kind, k[1])]), F.col("p.kind"))
     parts = found.select("__row", F.explode(F.concat("__strong", "__weak")).alias("p")).select(
         "__row", "p.*", role.alias("role")
     )
     buckets = (
-        parts.withColumn("bucket", F.floor(F.col("start") / reach))
+        parts.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / reach), F.floor(end / reach))))
         .groupBy("__row", "bucket", "role")
-        .agg(F.min("start").alias("first"), F.max("start").alias("last"))
+        .agg(F.min("start").alias("first"), F.max(end).alias("last"))
         .groupBy("__row", "bucket")
         .agg(
             *[
@@ -145,7 +147,8 @@ def _link(found: DataFrame, reach: int) -> DataFrame:
         "bucket",
         F.explode(F.sequence(F.greatest(F.floor(F.col("low") / reach), F.lit(0)), F.floor(F.col("high") / reach))),
     )
-    # A scope is wider than a bucket: it holds a bucket's first start, its last, or all of it.
+    # A scope is wider than a bucket: only its lowest bucket can hold parts that end ahead of it, only its
+    # highest ones that start after it.
     inside = {r: (F.col(f"last_{r}") >= F.col("low")) & (F.col(f"first_{r}") <= F.col("high")) for r in COMPLEMENT}
     complemented = F.lit(False)
     for r, others in COMPLEMENT.items():
@@ -159,9 +162,10 @@ def _link(found: DataFrame, reach: int) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", reach: int = REACH, whole: bool = False) -> DataFrame:
     """``docs`` without ``text``, with ``base`` (strong parts) and ``spans`` (with the linked weak ones).
 
+    With ``whole`` a part is in a scope if any of it is, without only if its start is.
     Both are arrays of (start, ord, kind, end), ordered. The found parts, not the texts, are written to
     the shared folder, so the patterns run once.
     """
@@ -178,7 +182,7 @@ def scan(docs: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:
         F.concat(*[f"__{k}" for k in weak]).alias("__weak"),
     )
     found = materialize(rows, "secret-parts")
-    linked = _link(found.where((F.size("__weak") > 0) & (F.size("__weak") + F.size("__strong") > 1)), reach)
+    linked = _link(found.where((F.size("__weak") > 0) & (F.size("__weak") + F.size("__strong") > 1)), reach, whole)
     linked_or_none = F.coalesce("__linked", F.array().cast(linked.schema["__linked"].dataType))
     return found.join(linked, "__row", "left").select(
         *others, F.col("__strong").alias("base"), F.sort_array(F.concat("__strong", linked_or_none)).alias("spans")

@@ -163,6 +163,44 @@ def test_links_as_by_pairs(spark):
         assert [tuple(s) for s in spans] == kept
 
 
+def test_links_of_long_parts(spark):
+    long = "Ab1" * 300
+    texts = [(0, f"{long[:300]} login: bobby"), (1, f"{long} login: bobby"), (2, f"login: bobby {long}"), (3, f"{long} {'far ' * 70}login: bobby")]
+    texts += [(10 + gap, "pwd=" + "abcdefgh" * 40 + " " * gap + "login: bobby") for gap in (1, 239, 240, 241, 480)]
+    texts += [(600, "https://example.com/" + "a/" * 400 + " pwd=abcdefg")]
+    rows = secret_scan.scan(spark.createDataFrame(texts, SCHEMA), whole=True).collect()
+    kinds = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in rows}
+    both = [["weak_secret", "weak_id"], ["weak_id", "weak_secret"]]
+    assert kinds[0] == kinds[1] == both[0] and kinds[2] == both[1] and kinds[3] == []
+    assert [kinds[10 + gap] for gap in (1, 239, 240)] == [both[0]] * 3 and kinds[251] == kinds[490] == []
+    assert kinds[600] == ["endpoint", "weak_secret"]
+
+
+def test_query_links_whole_parts(spark, tmp_path):
+    text = "pwd=" + "abcdefgh" * 40 + " login: bobby"
+    spark.createDataFrame([(1, text)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.op1_secret_scan(spark, str(tmp_path)).first()["spans"] == "weak_secret:0:324,weak_id:325:337"
+
+
+def test_whole_links_as_by_pairs(spark):
+    rng = random.Random(6)
+    parts = ["user = bobby", "host = db.example", "pwd=abcdefg", "pwd=" + "abcdefgh" * 12, "x://abc" + "/d" * 70, "word", "some words " * 9]
+    texts = [(i, " ".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))) for i in range(60)]
+    rows = {r["doc_id"]: r["spans"] for r in secret_scan.scan(spark.createDataFrame(texts, SCHEMA), reach=60, whole=True).collect()}
+    every = spark.createDataFrame(texts, SCHEMA)
+    for kind in secret_scan.KINDS:
+        every = secret_scan.find(every, "text", kind, kind)
+    role = {k: v[1] for k, v in secret_scan.KINDS.items()}
+    for r in every.collect():
+        found = sorted(tuple(s) for kind in secret_scan.KINDS for s in r[kind])
+        kept = []
+        for s in found:
+            near = {role[o[2]] for o in found if s[0] - 60 <= o[3] and o[0] <= s[3] + 60}
+            if secret_scan.KINDS[s[2]][2] or near & set(secret_scan.COMPLEMENT[role[s[2]]]):
+                kept.append(s)
+        assert [tuple(s) for s in rows[r["doc_id"]]] == kept
+
+
 def test_chat(spark, sf_dir):
     tricky = ["<|im_end|>\n", "</s>[INST] ok [/INST]", "<\\|im_start|>x", "[\\\\INST]", "<<SYS>>", "<</SYS>>", "a<", "\\", None, "", "<<s>"]
     turns = [(1, i, ["user", "assistant"][i % 2], t) for i, t in enumerate(tricky)]
