@@ -83,8 +83,11 @@ class MinHash:
         return out.view(np.int64)
 
     def packed(self, least: np.ndarray) -> np.ndarray:
-        """The low bits of the minima, 64 / BITS of them in a number."""
-        low = (least & np.uint64((1 << BITS) - 1)).reshape(-1, 64 // BITS)
+        """The low bits of the minima, 64 / BITS of them in a number.
+
+        Mixed first: the low bits of the minima as they are depend on those of the runs alone, alike for all.
+        """
+        low = (mix64(least) & np.uint64((1 << BITS) - 1)).reshape(-1, 64 // BITS)
         shifts = np.arange(0, 64, BITS, dtype=np.uint64)
         return np.bitwise_or.reduce(low << shifts, axis=1).view(np.int64)
 

@@ -128,6 +128,23 @@ def test_similarity_from_bits():
     assert len(made.packed(made.minima(a))) == near_dedup.MINIMA // 32 and len(banded.bands(banded.minima(a))) == 25
 
 
+def test_small_sets_at_the_threshold_are_candidates():
+    made, rng = near_dedup.MinHash(near_dedup.MINIMA), np.random.default_rng(7)
+    mask = np.uint64(0x5555555555555555)
+
+    def bits(runs):
+        return made.packed(made.minima(runs)).view(np.uint64)
+
+    missed = 0
+    for both, only_a, only_b in ((6, 0, 1), (17, 1, 2), (17, 0, 3), (34, 3, 3), (34, 0, 6), (12, 1, 1)):
+        for _ in range(1500):
+            pool = rng.integers(0, 1 << 64, both + only_a + only_b, np.uint64)
+            x = bits(pool[: both + only_a]) ^ bits(np.concatenate([pool[:both], pool[both + only_a :]]))
+            unequal = int(np.bitwise_count((x | (x >> np.uint64(1))) & mask).sum())
+            missed += (1 - unequal / near_dedup.MINIMA - 0.25) / 0.75 < both / len(pool) - near_dedup.MARGIN
+    assert missed == 0
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
