@@ -15,6 +15,8 @@ from fleetlake.llm import bpe, line_dedup, mixing, near_dedup, quality
 from fleetlake.registry import query
 from fleetlake.session import load, mark, release, scratch
 
+#: Hundredths from which on the stage links near-duplicates; the query op9 has its own, 85.
+SIMILARITY = 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -37,7 +39,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return near_dedup.dedup(docs.select(*COLUMNS))
+    return near_dedup.dedup(docs.select(*COLUMNS), similarity=SIMILARITY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ No pairs are spelt out within large groups:
    and estimate have to allow the threshold, so what comes out are pairs to confirm. Crowded buckets are
    cut into portions that meet portion by portion.
 
-The groups are the connected components of all links among candidates. A pair of similarity 0.85 or
+The groups are the connected components of all links among candidates. A pair of the threshold's similarity or
 more misses all bands with a probability below 1e-6, and is dropped by the estimate with about the same.
 
 Words are hashed to 64 bits; sets are compared as sets of such numbers. Groups are found by alternating
@@ -30,6 +30,7 @@ verdict. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,8 @@ MINIMA, BITS = 768, 2
 SIMILARITY = 85  # hundredths
 #: Estimates of this much less than the threshold are still confirmed: 4.5 standard deviations.
 MARGIN = 0.068
+#: Largest probability that a pair at the threshold misses all bands.
+MISSED = 1e-6
 #: Sets of a bucket that meet in one portion.
 PORTION = 1024
 SEED = 11
@@ -59,6 +62,18 @@ def shingles(words: Words, data: bytes, run: int = RUN) -> np.ndarray:
     return np.unique(rolling(numbers, min(run, len(numbers))) + np.uint64(min(run, len(numbers))))
 
 
+def bands_for(similarity: int) -> int:
+    """Bands that a pair of this similarity (hundredths) misses with a probability of ``MISSED`` at most."""
+    return max(BANDS, math.ceil(math.log(MISSED) / math.log1p(-((similarity / 100) ** ROWS))))
+
+
+def margin_for(similarity: int) -> float:
+    """``MARGIN`` for a lower threshold, where estimates vary more."""
+    chance = 2.0**-BITS
+    equal = chance + (1 - chance) * similarity / 100
+    return max(MARGIN, 4.5 * math.sqrt(equal * (1 - equal) / MINIMA) / (1 - chance))
+
+
 class MinHash:
     """``count`` minima of sets; one per task and use."""
 
@@ -66,7 +81,7 @@ class MinHash:
         rng = np.random.default_rng([seed, count])
         self.times = rng.integers(0, 1 << 63, count, np.uint64) * np.uint64(2) + np.uint64(1)
         self.plus = rng.integers(0, 1 << 63, count, np.uint64)
-        self.band = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
+        self.band = mix64(np.arange(1, count // ROWS + 1, dtype=np.uint64))
 
     def minima(self, runs: np.ndarray) -> np.ndarray:
         least = np.full(len(self.plus), np.iinfo(np.uint64).max, np.uint64)
@@ -76,7 +91,7 @@ class MinHash:
         return least
 
     def bands(self, least: np.ndarray) -> np.ndarray:
-        rows = least.reshape(BANDS, ROWS)
+        rows = least.reshape(-1, ROWS)
         out = self.band.copy()
         for r in range(ROWS):
             out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + rows[:, r])
@@ -92,12 +107,12 @@ class MinHash:
         return np.bitwise_or.reduce(low << shifts, axis=1).view(np.int64)
 
 
-def signatures(docs: DataFrame, text: str = "text", into: str = "sig") -> DataFrame:
+def signatures(docs: DataFrame, text: str = "text", into: str = "sig", count: int = BANDS) -> DataFrame:
     """``docs`` with a struct ``into``: n, set1, set2 (which name the set), bands."""
 
     @F.arrow_udf("struct<n:bigint,set1:bigint,set2:bigint,bands:array<bigint>>")
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words, minhash = Words(), MinHash(BANDS * ROWS)
+        words, minhash = Words(), MinHash(count * ROWS)
         for batch in batches:
             n, one, two, bands = [], [], [], []
             for value in batch:
@@ -144,7 +159,7 @@ def estimate(a: str, b: str) -> Column:
 def _may_link(similarity: int) -> Column:
     """Whether sets with sizes n_a, n_b and bits bits_a, bits_b may reach the similarity."""
     sizes = 100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
-    return sizes & (estimate("bits_a", "bits_b") >= similarity / 100 - MARGIN)
+    return sizes & (estimate("bits_a", "bits_b") >= similarity / 100 - margin_for(similarity))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, similarity: int, run: int = RUN) -> DataFrame:
@@ -211,7 +226,7 @@ def groups(
     hashes = {"text1": F.xxhash64(text), "text2": F.hash(text)}
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *[c.alias(n) for n, c in hashes.items()])
     signed = materialize(
-        signatures(slim).select(F.monotonically_increasing_id().alias("row"), "key", "text1", "text2", "sig.*"),
+        signatures(slim, count=bands_for(similarity)).select(F.monotonically_increasing_id().alias("row"), "key", "text1", "text2", "sig.*"),
         "signatures",
     )
     sets = materialize(

@@ -145,6 +145,19 @@ def test_small_sets_at_the_threshold_are_candidates():
     assert missed == 0
 
 
+def test_near_stage_links_from_80(spark):
+    rng, rows = random.Random(12), []
+    for family in range(40):
+        base = [f"f{family}w{i}" for i in range(44)]  # 40 runs; k changed words at the end leave 40 - k
+        for k in (0, 4, 5):
+            rows.append((len(rows), " ".join([*base[: 44 - k], *(f"n{rng.random()}" for _ in range(k))])))
+    expected = brute.near_groups(rows, 80)
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.dedup_near(spark, docs, "").collect()}
+    assert kept == {k for k, v in expected.items() if k == v[1]} != {k for k, v in brute.near_groups(rows).items() if k == v[1]}
+    assert near_dedup.bands_for(85) == near_dedup.BANDS and (1 - 0.8**5) ** near_dedup.bands_for(80) <= 1e-6
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
