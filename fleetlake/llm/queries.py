@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..session import load
-from . import bpe, chat, html, language, line_dedup, mixing, near_dedup, negatives, quality, secret_scan, simhash, vectors
+from . import bpe, chat, html, language, line_dedup, mixing, near_dedup, negatives, quality, ranked, secret_scan, simhash, vectors
 
 
 def ranks_path() -> str:
@@ -153,6 +153,36 @@ def op10_html_main_text(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+RANKED_SQL = r"""
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), length AS (
+  SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id
+), m AS (
+  SELECT doc_id, 10 + (90 * n * (SELECT count(*) FROM length)) // (SELECT sum(n)::BIGINT FROM length) AS m FROM length
+), tf AS (
+  SELECT doc_id, term, count(*) AS tf FROM terms SEMI JOIN asked USING (term) GROUP BY doc_id, term
+), w AS (
+  SELECT term, floor(1000 * ln((2 * (SELECT count(*) FROM length) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf GROUP BY term
+), scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@query("op11_ranked_search", RANKED_SQL)
+def op11_ranked_search(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    return ranked.search(docs, load(spark, d, "benchmark").select("item_id", "text"), k=10)
+
+
 NEGATIVES_SQL = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
