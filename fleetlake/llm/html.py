@@ -6,8 +6,11 @@ and fused into one score per path, which is taken as a share of the page's media
 damped length), so that no single block sets the scale. On a page that names its main text, paths inside
 it are moved up and those outside down, by less than the threshold. Paths above the threshold give the content, and
 with them the lists, quotes, tables and preformatted texts that stand in an element with chosen text,
-unless most of such a part is links. Nothing inside an element that names navigation, adverts, notices,
-forms or comments is looked at. Each page is judged by itself: no shuffle, and a task holds one Arrow batch.
+unless most of such a part is links. Nothing inside an element for navigation, scripts, controls and the like is
+looked at. An element that is named (by class, id or role) after menus, adverts, notices, comments and the like, a form, or
+the page's header goes with all its text only if that is the smaller part of what stands around it: names also
+occur on wrappers of the whole page, so one that holds the bulk of the text, or the page's article, is an
+element like any other. Each page is judged by itself: no shuffle, and a task holds one Arrow batch.
 
 Defined cases: a null or empty page has the empty text. A page cut off anywhere is read as if its open
 elements were closed at its end. Rows that repeat are read each for itself. Extra columns are kept; a
@@ -33,7 +36,7 @@ INLINE = frozenset(
     "small span strike strong sub sup time tt u var wbr".split()
 )
 SKIPPED = frozenset(
-    "nav footer aside form script style noscript template iframe object embed svg math canvas audio video "
+    "nav footer aside script style noscript template iframe object embed svg math canvas audio video "
     "button select option textarea input label dialog menu head title".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -64,6 +67,14 @@ OTHER = re.compile(
     r"search|complementary|contentinfo|pagination|tags|skip)(?:$|[\s_-])",
     re.I,
 )
+# Words that make of such a name a state of the page ("no-sidebar", "comments-open"); it names nothing then.
+STATE = re.compile(
+    r"(?:^|(?<=\s))(?:(?:no|not|with|without|has|have|hide|hides|show|shows|is)[_-]\S+|"
+    r"\S+[_-](?:open|opened|closed|on|off|enabled|disabled|allowed|active|inactive|hidden|visible|none))(?=\s|$)",
+    re.I,
+)
+# Words of names for reader comments, which may be longer than the article.
+READERS = re.compile(r"(?:^|[\s_-])(?:comments?|replies|respond|disqus|discussion)(?:$|[\s_-])", re.I)
 PAGE_HEADER = re.compile(r"(?:^|[\s_-])(?:header|banner|top)(?:$|[\s_-])", re.I)
 MAIN = re.compile(r"(?:^|[\s_-])(?:main|article|content|post|entry|story|body)(?:$|[\s_-])", re.I)
 
@@ -89,10 +100,17 @@ PRIOR = 0.15
 LINKS = 0.5
 
 
+#: Share of the text around it from which on an element named after something else is kept: in general, if it holds an
+#: article or main element, and if it is named after comments.
+HELD, HELD_MAIN, HELD_READERS = 0.5, 0.2, 0.9
+
+
 def _part(name: str, attributes: str, inside_main: bool) -> int:
-    """-1 for an element that holds other text, 1 for one that names the main text, 0 for neither."""
-    if name in SKIPPED or (name == "header" and not inside_main):
+    """What an element says of its text: -1 other text, -2 named after other text, -3 after readers' comments,
+    1 named after the main text, 0 nothing."""
+    if name in SKIPPED:
         return -1
+    doubt = -2 if name == "form" or (name == "header" and not inside_main) else 0
     if attributes:
         for key, value in _NAMES.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
@@ -102,11 +120,20 @@ def _part(name: str, attributes: str, inside_main: bool) -> int:
                 if _HIDDEN.search(value):
                     return -1
             elif name not in ("html", "body", "article", "main"):
+                value = STATE.sub(" ", value)
                 if OTHER.search(value) or (not inside_main and PAGE_HEADER.search(value)):
-                    return -1
-                if MAIN.search(value) and name in ("div", "section", "td"):
-                    return 1
-    return 1 if name in ("article", "main") else 0
+                    doubt = min(doubt, -3 if READERS.search(value) else -2)
+                elif not doubt and MAIN.search(value) and name in ("div", "section", "td"):
+                    doubt = 1
+    return 1 if name in ("article", "main") else doubt
+
+
+class Doubt:
+    """An element named after something other than the main text: whether after comments, and the number of the
+    article or main element around it (0: none)."""
+
+    def __init__(self, readers: bool, scope: int) -> None:
+        self.readers, self.scope = readers, scope
 
 
 def blocks(page: str) -> list[tuple[str, str, bool, bool, int, tuple[tuple[str, int], ...]]]:
@@ -116,6 +143,7 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool, int, tuple[tuple[str,
     root down as (name, number in the page)).
     """
     out: list[tuple[str, str, bool, bool, int, tuple[tuple[str, int], ...]]] = []
+    doubts: dict[int, Doubt] = {}
     stack: list[tuple[str, int, int, str, int]] = []  # name, elements of other text, of main text, path, number
     parts: list[str] = []
     linked: list[str] = []
@@ -188,9 +216,41 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool, int, tuple[tuple[str,
         _, other, main, path, _ = stack[-1] if stack else ("", 0, 0, "", 0)
         part = _part(name, attributes, main > 0)
         number += 1
-        stack.append((name, other + (part < 0), main + (part > 0), f"{path}/{name}", number))
+        if part < -1:
+            doubts[number] = Doubt(part == -3, next((i for n, _, _, _, i in reversed(stack) if n in ("article", "main")), 0))
+        stack.append((name, other + (part == -1), main + (part > 0), f"{path}/{name}", number))
     flush()
-    return out
+    return _without(out, doubts) if doubts else out
+
+
+def _without(found: list, doubts: dict[int, Doubt]) -> list:
+    """``found`` less what lies in elements named after other text that do not hold the bulk of the text around them."""
+    plain = [max(len(block[1]) - block[4], 0) for block in found]
+    inside = {i: 0 for i in doubts}  # text of the element
+    mains = dict.fromkeys(doubts, 0)  # of it in article and main elements inside
+    around = {0: 0}  # text of the page, and of each article or main element
+    articles = 0
+    for block, size in zip(found, plain, strict=True):
+        own = [i for name, i in block[5] if name in ("article", "main")]
+        around[0] += size
+        articles += size * bool(own)
+        for i in own:
+            around[i] = around.get(i, 0) + size
+        for _, i in block[5]:
+            if i in doubts:
+                inside[i] += size
+                mains[i] += size * any(main > i for main in own)
+    gone = set()
+    for i, doubt in doubts.items():
+        whole = around.get(doubt.scope, 0)
+        rival = 0 if doubt.scope else articles - mains[i]
+        if not whole or (rival >= HELD_MAIN * whole and not mains[i]):
+            gone.add(i)
+            continue
+        least = HELD_READERS if doubt.readers else HELD_MAIN if mains[i] else HELD
+        if inside[i] < least * whole:
+            gone.add(i)
+    return [block for block in found if not any(i in gone for _, i in block[5])]
 
 
 def _beside(found: list, chosen: np.ndarray, length: np.ndarray, plain: np.ndarray) -> None:

@@ -6,12 +6,13 @@ found by spherical k-means over its labelled sample. The nearest centroid by cos
 language; a text farther from it than the centroid's own radius is marked as rejected.
 
 Fitting reads a bounded, documented sample (``SAMPLE`` labelled rows in all, shared out evenly over the
-languages, chosen by hash). The texts of the sample are turned into vectors by the tasks, so what
+languages: of each those with the least hashes of key and text). The texts of the sample are turned into vectors by the tasks, so what
 reaches the driver is at most ``SAMPLE`` vectors of ``DIMENSIONS`` entries. Prediction covers every
 whole text by itself, without a shuffle; it sees the text alone.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and rejected, and so is
-every text if nothing is labelled. Ties go to the language first in order. Rows that repeat are judged
+every text if nothing is labelled. A language none of whose sampled texts
+has a letter has no centroid. Null and repeated keys are sampled by their texts. Ties go to the language first in order. Rows that repeat are judged
 each for itself. Extra columns are kept; a column with the result's name is replaced.
 """
 
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIMENSIONS = 4096
@@ -115,13 +116,17 @@ def _cluster(vectors: np.ndarray, k: int) -> np.ndarray:
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Learn from the rows of ``labelled`` whose text and label are set; ``key`` only picks the sample."""
-    rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(key).alias("k")).where("l IS NOT NULL")
-    sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
-    share = max(1, sample // max(len(sizes), 1))
-    bound: Column = F.lit(0)
-    for label, size in sizes.items():
-        bound = F.when(F.col("l") == label, int(min(1.0, share / size) * (1 << 20))).otherwise(bound)
-    taken = rows.where((F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < bound) & F.col("t").isNotNull())
+    rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(key).alias("k")).where("l IS NOT NULL AND t IS NOT NULL")
+    rows = rows.withColumn("h", F.xxhash64("k", "t"))
+    share = max(1, sample // max(rows.select("l").distinct().count(), 1))
+    # Each task keeps the least hashes of what it reads, so a language of any size moves few rows, and texts move only for the sample.
+    least = Window.partitionBy("l").orderBy("h")
+    first = rows.select("l", "h", F.row_number().over(least).alias("r")).where(F.col("r") <= share)
+    bound: Column = F.lit(None).cast("long")
+    for r in first.groupBy("l").agg(F.max("h").alias("h")).collect():  # a line per language
+        bound = F.when(F.col("l") == r["l"], r["h"]).otherwise(bound)
+    order = Window.partitionBy("l").orderBy("h", "k", "t")
+    taken = rows.where(F.col("h") <= bound).withColumn("r", F.row_number().over(order)).where(F.col("r") <= share)
 
     @F.arrow_udf("struct<bins:array<smallint>,counts:array<int>>")
     def sparse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -13,7 +13,8 @@ are indexed and every query sees all codes.
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component take no part.
 Vectors meet only vectors of the same number of components. Equal distances go by the smaller id, null
 ids last; equal rows count each for itself, and a query's own row is left out. With fewer candidates than
-asked for, all are returned. An empty table gives an empty table. Other columns are left out.
+asked for, all are returned. Ids have to be of an integer type (else TypeError). Distances whose squares leave
+the range of doubles are infinite, and go by id. An empty table gives an empty table. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
 
@@ -63,7 +65,7 @@ def index(
         "v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     )
     clean = (
-        rows.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+        rows.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
         .where(F.coalesce(usable, F.lit(False)))
         .where(F.exists("v", lambda x: x != 0))
         .withColumn("size", F.size("v"))
@@ -99,7 +101,7 @@ def best_of_block(vectors: pa.Table, queries: pa.Table, k: int, centre: np.ndarr
     """Each query's ``k`` nearest of one block."""
     size = len(centre)
     out: dict[str, list] = {"query": [], "query_key": [], "row": [], "key": [], "score": []}
-    plain, asked = _flat(vectors["v"], size), _flat(queries["v"], size)
+    plain, asked = _flat(vectors["v"], size), _flat(queries["q_v"], size)
     rows, keys = vectors["row"].to_numpy(), np.array(vectors["key"].to_pylist(), object)
     order = np.array([(key is None, 0 if key is None else key, row) for key, row in zip(keys, rows, strict=True)], dtype=[("n", "?"), ("k", "i8"), ("r", "i8")])
     place = np.empty(len(rows), np.int64)
@@ -116,7 +118,7 @@ def best_of_block(vectors: pa.Table, queries: pa.Table, k: int, centre: np.ndarr
     # Sum of a query's components where a byte's bits are set, for each byte of a code and its 256 values.
     tables = padded.reshape(len(turned), -1, 8) @ patterns.T
     every = np.arange(bits.shape[1])[:, None]
-    query_rows, query_keys = queries["row"].to_numpy(), queries["key"].to_pylist()
+    query_rows, query_keys = queries["q_row"].to_numpy(), queries["q_key"].to_pylist()
     for q in range(len(asked)):
         other = rows != query_rows[q]
         dot = (2 * tables[q][every, bits.T].sum(axis=0) - turned[q].sum()) / np.sqrt(size) / own
@@ -152,6 +154,9 @@ def nearest(rows: DataFrame, asked: Column, k: int = 10, key: str = "vec_id", ve
 
     Returns query_id, rank (from 1), vec_id and score.
     """
+    kind = rows.schema[key].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"ids have to be of an integer type: {key} is {kind.simpleString()}")
     coded, centres = index(rows, key, vector)
     total = coded.count()
     wanted = coded.withColumn(key, F.col("key")).where(asked).drop(key)
@@ -163,7 +168,8 @@ def nearest(rows: DataFrame, asked: Column, k: int = 10, key: str = "vec_id", ve
     right = (
         wanted.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(query_blocks)).cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        .select("block", "part", "size", "row", "key", "v")
+        # Columns of its own: both sides come from one table, and would lose those that the other does not need.
+        .select(*[F.col(c).alias(f"q_{c}") for c in ("block", "part", "size", "row", "key", "v")])
     )
     schema = "query long, query_key long, row long, key long, score double"
     kinds = [("query", pa.int64()), ("query_key", pa.int64()), ("row", pa.int64()), ("key", pa.int64()), ("score", pa.float64())]
@@ -174,7 +180,7 @@ def nearest(rows: DataFrame, asked: Column, k: int = 10, key: str = "vec_id", ve
         found = best_of_block(vectors, queries, k, centres[vectors["size"][0].as_py()])
         return pa.table({n: pa.array(found[n], t) for n, t in kinds})
 
-    pairs = left.groupBy("size", "block", "part").cogroup(right.groupBy("size", "block", "part")).applyInArrow(meet, schema)
+    pairs = left.groupBy("size", "block", "part").cogroup(right.groupBy("q_size", "q_block", "q_part")).applyInArrow(meet, schema)
     order = Window.partitionBy("query").orderBy("score", F.col("key").asc_nulls_last(), "row")
     return (
         pairs.withColumn("rank", F.row_number().over(order))

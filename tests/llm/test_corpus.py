@@ -54,6 +54,19 @@ def test_odd_vectors(spark):
     assert vectors.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_parts_of_the_nearest(spark, sf_dir):
+    """Whatever columns are asked for."""
+    found = queries.op4_nearest_vectors(spark, sf_dir)
+    rows = found.toPandas()
+    assert found.count() == len(rows) and found.groupBy("vec_id").count().count() == rows.vec_id.nunique()
+    assert sorted(r["score"] for r in found.select("score").collect()) == sorted(rows.score)
+    assert found.agg(F.sum("score")).first()[0] == pytest.approx(rows.score.sum())
+    with pytest.raises(TypeError):
+        vectors.nearest(load(spark, sf_dir, "embeddings").withColumn("vec_id", F.col("vec_id").cast("string")), F.lit(True))
+    small = load(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("vec_id"), "embedding")
+    assert vectors.nearest(small, F.col("vec_id") % 100 == 0).count() == len(rows)
+
+
 def test_estimates_hold_their_bound():
     rng = np.random.default_rng(2)
     points, mean, turn = rng.standard_normal((2000, 64)), np.zeros(64), vectors.rotation(64)
@@ -285,7 +298,7 @@ def test_pipeline(spark, sf_dir):
     cut = brute.cut_lines(zip(quality.doc_id, quality.text, strict=True))
     lines = results["line dedup"].set_index("doc_id").text
     assert lines.to_dict() == {k: t for k, (t, lost) in cut.items() if not lost or brute.words(t)}
-    near = brute.near_groups(lines.items())
+    near = brute.near_groups(lines.items(), corpus_pipeline.SIMILARITY)
     assert set(results["near dedup"].doc_id) == {k for k, (_, c) in near.items() if k == c}
     mixed, before = results["mixing"], results["near dedup"].set_index("doc_id")
     size = before.text.map(lambda t: len(brute.words(t)))

@@ -281,6 +281,37 @@ def test_parts_of_unnamed_main_text(part, size):
     assert html.content(page).split("\n\n") == own
 
 
+ARTICLE = "".join(f"<p>{SENTENCE * 4}</p>" for _ in range(8))
+WRAPPERS = [
+    '<div class="content no-sidebar">{}</div>', '<div class="row with-sidebar">{}</div>', '<div class="post-body comments-open">{}</div>',
+    '<div class="entry-content tags-on">{}</div>', '<div id="top">{}</div>', '<div class="site-header-fixed">{}</div>', '<form id="aspnetForm">{}</form>',
+    '<div class="page widget">{}</div>', '<div class="social related">{}</div>',
+]
+
+
+@pytest.mark.parametrize("inner", ["{}", "<article>{}</article>"])
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_names_on_wrappers_of_the_text(wrapper, inner):
+    expected = [(SENTENCE * 4).strip()] * 8
+    other = "<div class='menu'><a href='/'>Home</a> <a href='/b'>News</a></div><div class='advert'>Buy one, and get another one.</div>"
+    for page in (wrapper.format(inner.format(ARTICLE)), inner.format(wrapper.format(ARTICLE))):
+        assert html.content(f"<body>{other}{page}<div class='footer'>All rights reserved.</div></body>").split("\n\n") == expected
+        # Parts named after other things go from inside such a wrapper too.
+        inside = page.replace("<p>", "<div class='sidebar'><p>Look at this, and at that.</p></div><p>", 1)
+        assert html.content(f"<body>{other}{inside}</body>").split("\n\n") == expected
+
+
+def test_other_text_that_is_longer_than_the_article():
+    comments = f"<div id='comments'>{ARTICLE * 3}</div>"
+    teasers = "<div class='related'>" + f"<article><p>{SENTENCE}</p></article>" * 3 + "</div>"
+    aside = f"<div class='sidebar'>{ARTICLE * 2}</div>"
+    expected = [(SENTENCE * 4).strip()] * 8
+    for more in (comments, teasers, aside, comments + teasers):
+        assert html.content(f"<body><article>{ARTICLE}</article>{more}</body>").split("\n\n") == expected
+    assert html.content(f"<body><div>{ARTICLE}</div>{comments}</body>").split("\n\n") == expected
+    assert html.content(f"<body><article>{ARTICLE}{comments}</article></body>").split("\n\n") == expected
+
+
 def test_parts_alone():
     assert html.content("<dl>" + f"<dt>Term<dd>{SENTENCE * 3}" * 5 + "</dl>").split("\n\n") == ["Term", (SENTENCE * 3).strip()] * 5
     assert html.content("<table><tr><th>a<th>b" + f"<tr><td>{SENTENCE * 3}<td>12" * 5 + "</table>").startswith("a\n\nb\n\nSome")
@@ -314,6 +345,46 @@ def test_language(spark, sf_dir):
     assert {r["language"]["lang"] for r in language.predict(odd(spark), empty).collect()} == {"und"}
 
 
+def test_nearest_centroid_as_by_all(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    model = language.fit(docs)
+    grams = language.Grams()
+    for r in language.predict(docs.select("text"), model).collect():
+        counts = grams.counts(r["text"])
+        lang, score, rejected = r["language"]
+        if counts is None:
+            assert (lang, score, rejected) == ("und", 0.0, True)
+            continue
+        v = np.log1p(counts) * model.idf
+        near = [float(np.dot(c, v)) / float(np.linalg.norm(v)) for c in model.centroids]
+        best = max(near)
+        assert abs(score - min(max(best, 0), 1)) < 1e-5
+        assert lang in {model.languages[model.language[i]] for i, x in enumerate(near) if x > best - 1e-5}
+
+
+def test_unknown_languages_are_rejected(spark, sf_dir):
+    model = language.fit(load(spark, sf_dir, "documents"))
+    texts = ["Это предложение написано на языке которого нет в образце и повторяется " * 4, "qxzv wkjq zzxq vqkx jwzq xkcd qqzz vvkk " * 12, "日本語の文章はここにあります " * 9]
+    rows = language.predict(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()
+    assert all(r["language"]["rejected"] for r in rows)
+    own = language.predict(load(spark, sf_dir, "documents").where("length(text) > 2000"), model)
+    assert own.where("language.rejected").count() <= 0.1 * own.count()
+
+
+def test_sample_of_any_size(spark, monkeypatch):
+    # Rows without a key, and repeats, have no common fate, and the sample stays bounded.
+    docs = spark.range(4000).select(
+        F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("words of text "), F.col("id") % 700).alias("text"), F.lit("en").alias("lang")
+    ).union(spark.range(3000).select(F.lit(7).cast("long"), F.lit("the same text"), F.lit("fr")))
+    model = language.fit(docs, sample=60)
+    assert model.languages == ["en", "fr"] and len(set(model.language.tolist())) == 2
+    taken = []
+    fitted = language._cluster
+    monkeypatch.setattr(language, "_cluster", lambda own, k: taken.append(len(own)) or fitted(own, k))
+    language.fit(docs, sample=60)
+    assert taken == [30, 30]
+
+
 def test_sample_is_bounded(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some text "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
     assert isinstance(language.fit(docs, sample=50).centroids, np.ndarray)
