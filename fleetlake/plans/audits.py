@@ -17,6 +17,7 @@ from ..operators import lookups as L
 from ..operators import reconcile as R
 from ..operators import rollups as A
 from ..operators.latest import newest_valid_backup
+from ..operators.lines import with_line_edits
 from ..session import materialize
 from ..sources.listing import MIN_BACKUP_BYTES, valid_backups
 
@@ -69,9 +70,22 @@ def line_diff(definitions: DataFrame, seed: Column) -> DataFrame:
     return counts.select("hash", F.when(F.col("n") > 0, "+").otherwise("-").alias("sign"), "line", F.abs("n").alias("n"))
 
 
+def ordered_line_diff(definitions: DataFrame, seed: Column) -> DataFrame:
+    """(hash, place, sign, line): each drifted definition as an ordered difference from the seed.
+
+    One definition stands for each hash, and is compared once however many places hold it. Lines are kept (blank), missing (-)
+    or added (+); lines that only changed places are missing at one and added at the other.
+    """
+    hashed = definitions.withColumn("__ddl", normalize_ddl(F.col("ddl")))
+    one = hashed.groupBy(F.md5(F.col("__ddl").cast("binary")).alias("hash")).agg(F.min("__ddl").alias("ddl"))
+    drifted = one.where(F.col("ddl") != normalize_ddl(seed))
+    edits = with_line_edits(drifted, normalize_ddl(seed), F.col("ddl"))
+    return edits.select("hash", F.posexplode("edits").alias("place", "x")).select("hash", "place", "x.*")
+
+
 def drift_audit(definitions: DataFrame, seed: Column) -> tuple[DataFrame, DataFrame]:
-    """(where each drifted definition is found, how it differs)."""
-    return A.schema_drift(definitions, seed), line_diff(definitions, seed)
+    """(where each drifted definition is found, how it differs line by line, in order)."""
+    return A.schema_drift(definitions, seed), ordered_line_diff(definitions, seed)
 
 
 def server_report(

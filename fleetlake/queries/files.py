@@ -191,7 +191,7 @@ def success_markers(spark, d):
 @query("keyed_table", SQL_UPSERT.replace("DIRECTION", "DESC").replace("BY src DESC, ", "BY "))
 def keyed_table(spark, d):
     target, changes = sizes(spark, d)
-    table = KeyedTable(spark, scratch(spark, "keyed"), ["user_id", "day"], ["event_id"], buckets=8)
+    table = KeyedTable(spark, scratch(spark, "keyed"), ["user_id", "day"], ["event_id"])
     table.merge(target)
     table.merge(changes)
     # Merging again, as after a failure, changes nothing.

@@ -84,7 +84,29 @@ def placement_audit(spark, d):
     SELECT hash, '+' AS sign, norm AS line, 1 AS n FROM drift UNION ALL SELECT hash, '-', 'CREATE TABLE t (en) ENGINE=InnoDB ', 1 FROM drift""",
 )
 def schema_line_diff(spark, d):
-    return J.drift_audit(definitions(spark, d), F.lit(SEED_DDL))[1]
+    return J.line_diff(definitions(spark, d), F.lit(SEED_DDL))
+
+
+# Twelve lines; a document's definition lacks one of them and has one more.
+WIDE_DDL = "\n".join(["CREATE TABLE t (", *[f"  c{i} int," for i in range(1, 11)], ")"])
+
+
+@query(
+    "ordered_schema_diff",
+    """WITH x AS (SELECT DISTINCT doc_id % 10 AS i, doc_id % 7 - CASE WHEN doc_id % 7 = doc_id % 10 THEN 1 ELSE 0 END AS gap, lang FROM documents),
+    seed AS (SELECT k, CASE k WHEN 0 THEN 'CREATE TABLE t (' WHEN 11 THEN ')' ELSE '  c' || k || ' int,' END AS line FROM range(12) r(k)),
+    edits AS (SELECT x.*, k AS spot, 0 AS o, ' ' AS sign, line FROM x, seed WHERE k <> i
+      UNION ALL SELECT x.*, i - 1, 1, '-', line FROM x JOIN seed ON k = i
+      UNION ALL SELECT x.*, gap, 2, '+', '  extra ' || lang FROM x)
+    SELECT md5(string_agg(CASE WHEN sign <> '-' THEN line END, chr(10) ORDER BY spot, o) OVER (PARTITION BY i, gap, lang ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS hash,
+      CAST(row_number() OVER (PARTITION BY i, gap, lang ORDER BY spot, o) - 1 AS INTEGER) AS place, sign, line FROM edits""",
+)
+def ordered_schema_diff(spark, d):
+    dropped, added = F.col("doc_id") % 10, F.col("doc_id") % 7
+    lines = F.split(F.lit(WIDE_DDL), "\n")
+    kept = F.transform(lines, lambda line, k: F.array_compact(F.array(F.when(k != dropped, line), F.when(k == added, F.concat(F.lit("  extra "), F.col("lang"))))))
+    docs = load(spark, d, "documents").select(F.array_join(F.flatten(kept), "\n").alias("ddl"))
+    return J.drift_audit(docs.select(F.lit("host:3306").alias("instance"), F.lit("db").alias("db"), "ddl"), F.lit(WIDE_DDL))[1]
 
 
 @query(

@@ -10,6 +10,7 @@ from ..session import load, scratch
 from ..sinks.upsert import KeyedTable
 from ..sources.changes import read_change_stream
 from ..streaming import state as U
+from ..streaming import timers as M
 from ..streaming import windows as V
 from .common import EVENTS_AS_OF, SQL_EVENTS, cents
 from .lifecycle import SQL_LOCKS, SQL_STEPS, STEPS, lock_events, step_events
@@ -44,9 +45,9 @@ def sql_closed(end, delay):
 )
 def heartbeat_lag_stream(spark, d):
     """The newest windows count most to an alarm, so open ones are kept too."""
-    table = KeyedTable(spark, scratch(spark, "heartbeats"), ["user_id", "start"], ["heartbeat"], buckets=8)
+    table = KeyedTable(spark, scratch(spark, "heartbeats"), ["user_id", "start"], ["heartbeat"])
     stream = V.heartbeat_lag_stream(event_stream(spark, d), "user_id", "ts", "6 hours")
-    U.into_batches(stream, lambda batch, _: table.merge(batch), scratch(spark, "heartbeats-checkpoint"), "update")
+    U.merge_batches(stream, table, scratch(spark, "heartbeats-checkpoint"), "update")
     return table.read()
 
 
@@ -82,6 +83,63 @@ def lease_sessions_stream(spark, d):
     return U.collect_stream(V.lease_sessions_stream(event_stream(spark, d), ["user_id"], "ts", 6 * 3600), "leases")
 
 
+# What the last watermark has passed, in whole milliseconds.
+SQL_PASSED = "(SELECT make_timestamp(epoch_us(max(ts)) // 1000 * 1000) FROM events) - INTERVAL 10 MINUTE"
+
+
+@query(
+    "lease_stream",
+    f"""WITH RECURSIVE e AS (SELECT user_id % 30 AS part, 'user-' || user_id AS holder, ts, CASE event_type WHEN 'error' THEN 'release' WHEN 'view' THEN 'extend' ELSE 'take' END AS kind,
+      row_number() OVER (PARTITION BY user_id % 30 ORDER BY ts, CAST(event_id AS VARCHAR)) AS i FROM events WHERE ts <= {SQL_PASSED}),
+    s AS (
+      SELECT part, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS h, CAST(NULL AS TIMESTAMP) AS t0, CAST(NULL AS TIMESTAMP) AS t1, CAST(NULL AS BIGINT) AS n,
+        CAST(NULL AS VARCHAR) AS bh, CAST(NULL AS TIMESTAMP) AS b0, CAST(NULL AS TIMESTAMP) AS b1, CAST(NULL AS BIGINT) AS bn FROM e GROUP BY part
+      UNION ALL
+      SELECT part, i,
+        CASE WHEN bh IS NULL THEN CASE WHEN kind = 'take' THEN holder END WHEN bh = holder AND kind = 'release' THEN NULL ELSE bh END,
+        CASE WHEN bh IS NULL THEN CASE WHEN kind = 'take' THEN ts END WHEN bh = holder AND kind = 'release' THEN NULL ELSE b0 END,
+        CASE WHEN bh IS NULL THEN CASE WHEN kind = 'take' THEN ts END WHEN bh = holder THEN CASE WHEN kind <> 'release' THEN ts END ELSE b1 END,
+        CASE WHEN bh IS NULL THEN CASE WHEN kind = 'take' THEN 1 END WHEN bh = holder THEN CASE WHEN kind <> 'release' THEN bn + 1 END ELSE bn END,
+        bh, b0, b1, bn
+      FROM (SELECT e.*, CASE WHEN s.t1 + INTERVAL 6 HOUR > e.ts THEN s.h END AS bh, CASE WHEN s.t1 + INTERVAL 6 HOUR > e.ts THEN s.t0 END AS b0,
+          CASE WHEN s.t1 + INTERVAL 6 HOUR > e.ts THEN s.t1 END AS b1, CASE WHEN s.t1 + INTERVAL 6 HOUR > e.ts THEN s.n END AS bn
+        FROM s JOIN e ON e.part = s.part AND e.i = s.i + 1)),
+    w AS (SELECT s.*, e.ts, e.holder, e.kind, lead(e.ts) OVER (PARTITION BY s.part ORDER BY s.i) AS next_ts FROM s LEFT JOIN e ON e.part = s.part AND e.i = s.i)
+    SELECT part, holder, ts AS at, CASE WHEN bh = holder THEN 'released' WHEN bh IS NOT NULL AND kind = 'take' THEN 'refused' ELSE 'ignored' END AS outcome,
+      CASE WHEN bh = holder THEN b0 END AS lease_start, CASE WHEN bh = holder THEN ts END AS last_seen, CASE WHEN bh = holder THEN bn + 1 END AS n_events, CASE WHEN bh <> holder THEN bh END AS held_by
+    FROM w WHERE i > 0 AND NOT (bh IS NULL AND kind = 'take') AND NOT (bh IS NOT NULL AND bh = holder AND kind <> 'release')
+    UNION ALL SELECT part, h, t1 + INTERVAL 6 HOUR, 'expired', t0, t1, n, NULL FROM w
+    WHERE h IS NOT NULL AND t1 + INTERVAL 6 HOUR <= coalesce(next_ts, {SQL_PASSED})""",
+)
+def lease_stream(spark, d):
+    """Users compete for thirty leases: most events take one, views extend it, errors release it."""
+    kind = F.when(F.col("event_type") == "error", "release").when(F.col("event_type") == "view", "extend").otherwise("take")
+    stream = event_stream(M.stateful_session(spark), d).select(
+        (F.col("user_id") % 30).alias("part"), F.concat(F.lit("user-"), F.col("user_id")).alias("holder"), kind.alias("kind"), "ts", "event_id"
+    )
+    return spark.read.parquet(U.stream_to_path(M.lease_stream(stream, ["part"], "ts", "event_id", seconds=6 * 3600), "lease-outcomes"))
+
+
+@query(
+    "retirement_changes",
+    f"""WITH l AS (SELECT 'host-' || user_id AS hostname, 'i-' || (user_id % 140) AS instance_id, max(ts) FILTER (WHERE event_type = 'signup') AS r,
+      max(ts) FILTER (WHERE event_type = 'view' AND event_id % 40 = 0) AS s, max(ts) FILTER (WHERE event_type = 'purchase' AND event_id % 40 = 0) AS t
+      FROM events WHERE ts <= {SQL_PASSED} GROUP BY user_id)
+    SELECT * FROM (SELECT hostname, instance_id, coalesce(s, r) AS happened, CASE
+      WHEN s IS NULL AND r > {SQL_PASSED} - INTERVAL 18 HOUR THEN 'ADDED' WHEN s IS NULL AND r > {SQL_PASSED} - INTERVAL 21 DAY THEN 'READY_FOR_MYSQL_SHUTDOWN'
+      WHEN t IS NULL AND s > {SQL_PASSED} - INTERVAL 18 HOUR THEN 'MYSQL_SHUTDOWN' WHEN t IS NULL AND s > {SQL_PASSED} - INTERVAL 21 DAY THEN 'READY_FOR_TERMINATION' END AS state FROM l)
+    WHERE state IS NOT NULL""",
+)
+def retirement_changes(spark, d):
+    """The state that each server was last said to have."""
+    session = M.stateful_session(spark)
+    raw = event_stream(session, d)
+    stream = step_events(raw).withColumn("event_id", F.xxhash64("hostname", "ts", "activity"))
+    path = U.stream_to_path(M.retirement_changes(stream, STEPS, "ts", "event_id"), "retirement-changes")
+    last = spark.read.parquet(path).groupBy("hostname", "instance_id").agg(F.max_by(F.struct("happened", "state"), "at").alias("x"))
+    return last.select("hostname", "instance_id", "x.happened", "x.state").where("state <> 'LEFT'")
+
+
 # The second delivery has every tenth event; one whose window has closed by then is too late.
 SQL_IN_TIME = f"""
     placed AS (SELECT *, {sql_windows(3600)} AS start FROM events),
@@ -92,7 +150,7 @@ SQL_IN_TIME = f"""
 def late_deliveries(spark, d):
     """Events in two deliveries, counted per hour and kept: (windows, rows that arrived)."""
     root, checkpoint = scratch(spark, "deliveries"), scratch(spark, "late-checkpoint")
-    table = KeyedTable(spark, scratch(spark, "late"), ["event_type", "start"], ["n"], buckets=8)
+    table = KeyedTable(spark, scratch(spark, "late"), ["event_type", "start"], ["n"])
     arrived = 0
     for delivery in ("event_id % 10 <> 0", "event_id % 10 = 0"):
         load(spark, d, "events").where(delivery).write.mode("append").parquet(root)
@@ -119,7 +177,7 @@ def late_rows(spark, d):
 @query("active_locks_stream", f"WITH {SQL_LOCKS} SELECT lock_identifier, created_at, expires, replica_set FROM s WHERE state = 'active'")
 def active_locks_stream(spark, d):
     """Two events a lock: taken, then extended or released."""
-    table = KeyedTable(spark, scratch(spark, "locks"), ["lock_identifier"], ["created_at"], buckets=8)
+    table = KeyedTable(spark, scratch(spark, "locks"), ["lock_identifier"], ["created_at"])
     stream = lock_events(event_stream(spark, d))
     held = U.active_locks_stream(stream, table, scratch(spark, "locks-checkpoint"), moment(EVENTS_AS_OF))
     return held.select("lock_identifier", "created_at", "expires", "replica_set")
@@ -128,7 +186,7 @@ def active_locks_stream(spark, d):
 @query("lifecycle_stream", f"WITH {SQL_STEPS} SELECT * FROM states WHERE state IS NOT NULL")
 def lifecycle_stream(spark, d):
     keys = ["hostname", "instance_id", "activity"]
-    table = KeyedTable(spark, scratch(spark, "steps"), keys, ["happened"], buckets=8)
+    table = KeyedTable(spark, scratch(spark, "steps"), keys, ["happened"])
     stream = step_events(event_stream(spark, d)).withColumnRenamed("ts", "happened")
     return U.lifecycle_stream(stream, table, scratch(spark, "steps-checkpoint"), moment(EVENTS_AS_OF), STEPS)
 
@@ -166,7 +224,7 @@ def change_apply(spark, d):
         F.col("data")["user_id"].cast("long").alias("user_id"), F.col("data")["kind"].alias("kind"), "position",
         F.timestamp_seconds("ts").alias("ts"), "type",
     )
-    table = KeyedTable(spark, scratch(spark, "current"), ["user_id"], ["log_number", "log_offset"], buckets=8)
+    table = KeyedTable(spark, scratch(spark, "current"), ["user_id"], ["log_number", "log_offset"])
     return U.change_apply(stream, table, "position", "ts", scratch(spark, "current-checkpoint"), "40 days").drop("ts", "type")
 
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import threading
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ..operators.latest import first_per_key
 from ..operators.lifecycle import active_locks, lifecycle_state
 from ..operators.mining import mine_pairs
 from ..session import scratch, shared_root
@@ -30,12 +30,16 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     return query
 
 
+def stream_to_path(stream: DataFrame, name: str) -> str:
+    """The folder, shared by the cluster, that a stream's finished output is in."""
+    path = scratch(stream.sparkSession, name)
+    run_available(stream, path, scratch(stream.sparkSession, f"{name}-checkpoint"))
+    return path
+
+
 def collect_stream(stream: DataFrame, name: str) -> DataFrame:
     """The finished output of a stream, by way of the shared folder."""
-    spark = stream.sparkSession
-    path = scratch(spark, name)
-    run_available(stream, path, scratch(spark, f"{name}-checkpoint"))
-    return spark.read.schema(stream.schema).parquet(path)
+    return stream.sparkSession.read.schema(stream.schema).parquet(stream_to_path(stream, name))
 
 
 def into_batches(
@@ -53,25 +57,67 @@ def into_batches(
     return query
 
 
+def merge_batches(stream: DataFrame, table: KeyedTable, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Merge each batch of a stream into ``table``, under the stream's name and the batch's number."""
+    writer = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+    return into_batches(stream, lambda batch, number: table.merge(batch, number=number, writer=writer), checkpoint, mode)
+
+
+class Arrivals(StreamingQueryListener):
+    """Sums of an observed metric ``arrived`` over all batches of the queries that report it under ``name``.
+
+    Progress is told batch by batch, so no batch is forgotten, however many there are; a batch told twice counts once.
+    """
+
+    def __init__(self, name: str) -> None:
+        self.name, self.batches, self.ended, self.told = name, {}, set(), threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics.get(self.name)
+        if seen is not None:
+            self.batches[event.progress.batchId] = seen["arrived"]
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self.told:
+            self.ended.add(str(event.runId))
+            self.told.notify_all()
+
+    def wait_for(self, query: StreamingQuery, seconds: int = 60) -> None:
+        """Until all of an ended query's progress is told."""
+        with self.told:
+            if not self.told.wait_for(lambda: str(query.runId) in self.ended, seconds):
+                raise TimeoutError(f"the end of query {query.runId} was not told")
+
+
 def keep_windows(stream: DataFrame, table: KeyedTable, checkpoint: str, name: str = "arrivals") -> int:
     """Keep the newest state of every window, open ones too, in ``table``; returns the rows that arrived.
 
-    ``stream`` counts per window and observes its arrivals under ``name`` (see ``late_metrics``). What
-    arrived and is in no window came too late.
+    ``stream`` counts per window and observes its arrivals under ``name`` (see ``late_metrics``), a name that only this
+    query has at the time. What arrived and is in no window came too late.
     """
-    query = into_batches(stream, lambda batch, _: table.merge(batch), checkpoint, "update")
-    seen = [p.observedMetrics.get(name) for p in query.recentProgress]
-    return sum(row["arrived"] for row in seen if row)
+    arrivals = Arrivals(name)
+    streams = stream.sparkSession.streams
+    streams.addListener(arrivals)
+    try:
+        arrivals.wait_for(merge_batches(stream, table, checkpoint, "update"))
+    finally:
+        streams.removeListener(arrivals)
+    return sum(arrivals.batches.values())
 
 
 def keep_current(stream: DataFrame, table: KeyedTable, checkpoint: str) -> None:
     """Merge a stream of events into a table of the newest row per key.
 
-    Each batch is reduced to one row per key before it meets the table; a batch that is
+    Each batch is reduced to one row per key before it is written; a batch that is
     repeated after a failure changes nothing.
     """
-    order = [F.col(c).desc() for c in table.seq]
-    into_batches(stream, lambda batch, _: table.merge(first_per_key(batch, table.keys, order)), checkpoint)
+    merge_batches(stream, table, checkpoint)
 
 
 def active_locks_stream(stream: DataFrame, table: KeyedTable, checkpoint: str, as_of: Column) -> DataFrame:

@@ -173,7 +173,7 @@ def test_upsert_modes(spark):
 
 
 def test_keyed_table_is_repeatable(spark):
-    table = KeyedTable(spark, scratch(spark, "t"), ["k"], ["seq"], buckets=4)
+    table = KeyedTable(spark, scratch(spark, "t"), ["k"], ["seq"])
     first = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "k int, seq int")
     second = spark.createDataFrame([(1, 2), (4, 1)], "k int, seq int")
     for batch in (first, second, first, second):
