@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.moments import moment
 from ..registry import query
 from ..session import load, scratch
 from ..sinks.upsert import KeyedTable
-from ..sources.changes import read_change_stream
+from ..sources.changelog import stream_change_log
+from ..sources.changes import parse_changes, read_change_stream
 from ..streaming import state as U
 from ..streaming import timers as M
 from ..streaming import windows as V
@@ -191,10 +193,9 @@ def lifecycle_stream(spark, d):
     return U.lifecycle_stream(stream, table, scratch(spark, "steps-checkpoint"), moment(EVENTS_AS_OF), STEPS)
 
 
-def change_events(spark, d):
-    """Events as change capture JSON, with positions as logs have them, unpadded; every tenth comes twice."""
-    e = load(spark, d, "events")
-    event = F.to_json(
+def change_lines():
+    """Events as change capture JSON, with positions as logs have them, unpadded."""
+    return F.to_json(
         F.struct(
             F.when(F.col("event_type") == "error", "mysql").otherwise("shop").alias("database"),
             F.lit("carts").alias("table"),
@@ -207,6 +208,12 @@ def change_events(spark, d):
             F.create_map(F.lit("user_id"), F.col("user_id").cast("string"), F.lit("kind"), F.col("event_type")).alias("data"),
         )
     )
+
+
+def change_events(spark, d):
+    """Events as a stream of changes; every tenth comes twice."""
+    e = load(spark, d, "events")
+    event = change_lines()
     copies = F.explode(F.sequence(F.lit(1), F.when(F.col("event_id") % 10 == 0, 2).otherwise(1)))
     root = scratch(spark, "changes")
     e.select(event.alias("value"), copies.alias("copy")).select("value").write.text(root)
@@ -250,3 +257,23 @@ def resumable_mining(spark, d):
         stream = spark.readStream.schema(pairs.schema).parquet(root)
         mined = U.resumable_mining(stream, "a", "b", ("user", "assistant"), base)
     return mined.groupBy("substr").agg(F.count(F.lit(1)).alias("freq"))
+
+
+@query(
+    "change_log",
+    """SELECT log_number, place, user_id, kind FROM (SELECT event_id // 2500 AS log_number, row_number() OVER (PARTITION BY event_id // 2500 ORDER BY event_id) AS place, user_id, event_type AS kind
+      FROM events) WHERE kind <> 'error'""",
+)
+def change_log(spark, d):
+    """Changes out of numbered logs: the later half of the logs comes after the stream has stopped once, and goes on where it was."""
+    lines = load(spark, d, "events").select("event_id", F.floor(F.col("event_id") / 2500).alias("log"), change_lines().alias("value"))
+    half = load(spark, d, "events").agg(F.floor(F.max("event_id") / 5000)).first()[0]
+    root, out, checkpoint = scratch(spark, "logs"), scratch(spark, "log-lines"), scratch(spark, "log-checkpoint")
+    for part in (F.col("log") <= half, F.col("log") > half):
+        # One file a log, as a server writes them.
+        lines.where(part).repartition("log").sortWithinPartitions("log", "event_id").select("log", "value").write.mode("append").partitionBy("log").text(root)
+        U.run_available(stream_change_log(spark, root, r"log=(\d+)/part-", 64 * 1024), out, checkpoint)
+    found = spark.read.parquet(out)
+    place = F.row_number().over(Window.partitionBy("log_number").orderBy("log_offset")).cast("long")
+    numbered = parse_changes(found.withColumn("log_offset", place), excluded=["mysql"])
+    return numbered.select("log_number", F.col("log_offset").alias("place"), F.col("data")["user_id"].cast("long").alias("user_id"), F.col("data")["kind"].alias("kind"))
