@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,35 +18,69 @@ from .ordered import running_total
 MIN_MATCH = 3
 MAX_MATCH = 257
 WINDOW = 32506
-
-
-def _longest_match(data: str, pos: int) -> int:
-    """Length of the longest earlier occurrence of the text at ``pos``; 0 below the minimum.
-
-    A match of some length implies a shorter one at the same start, so one walk over the
-    window finds the longest: each search starts where the last match began, one character
-    longer than the best so far.
-    """
-    low, most = max(0, pos - WINDOW), min(MAX_MATCH, len(data) - pos)
-    best = 0
-    length = MIN_MATCH
-    while length <= most:
-        at = data.find(data[pos : pos + length], low, pos + length - 1)
-        if at < 0:
-            break
-        while length < most and data[at + length] == data[pos + length]:
+#: Texts up to this length are searched as a whole, which is faster than to note their places.
+SHORT = 4096
+#: Places that are tried one by one; more are searched.
+FEW = 8
+#: Lengths of the runs that keys are sought by.
+GRAMS = (1, 2, 3, 6, 16)
+
+
+class _Places:
+    """Earlier places of a text by the three characters there, so that a match is sought only where one can be."""
+
+    def __init__(self, data: str) -> None:
+        self.data, self.chains, self.upto = data, defaultdict(list), 0
+        self.compared = 0
+
+    def longest(self, pos: int) -> int:
+        """Length of the longest earlier occurrence of the text at ``pos``; 0 below the minimum. Asked with rising ``pos``."""
+        data, chains = self.data, self.chains
+        if len(data) <= SHORT:
+            return self._searched(pos, 0, min(MAX_MATCH, len(data) - pos))
+        for at in range(self.upto, pos):
+            chains[data[at : at + MIN_MATCH]].append(at)
+        self.upto = pos
+        chain = chains.get(data[pos : pos + MIN_MATCH])
+        most = min(MAX_MATCH, len(data) - pos)
+        if not chain or most < MIN_MATCH:
+            return 0
+        first = bisect.bisect_left(chain, pos - WINDOW) if chain[0] < pos - WINDOW else 0
+        if len(chain) - first > FEW:
+            return self._searched(pos, chain[first], most)
+        best, wanted = 0, data[pos : pos + MIN_MATCH]
+        for at in chain[first:]:
+            self.compared += 1
+            if data.startswith(wanted, at):
+                best = len(wanted)
+                while best < most and data[at + best] == data[pos + best]:
+                    best += 1
+                if best == most:
+                    break
+                wanted = data[pos : pos + best + 1]  # only a longer match is better
+        return best
+
+    def _searched(self, pos: int, low: int, most: int) -> int:
+        """The same for many places, which lie close together: each search begins behind the last match, a character longer."""
+        data, best, length = self.data, 0, MIN_MATCH
+        while length <= most:
+            at = data.find(data[pos : pos + length], low, pos + length - 1)
+            self.compared += 1
+            if at < 0:
+                break
+            while length < most and data[at + length] == data[pos + length]:
+                length += 1
+            best, low = length, at + 1
             length += 1
-        best, low = length, at + 1
-        length += 1
-    return best
+        return best
 
 
 def _walk(text: str, known: str) -> set[str]:
     """What a greedy walk over ``text`` copies from ``known`` or from itself."""
     data, found = known + text, set()
-    pos = len(known)
+    places, pos = _Places(data), len(known)
     while pos < len(data):
-        length = _longest_match(data, pos)
+        length = places.longest(pos)
         if length:
             found.add(data[pos : pos + length])
         pos += length or 1
@@ -80,23 +116,47 @@ def freqs_descending(freqs: DataFrame) -> DataFrame:
     return freqs.orderBy(F.col("freq").desc(), "substr")
 
 
+def _grams(n: Column) -> Column:
+    """The different runs of ``n`` characters of ``key``."""
+    starts = F.sequence(F.lit(1), F.length("key") - n + 1)
+    return F.array_distinct(F.transform(starts, lambda s: F.substring(F.col("key"), s, n)))
+
+
 def _containments(keys: DataFrame, group: Sequence[str]) -> DataFrame:
     """(id, holder): every key inside a longer key of its group.
 
-    Each key is cut into its own substrings, which are joined with the keys on equality. A key
-    has at most a few ten thousand substrings, so no pair is tried that is not a substring.
+    A key is sought by an anchor, the rarest of its runs of a fixed length (``GRAMS``; the longest that fits it). Keys
+    that hold the anchor are joined on equality, and then asked whether they contain the key. So a key gives out its
+    runs of a few lengths, and not all of its substrings.
     """
-    lengths = F.sequence(F.lit(1), F.length("key") - 1)
-    per_length = F.explode(lengths).alias("n")
-    cut = keys.where(F.length("key") > 1).select(*group, "key", F.col("id").alias("holder"), per_length)
-    starts = F.sequence(F.lit(1), F.length("key") - F.col("n") + 1)
-    known_lengths = keys.select(*group, F.length("key").alias("n")).distinct()
-    pieces = (
-        cut.join(known_lengths, [*group, "n"], "left_semi")
-        .select(*group, "holder", "key", "n", F.explode(starts).alias("start"))
-        .select(*group, "holder", F.substring(F.col("key"), F.col("start"), F.col("n")).alias("key"))
+    length = F.length("key")
+    fits: Column = F.lit(GRAMS[0])
+    for n in GRAMS[1:]:
+        fits = F.when(length >= n, n).otherwise(fits)
+    sized = keys.select(*group, "id", "key", fits.alias("fits"))
+    used = sized.select(*group, F.col("fits").alias("n")).distinct()
+    each = F.explode(F.filter(F.array(*[F.lit(n) for n in GRAMS]), lambda n: n <= length)).alias("n")
+    runs = sized.select(*group, "id", "key", "fits", each).join(used, [*group, "n"], "left_semi")
+    grams = materialize(
+        runs.select(*group, "n", "id", (F.col("n") == F.col("fits")).alias("own"), length.alias("size"), F.explode(_grams(F.col("n"))).alias("gram")),
+        "key-grams",
+    )
+    rare = grams.groupBy(*group, "n", "gram").agg(F.count(F.lit(1)).alias("holders"))
+    anchors = (
+        grams.where("own")
+        .join(rare, [*group, "n", "gram"])
+        .groupBy(*group, "n", "id", "size")
+        .agg(F.min(F.struct("holders", "gram"))["gram"].alias("gram"))
+    )
+    longer = grams.select(*group, "n", "gram", F.col("id").alias("holder"), F.col("size").alias("holder_size"))
+    pairs = anchors.join(longer, [*group, "n", "gram"]).where("holder_size > size").select("id", "holder")
+    texts = keys.select("id", "key")
+    return (
+        pairs.join(texts, "id")
+        .join(texts.select(F.col("id").alias("holder"), F.col("key").alias("holder_key")), "holder")
+        .where(F.contains("holder_key", "key"))
+        .select("id", "holder")
     )
-    return pieces.distinct().join(keys.select(*group, "key", "id"), [*group, "key"]).select("id", "holder")
 
 
 def swallow(freqs: DataFrame, group: Sequence[str] = ()) -> DataFrame:

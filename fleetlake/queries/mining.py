@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import mining as Z
 from ..plans import dictionary as D
 from ..registry import query
-from ..session import load
+from ..session import load, scratch
+from ..sinks import files as W
 
 
 @query("turn_pairs", "SELECT a.conv_id, a.turn, a.role AS asker, a.text AS a, b.text AS b FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
@@ -40,6 +41,20 @@ def substring_freq(spark, d):
     return Z.substring_freq(words, ["lang"])
 
 
+@query("mined_freqs_descending")
+def mined_freqs_descending(spark, d):
+    """In how many turn pairs each mined substring is common, most frequent first."""
+    return Z.freqs_descending(D.mined_freqs(load(spark, d, "conversations")))
+
+
+@query("written_mined_freqs")
+def written_mined_freqs(spark, d):
+    """The same, written as JSON lines and read back."""
+    path = scratch(spark, "mined-freqs")
+    W.write_freqs(D.mined_freqs(load(spark, d, "conversations")), path)
+    return spark.read.schema("substr string, freq long").json(path)
+
+
 @query("swallowed_scores")
 def swallowed_scores(spark, d):
     return Z.swallow(D.mined_freqs(load(spark, d, "conversations"))).drop("id")

@@ -32,7 +32,9 @@ def slow_walk(text, known):
     return found
 
 
-def test_walk_equals_slow_walk():
+@pytest.mark.parametrize("short", [0, 4096])
+def test_walk_equals_slow_walk(monkeypatch, short):
+    monkeypatch.setattr(Z, "SHORT", short)
     rng = random.Random(11)
     for _ in range(150):
         a = "".join(rng.choice("abc") for _ in range(rng.randint(0, 40)))
@@ -40,6 +42,55 @@ def test_walk_equals_slow_walk():
         assert Z._walk(a, b) == slow_walk(a, b)
 
 
+def test_places_that_cannot_match_are_not_compared():
+    """Texts without repeats compare nothing, at any size; few repeats cost in proportion to the text."""
+    def compared(text):
+        places = Z._Places(text)
+        for pos in range(len(text)):
+            places.longest(pos)
+        return places.compared
+
+    alphabet = [chr(0x4E00 + i) for i in range(20000)]
+    assert compared("".join(alphabet)) == 0
+    small, large = ("".join(alphabet[: 1200 * n]) + "".join("".join(alphabet[k : k + 3]) + "." for k in range(0, 300 * n, 3)) for n in (4, 16))
+    assert 0 < compared(small) and compared(large) <= 4.2 * compared(small)
+
+
+def test_the_window_ends():
+    far = "needle-in-hay" + "".join(chr(0x4E00 + i % 20000) for i in range(Z.WINDOW - 13))
+    assert "needle-in-hay" in Z._walk("needle-in-hay", far)
+    assert "needle-in-hay" not in Z._walk("needle-in-hay", far[:13] + "!" + far[13:])
+
+
+def test_mined_freqs_of_all_pairs(spark, sf_dir):
+    import collections
+
+    from fleetlake.queries import mining as Q
+    from fleetlake.session import load
+
+    turns = {(r.conv_id, r.turn): r.text for r in load(spark, sf_dir, "conversations").collect()}
+    counts = collections.Counter()
+    for (conv, turn), b in turns.items():
+        a = turns.get((conv, turn - 1))
+        if a is not None and b is not None and len(a) + len(b) < 250:  # the slow walk is slow
+            counts.update(slow_walk(a, b) & slow_walk(b, a))
+    short = load(spark, sf_dir, "conversations")
+    pairs = Q.D.turn_pairs(short).where(F.length("a") + F.length("b") < 250)
+    found = Z.freqs_descending(Z.substring_freq(Z.mine_pairs(pairs, "a", "b"))).collect()
+    assert [(r.substr, r.freq) for r in found] == sorted(counts.items(), key=lambda x: (-x[1], x[0])) and found
+    whole = {r.substr: r.freq for r in Q.mined_freqs_descending(spark, sf_dir).collect()}
+    assert {r.substr: r.freq for r in Q.written_mined_freqs(spark, sf_dir).collect()} == whole and all(whole[k] >= n for k, n in counts.items())
+
+
+def test_containments_of_keys_of_all_lengths(spark):
+    rng = random.Random(4)
+    keys = {"".join(rng.choice("abc") for _ in range(rng.choice([1, 2, 3, 4, 6, 7, 15, 16, 17, 40]))) for _ in range(300)}
+    keys |= {k[i : i + n] for k in list(keys)[:60] for i, n in ((0, 3), (2, 6), (1, 16)) if len(k) > n}
+    rows = [(g, k, i) for i, (g, k) in enumerate((g, k) for g in ("x", "y") for k in sorted(keys) if g == "x" or len(k) % 2)]
+    found = {(r.id, r.holder) for r in Z._containments(spark.createDataFrame(rows, "g string, key string, id long"), ["g"]).collect()}
+    assert found == {(i, j) for g, k, i in rows for h, m, j in rows if g == h and len(k) < len(m) and k in m}
+
+
 def test_match_length_limits():
     assert max(map(len, Z._walk("a" * 600, ""))) == 257
     assert Z._walk("abab", "") == set()
