@@ -186,7 +186,7 @@ def offsets(rows: DataFrame, source: str, order: list[str], total_rows: int, see
 def taken(
     rows: DataFrame, plan: list[tuple], source: str, order: list[str], total_rows: int, block: int = BLOCK, seed: int = SEED
 ) -> DataFrame:
-    """What the mixture takes of each row: row, pass, shard, slot, start, end (words of the document).
+    """What the mixture takes of each row: row, pass, shard, slot, at (place in the slot), start, end (words of the document).
 
     ``rows`` have a unique number ``row`` and a ``size``, and are a stored table: they are read twice.
     """
@@ -201,14 +201,14 @@ def taken(
     return (
         pieces.join(mixture, F.col(source).eqNullSafe(F.col("__source")) & (pieces["block"] == mixture["block"]))
         .drop(mixture["block"])
-        .withColumns({"start": start - F.col("offset"), "end": end - F.col("offset")})
+        .withColumns({"at": start - F.col("block") * block, "start": start - F.col("offset"), "end": end - F.col("offset")})
         .where("end > start")
-        .select("row", "pass", "shard", "slot", "start", "end")
+        .select("row", "pass", "shard", "slot", "at", "start", "end")
     )
 
 
 def amounts(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """For each row of ``docs``: key, size, source_size, target, taken (words)."""
+    """For each row of ``docs``: key, size, source_size, target, taken (words), shards (those that its words go to, in order)."""
     spark = docs.sparkSession
     slim = sized(docs.select(key, text, source), text).select(
         F.monotonically_increasing_id().alias("row"), key, source, "size", F.xxhash64(text).alias("text_hash")
@@ -219,7 +219,7 @@ def amounts(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     sums = (
         taken(rows, plan, source, [key, "text_hash"], total)
         .groupBy("row")
-        .agg(F.sum(F.col("end") - F.col("start")).alias("taken"))
+        .agg(F.sum(F.col("end") - F.col("start")).alias("taken"), F.sort_array(F.collect_set("shard")).alias("shards"))
     )
     kind = T.StructType(
         [
@@ -230,12 +230,32 @@ def amounts(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     )
     known = spark.createDataFrame(plan, kind)
     return (
-        rows.join(sums, "row", "left")
+        rows.join(sums.hint("merge"), "row", "left")  # a row per document: never broadcast
         .join(known, F.col(source).eqNullSafe(F.col("__source")))
-        .select(key, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        .select(key, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", F.array().cast("array<bigint>")).alias("shards"))
     )
 
 
+def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK) -> DataFrame:
+    """The mixture itself: shard, slot, source, n_words, text. A row per slot, which is a block of ``block`` words but for
+    the last of a pass over a source and of a source; words are joined by a space."""
+    stored = materialize(docs.select(key, text, source, F.monotonically_increasing_id().alias("row")), "mix-documents")
+    rows = materialize(sized(stored, text).select("row", key, source, "size", F.xxhash64(text).alias("text_hash")), "mix-sizes")
+    pieces = taken(rows, targets(rows, source), source, [key, "text_hash"], rows.count(), block)
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    cut = F.slice("__words", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    # A document's pieces come out of one split of its text; a slot gathers a block's words.
+    own = pieces.groupBy("row").agg(F.collect_list(F.struct("shard", "slot", "at", "start", "end")).alias("__pieces"))
+    placed = (
+        stored.join(own.hint("merge"), "row")
+        .select(source, words.alias("__words"), F.explode("__pieces").alias("p"))
+        .select(source, "__words", "p.*")
+        .select(source, "shard", "slot", F.struct("at", cut.alias("words")).alias("piece"))
+    )
+    filled = placed.groupBy("shard", source, "slot").agg(F.flatten(F.sort_array(F.collect_list("piece"))["words"]).alias("__words"))
+    return filled.select("shard", "slot", source, F.size("__words").cast("long").alias("n_words"), F.array_join("__words", " ").alias("text"))
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mixed documents: a row per document and pass, its ``text`` being the words taken, in order.
 

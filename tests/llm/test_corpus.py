@@ -262,6 +262,48 @@ def test_mix_amounts(spark, sf_dir):
     assert found.sort_values("doc_id").taken.tolist() == again.sort_values("doc_id").taken.tolist()
 
 
+def test_blocks_of_the_mixture(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 40)  # several shards
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = mixing.packed(docs, block=64).toPandas()
+    assert (found.n_words == found.text.map(lambda t: len(t.split(" ")))).all() and not found.duplicated(["source", "slot"]).any()
+    amounts = mixing.amounts(docs).toPandas()
+    sources = dict(zip(docs.toPandas().doc_id, docs.toPandas().source, strict=True))
+    wanted = {s: round(t) for s, t in zip(amounts.doc_id.map(sources), amounts.target, strict=True)}
+    assert found.groupby("source").n_words.sum().to_dict() == wanted
+    passes = {s: -(-t // n) for s, t, n in zip(amounts.doc_id.map(sources), amounts.target, amounts.source_size, strict=True)}
+    assert all((own.n_words < 64).sum() <= passes[s] + 1 for s, own in found.groupby("source"))
+    # Shards hold what the draws gave each source, all but the same number of slots each, and runs of words of the source.
+    order = sorted(passes)
+    sizes = amounts.assign(s=amounts.doc_id.map(sources)).groupby("s").source_size.first()
+    slots = [mixing.slot_count(int(sizes[s]), wanted[s], 64) for s in order]
+    shards = -(-sum(slots) // 40)
+    drawn = mixing.draws(slots, shards, mixing.SEED)
+    held = found.groupby(["shard", "source"]).size()
+    assert {k: int(n) for k, n in held.items()} == {(i, s): int(drawn[i, j]) for i in range(shards) for j, s in enumerate(order) if drawn[i, j]}
+    assert np.ptp(found.groupby("shard").size()) <= 1 and found.shard.nunique() > 3
+    texts = collections.defaultdict(set)
+    for r in docs.collect():
+        texts[r.source] |= set(brute.words(r.text))
+    assert all(set(t.split(" ")) <= texts[s] for s, t in zip(found.source, found.text, strict=True))
+
+
+def test_draws_reach_the_result(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 8)
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    one = mixing.amounts(docs).toPandas().set_index("doc_id")
+    assert one.shards.map(len).max() > 1 and ((one.shards.map(len) > 0) == (one.taken > 0)).all()
+
+    def constant(slots, shards, seed):
+        out = np.zeros((shards, len(slots)), np.int64)
+        out[0] = slots
+        return out
+
+    monkeypatch.setattr(mixing, "draws", constant)
+    other = mixing.amounts(docs).toPandas().set_index("doc_id")
+    assert (other.taken == one.taken[other.index]).all() and any(list(a) != list(b) for a, b in zip(other.shards, one.shards[other.index], strict=True))
+
+
 def test_mix_of_odd_rows(spark):
     rng = random.Random(3)
     rows = [(i if i % 9 else None, "w " * rng.randrange(0, 3000), rng.choice(["a", "b", "é", None, "z"])) for i in range(80)]
