@@ -260,14 +260,14 @@ def blocks(vectors: DataFrame, n: int, length: int, weights: np.ndarray, queries
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        held: list[tuple[int, int | None, list[int], list[int]]] = []
+        held: list[tuple[int, int | None, np.ndarray, np.ndarray]] = []
         entries = 0
 
         def block() -> pa.RecordBatch:
             nonlocal number, entries
             number += 1
             sizes = np.array([len(x[2]) for x in held])
-            flat = [np.concatenate([np.asarray(x[i], np.int64) for x in held]) for i in (2, 3)]
+            flat = [np.concatenate([x[i] for x in held]) for i in (2, 3)]
             tree, order = Tree.build(Rows(np.concatenate([[0], np.cumsum(sizes)]), *flat))
             top = [int(tree.bounds(tree.ask(t, w), 1)[0]) for t, w in zip(queries.terms, queries.weights, strict=True)]
             longs = pa.list_(pa.int64())
@@ -281,7 +281,11 @@ def blocks(vectors: DataFrame, n: int, length: int, weights: np.ndarray, queries
             return pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
-            for row, key, terms, values in zip(*(batch.column(c).to_pylist() for c in ("row", "key", "terms", "values")), strict=True):
+            plain = [batch.column(c) for c in ("row", "key", "terms", "values")]
+            for i in range(batch.num_rows):
+                row, key = plain[0][i].as_py(), plain[1][i].as_py()
+                # Copies, so that what is held of a batch is what is needed of it.
+                terms, values = (c[i].values.to_numpy().astype(np.int64) for c in plain[2:])
                 if held and (len(held) == BLOCK or entries + len(terms) > ENTRIES):
                     yield block()
                 held.append((row, key, terms, values))
