@@ -195,7 +195,7 @@ def taken(
     pieces = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("offset") / block), last))).select(
         "row", "size", "offset", "block", F.col(source).alias("__source")
     )
-    mixture = slots(rows, plan, source, block, seed)
+    mixture = slots(rows, plan, source, block, seed).hint("merge")  # a row per block: it grows with the words
     start = F.greatest("offset", F.col("block") * block)
     end = F.least(F.col("offset") + F.col("size"), F.col("block") * block + F.col("words"))
     return (
