@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401
     consistency,
+    exports,
     files,
     filters,
     jobs,

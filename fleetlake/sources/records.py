@@ -137,13 +137,11 @@ def read_records(
             return
 
 
-def split_fields(records):
-    """Arrow array of raw records to a list array of unescaped fields; ``\\N`` is null."""
+def _unescaped(values):
+    """Arrow array of raw fields, unescaped; ``\\N`` is null."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    lists = pc.split_pattern(records, b"\t")
-    values = lists.flatten()
     null = pc.equal(values, pa.scalar(b"\\N", pa.binary()))
     if pc.any(pc.match_substring(values, b"\\")).as_py():
         for escape, plain in _ESCAPES.items():
@@ -153,8 +151,24 @@ def split_fields(records):
         if pc.any(others).as_py():
             values = pa.array([_OTHER_ESCAPE.sub(rb"\1", v) for v in values.to_pylist()], pa.binary())
         values = pc.replace_substring(values, b"\\\x01", b"\\")
-    values = pc.if_else(null, pa.scalar(None, pa.binary()), values)
-    return pa.ListArray.from_arrays(lists.offsets, values)
+    return pc.if_else(null, pa.scalar(None, pa.binary()), values)
+
+
+def split_fields(records):
+    """Arrow array of raw records to a list array of unescaped fields; ``\\N`` is null."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = pc.split_pattern(records, b"\t")
+    return pa.ListArray.from_arrays(lists.offsets, _unescaped(lists.flatten()))
+
+
+def split_columns(records, keep: Sequence[int]):
+    """Arrow arrays of the fields numbered in ``keep``, unescaped; the other fields are only passed over."""
+    import pyarrow.compute as pc
+
+    lists = pc.split_pattern(records, b"\t")
+    return [_unescaped(pc.list_element(lists, i)) for i in keep]
 
 
 def range_records(handle, start: int, stop: int, escaped: bool, block_bytes: int = _BLOCK):
