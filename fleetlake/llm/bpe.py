@@ -33,7 +33,9 @@ REMEMBERED, REMEMBERED_LENGTH = 1 << 17, 64
 #: Pieces of up to two to this power bytes, and one, are merged together; longer ones one by one.
 TOGETHER_BITS = 6
 #: Letters of text that are encoded together.
-PORTION = 1 << 20
+PORTION = 1 << 19
+#: Leaves of all trees that take their steps together, at most.
+LEAVES = 1 << 18
 NONE = 1 << 62
 
 
@@ -223,7 +225,10 @@ class Encoder:
                 sizes.setdefault((len(pieces[i]) - 2).bit_length(), []).append(i)
         for bits, own in sizes.items():
             if bits <= TOGETHER_BITS:
-                merged = merge_many([pieces[i] for i in own], self.ranks, 1 << max(bits, 1))
+                size = 1 << max(bits, 1)
+                step = LEAVES // size
+                cuts = [own[at : at + step] for at in range(0, len(own), step)]
+                merged = [ids for cut in cuts for ids in merge_many([pieces[i] for i in cut], self.ranks, size)]
             else:
                 merged = [np.array(merge(pieces[i], self.ranks.of), np.int32).tobytes() for i in own]
             for i, ids in zip(own, merged, strict=True):
@@ -283,6 +288,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
         encoder = Encoder(read_ranks(ranks_path), pattern)
         for batch in batches:
             made, portion, size, firsts = [], [], 0, [0]
+
+            def given() -> pa.Array:
+                # The ids of a text are those of its parts, one after the other.
+                parts = pa.concat_arrays([*made, encoder.encode(portion)])
+                return pa.ListArray.from_arrays(parts.offsets.take(pa.array(firsts)), parts.values)
+
             for value in batch:
                 for part in parts_of(value.as_py() or ""):
                     portion.append(part)
@@ -291,9 +302,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
                         made.append(encoder.encode(portion))
                         portion, size = [], 0
                 firsts.append(sum(map(len, made)) + len(portion))
-            parts = pa.concat_arrays([*made, encoder.encode(portion)])
-            # The ids of a text are those of its parts, one after the other.
-            yield pa.ListArray.from_arrays(parts.offsets.take(pa.array(firsts)), parts.values)
+                if made:
+                    # Ids leave portion by portion, not a whole batch of long texts at once.
+                    yield given()
+                    made, portion, size, firsts = [], [], 0, [0]
+            if len(firsts) > 1 or not len(batch):
+                yield given()
 
     return docs.withColumn(into, ids_of(F.col(text)))
 

@@ -389,3 +389,13 @@ def test_sample_is_bounded(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some text "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
     assert isinstance(language.fit(docs, sample=50).centroids, np.ndarray)
     assert pd.notna(language.fit(docs, sample=50).radius).all()
+
+
+def test_bpe_gives_out_portions_in_order(spark):
+    word = F.concat(F.lit("w"), F.hash("id").cast("string"), F.lit(" näh"))
+    text = F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 50 == 1, F.repeat(F.concat(word, F.lit(" ")), 60000)).otherwise(F.repeat(word, 40))
+    docs = spark.range(0, 200, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    path = queries.ranks_path()
+    found = bpe.decode(bpe.encode(docs, path, queries.split_pattern()), path)
+    wrong = found.where(F.decode("decoded", "UTF-8") != F.coalesce("text", F.lit(""))).count()
+    assert wrong == 0 and found.where("decoded IS NOT NULL").count() == 200
