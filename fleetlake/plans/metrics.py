@@ -11,10 +11,19 @@ from pyspark.sql import functions as F
 from ..operators.lookups import with_topology
 
 
-def as_metrics(rows: DataFrame, metric: Column, value: Column, tags: Sequence[str] = (), keep: Sequence[str] = ("host", "port")) -> DataFrame:
-    """(host, port, metric, value, tags) from a collector's output."""
-    pairs = [x for t in tags for x in (F.lit(t), F.col(t).cast("string"))]
+def as_metrics(
+    rows: DataFrame,
+    metric: Column,
+    value: Column,
+    tags: Sequence[str] = (),
+    keep: Sequence[str] = ("host", "port"),
+    optional: Sequence[str] = (),
+) -> DataFrame:
+    """(host, port, metric, value, tags) from a collector's output; a tag in ``optional`` is left out where it is null or empty."""
+    pairs = [x for t in (*tags, *optional) for x in (F.lit(t), F.col(t).cast("string"))]
     tag_map = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    if optional:
+        tag_map = F.map_filter(tag_map, lambda k, v: ~k.isin(*optional) | (F.coalesce(v, F.lit("")) != ""))
     return rows.select(*keep, metric.alias("metric"), value.cast("string").alias("value"), tag_map.alias("tags"))
 
 

@@ -192,8 +192,7 @@ SQL_METRICS = f"""
 def metrics_rollup(spark, d):
     engine = parse_engine_status(status_lines(spark, d)).groupBy("path", "metric", "type").agg(F.sum("value").alias("value"))
     engine = engine.select(F.col("path").alias("host"), F.lit(3306).alias("port"), "metric", "type", "value")
-    typed = as_metrics(engine.where("type <> ''"), F.col("metric"), F.col("value"), ["type"])
-    plain = as_metrics(engine.where("type = ''"), F.col("metric"), F.col("value"))
+    engine = as_metrics(engine, F.col("metric"), F.col("value"), optional=["type"])
     rates = A.table_rates(stats(spark, d), 60, F.lit("moddb-3-1")).select(
         F.lit("host-0").alias("host"), F.lit(3306).alias("port"), F.col("table_name").alias("table"), F.coalesce("namespace", F.lit("")).alias("namespace"), "rows_read"
     )
@@ -211,7 +210,7 @@ def metrics_rollup(spark, d):
         F.concat(F.lit("host-"), F.col("s_suppkey")).alias("host"), F.lit(3306).alias("port"),
         F.concat(F.lit("rs-"), F.col("s_nationkey")).alias("replica_set"), F.lit("slave").alias("role"),
     )
-    return format_metrics(rollup([typed, plain, tables, processes, users, status, latency], config, 1706659200))
+    return format_metrics(rollup([engine, tables, processes, users, status, latency], config, 1706659200))
 
 
 SQL_READY = f"""

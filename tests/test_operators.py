@@ -16,6 +16,7 @@ from fleetlake.operators import lifecycle as Y
 from fleetlake.operators import planning as Q
 from fleetlake.operators.consistency import checksum_status, reported_status
 from fleetlake.operators.percentiles import histogram_percentile
+from fleetlake.plans.metrics import as_metrics
 from fleetlake.session import scratch
 from fleetlake.sinks.files import atomic_write
 from fleetlake.sinks.upsert import KeyedTable
@@ -198,3 +199,9 @@ def test_one_row_per_key_is_limited_before_the_shuffle(spark):
 def test_latest_keeps_ties(spark):
     df = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("a", 2, 3), ("b", 1, 4)], "k string, ts int, id int")
     assert sorted(r.id for r in N.latest_per_key(df, ["k"], "ts").collect()) == [2, 3, 4]
+
+
+def test_optional_tags(spark):
+    rows = spark.createDataFrame([("h", 1, "a", "", 1), ("h", 1, None, "x", 2), ("h", 1, "", None, 3)], "host string, port int, kept string, kind string, v int")
+    made = as_metrics(rows, F.lit("m"), F.col("v"), ["kept"], optional=["kind"]).collect()
+    assert {int(r["value"]): r["tags"] for r in made} == {1: {"kept": "a"}, 2: {"kept": None, "kind": "x"}, 3: {"kept": ""}}
