@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import os
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from fleetlake.operators.lines import line_edits, with_line_edits
@@ -84,6 +86,122 @@ def test_outcomes_do_not_depend_on_the_batches(spark):
     assert {o[2] for o in whole} == {"refused", "ignored", "released", "expired"}
 
 
+class Kept:
+    """Handle, state variables and timers of one key; ``calls`` counts the exchanges with the state."""
+
+    def __init__(self):
+        self.calls, self.timers, self.watermark, self.most = 0, set(), 0, 0
+
+    def getValueState(self, name, *schema):
+        return Variable(self)
+
+    def getListState(self, name, *schema):
+        return Variable(self, True)
+
+    getMapState = getValueState
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+class Variable:
+    def __init__(self, kept, listed=False):
+        self.kept, self.listed, self.value, self.list, self.map = kept, listed, None, [], {}
+
+    def _called(self, result=None):
+        self.kept.calls += 1
+        return result
+
+    def get(self):
+        return self._called(iter(self.list) if self.listed else self.value)
+
+    def exists(self):
+        return self._called(self.value is not None)
+
+    def update(self, value):
+        self.value = self._called(value)
+
+    def clear(self):
+        self.value, self.list, self.map = self._called(), [], {}
+
+    def appendValue(self, value):
+        self._called(self.list.append(value))
+
+    def put(self, values):
+        self.list = self._called(list(values))
+
+    def getValue(self, key):
+        return self._called(self.map[key])
+
+    def updateValue(self, key, value):
+        self.map[key] = self._called(value)
+        self.kept.most = max(self.kept.most, len(json.loads(value[0])))
+
+    def removeKey(self, key):
+        self._called(self.map.pop(key))
+
+
+class Tell(timers.Machine):
+    output = "at long, name string"
+
+    def on_event(self, state, at, event):
+        return None, [(at, event["name"])]
+
+    def late(self, at, event):
+        return [(-at, event["name"])]
+
+
+def told(batches, part, buffer):
+    """What one key gives out for ``batches`` of (events, watermark in ms), and what was kept."""
+    processor, kept, out = timers._Ordered(Tell(), ["key"], ["name"]), Kept(), []
+    processor.PART, processor.BUFFER = part, buffer
+    processor.init(kept)
+    for events, watermark in batches:
+        given = [Row(__at=at, __id=i, name=name) for at, i, name in events]
+        out += [tuple(r)[1:] for r in processor.handleInputRows(("k",), iter(given), kept)] if given else []
+        kept.watermark = watermark
+        for ms in sorted(t for t in kept.timers if t <= watermark):
+            kept.timers.remove(ms)
+            out += [tuple(r)[1:] for r in processor.handleExpiredTimer(("k",), kept, None)]
+    return out, kept
+
+
+def test_a_busy_key_waits_in_few_parts():
+    rng = random.Random(5)
+    events = [(rng.randrange(1, 10**9), str(i), f"n{i}") for i in range(20000)]
+    out, kept = told([(events, 10**9)], 512, 4096)
+    assert out == [(at, name) for at, _, name in sorted(events, key=lambda e: e[:2])]
+    assert kept.calls < 200 and kept.most <= 512
+
+
+def test_runs_give_out_what_waits_in_order():
+    rng = random.Random(8)
+    for _ in range(200):
+        given, batches, expected, waiting, watermark = 0, [], [], {}, 0
+        for _ in range(rng.randrange(1, 8)):
+            events = []
+            for _ in range(rng.randrange(0, 30)):
+                events.append((rng.randrange(1, 40) * 500, str(rng.randrange(4)), f"n{given}"))
+                given += 1
+            if len({e[:2] for e in events}) < len(events):  # of repeats in one batch any may count
+                events = list({e[:2]: e for e in events}.values())
+            for at, i, name in events:
+                if at <= watermark * 1000:
+                    expected.append((-at, name))
+                else:
+                    waiting.setdefault((at, i), name)
+            watermark = max(watermark, rng.randrange(0, 22))
+            for key in sorted(k for k in waiting if k[0] <= watermark * 1000):
+                expected.append((key[0], waiting.pop(key)))
+            batches.append((events, watermark))
+        out, kept = told(batches, rng.randrange(1, 6), rng.randrange(1, 12))
+        assert out == expected
+        assert kept.most <= 5
+
+
 STEPS = ("reset", "shutdown", "end")
 HOUR = 3600
 
