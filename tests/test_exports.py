@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlake.plans.export import checked_export
-from fleetlake.queries.exports import ORDER
+from fleetlake.queries.exports import ORDER, fetch_share
 from fleetlake.sinks import checked as C
 from fleetlake.sources import fleet as S
 from fleetlake.sources import statistics as P
@@ -165,6 +165,22 @@ def test_servers_fail_alone_and_halfway(spark):
         S.read_servers(servers, fetch, T.StructType([T.StructField("error", T.StringType())]), 1)
 
 
+def test_a_server_is_read_a_batch_at_a_time(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n, path = 2_000_000, str(tmp_path / "orders.parquet")
+    table = pa.table({"o_orderkey": pa.array(range(n)), "o_custkey": pa.array(range(n))})
+    pq.write_table(table, path, row_group_size=n, compression="none", use_dictionary=False)
+    del table
+    before, most, keys = pa.total_allocated_bytes(), 0, []
+    for batch in fetch_share("db-5", {"path": path, "number": "5", "of": "12"}):
+        most = max(most, pa.total_allocated_bytes() - before)
+        keys += batch.column("o_orderkey").to_pylist()
+    assert keys == list(range(5, n, 12))
+    assert most < 8_000_000  # the row group is 32 MB
+
+
 def test_five_thousand_servers_are_one_plan(spark):
     servers = spark.range(5000).select(F.concat(F.lit("s"), "id").alias("instance"), F.create_map(F.lit("n"), F.lit("1")).alias("options"))
     began = time.monotonic()
