@@ -61,6 +61,17 @@ def compressed_dump(spark, d):
     return S.read_dump(spark, dumped(spark, o, F.col("o_orderkey") % 4, "gzip"), o.schema)
 
 
+def write_in_order(rows, root, folder, *order):
+    """The column ``value`` as text, a folder per value of ``folder``, whose files in the order of their names are in order.
+
+    A folder's rows are dealt to several tasks, as many in all as the input was read by, or more.
+    """
+    keys = [folder, *order]
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    ordered = rows.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
+    ordered.select(folder, "value").write.partitionBy(folder).text(root)
+
+
 @query(
     "numbered_lines",
     """SELECT lang, line_no - min(line_no) OVER (PARTITION BY lang) AS line_no, md5(line) AS line_md5 FROM (
@@ -70,10 +81,9 @@ def compressed_dump(spark, d):
 def numbered_lines(spark, d):
     doc = load(spark, d, "documents")
     root = scratch(spark, "lines")
-    # One file per language, in document order, so that line numbers are known.
-    ordered = doc.select("lang", "doc_id", F.col("text").alias("value")).repartition("lang").sortWithinPartitions("lang", "doc_id")
-    ordered.drop("doc_id").write.partitionBy("lang").text(root)
-    lines = S.number_lines(S.read_lines(spark, root, range_bytes=200 * 1024))
+    # One text per language, in document order, so that line numbers are known.
+    write_in_order(doc.select("lang", "doc_id", F.col("text").alias("value")), root, "lang", "doc_id")
+    lines = S.number_lines(S.read_lines(spark, root, range_bytes=200 * 1024), by_folder=True)
     return lines.select(F.regexp_extract("path", "lang=([a-z]+)", 1).alias("lang"), "line_no", F.md5("line").alias("line_md5"))
 
 
@@ -87,8 +97,8 @@ def zipped_lines(spark, d):
     c = load(spark, d, "conversations").where(F.col("role").isin("user", "assistant"))
     root = scratch(spark, "zip")
     rows = c.select("role", "conv_id", "turn", F.replace("text", F.lit("\n"), F.lit(" ")).alias("value"))
-    rows.repartition("role").sortWithinPartitions("role", "conv_id", "turn").select("role", "value").write.partitionBy("role").text(root)
-    sides = [S.number_lines(S.read_lines(spark, f"{root}/role={r}")) for r in ("user", "assistant")]
+    write_in_order(rows, root, "role", "conv_id", "turn")
+    sides = [S.number_lines(S.read_lines(spark, f"{root}/role={r}"), by_folder=True) for r in ("user", "assistant")]
     return S.zip_lines(*sides)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import random
 
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from fleetlake.functions.moments import moment
 from fleetlake.functions.text import ONE_BYTE, null_escape
+from fleetlake.queries import files
 from fleetlake.session import scratch
 from fleetlake.sinks.export import export_table
 from fleetlake.sources.records import _file_system, number_lines, range_records, read_dump, read_lines, read_records, split_fields
@@ -149,6 +151,19 @@ def test_line_numbers(spark):
     assert all(int(r.line.split("-")[0]) == r.line_no for r in rows)
 
 
+def test_a_long_text_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    docs = [(i, f"{i} a\n{i} b", ("de", "en", "en")[i % 3]) for i in range(600)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(files, "scratch", lambda spark, name: f"{tmp_path}/{name}")
+    found = files.numbered_lines(spark, str(tmp_path)).collect()
+    expected = []
+    for lang in ("de", "en"):
+        lines = [line for _, text, own in docs if own == lang for line in text.split("\n")]
+        expected += [(lang, i, hashlib.md5(line.encode()).hexdigest()) for i, line in enumerate(lines)]
+    assert sorted(map(tuple, found)) == sorted(expected)
+    assert len(list(tmp_path.glob("lines/lang=en/*.txt"))) > 2
+
+
 def test_unreadable_record_is_an_error(spark):
     root = scratch(spark, "dump")
     spark.createDataFrame([("only one field",)], "value string").write.text(root)
