@@ -26,6 +26,7 @@ from .records import RANGE_BYTES, _file_system
 FORMAT = "fleet_changelog"
 PATTERN = r"\.(\d+)$"
 _BLOCK = 1 << 20
+_TASKS = 192
 
 
 class LogRange(InputPartition):
@@ -35,6 +36,31 @@ class LogRange(InputPartition):
         self.path, self.number, self.start, self.stop, self.end, self.first = path, number, start, stop, end, first
 
 
+class LogRanges(InputPartition):
+    """What one task reads: ranges one after the other."""
+
+    def __init__(self, ranges: list[LogRange]):
+        self.ranges = ranges
+
+
+def _dealt(ranges: list[LogRange], range_bytes: int) -> list[InputPartition]:
+    """Ranges dealt out to tasks, so that many short logs and ranges do not make as many tasks.
+
+    A task takes in the ``_TASKS``-th part of all bytes, but no less than a range and no more than ``RANGE_BYTES`` (or one range).
+    """
+    share = max(range_bytes, min(RANGE_BYTES, sum(part.stop - part.start for part in ranges) // _TASKS))
+    tasks: list[InputPartition] = []
+    taken = share
+    for part in ranges:
+        size = part.stop - part.start
+        if taken + size > share:
+            tasks.append(LogRanges([]))
+            taken = 0
+        tasks[-1].ranges.append(part)
+        taken += size
+    return tasks or [LogRanges([])]
+
+
 def _line_end(handle, start: int, end: int) -> int:
     """The byte behind the first line feed from ``start`` on, or ``end``."""
     at = start
@@ -128,11 +154,12 @@ class Logs:
             ]
         return out
 
+    def tasks(self, start: dict, end: dict) -> list[InputPartition]:
+        return _dealt(self.ranges(start, end), self.range_bytes)
+
     def read(self, part: LogRange) -> Iterator:
         import pyarrow as pa
 
-        if not isinstance(part, LogRange):
-            return
         system, _ = _file_system(self.path)
         with system.open_input_file(part.path) as handle:
             # A line that began ahead of the range belongs to the one before.
@@ -167,10 +194,11 @@ class LogReader(DataSourceReader):
         self.logs = Logs(options)
 
     def partitions(self):
-        return self.logs.ranges(self.logs.first(), self.logs.last()) or [InputPartition(None)]
+        return self.logs.tasks(self.logs.first(), self.logs.last())
 
     def read(self, partition):
-        yield from self.logs.read(partition)
+        for part in partition.ranges:
+            yield from self.logs.read(part)
 
 
 class LogStreamReader(DataSourceStreamReader):
@@ -199,10 +227,11 @@ class LogStreamReader(DataSourceStreamReader):
 
     def partitions(self, start, end):
         self.planned = end
-        return self.logs.ranges(start, end) or [InputPartition(None)]
+        return self.logs.tasks(start, end)
 
     def read(self, partition):
-        yield from self.logs.read(partition)
+        for part in partition.ranges:
+            yield from self.logs.read(part)
 
     def commit(self, end):
         if self.progress:

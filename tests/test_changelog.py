@@ -70,6 +70,20 @@ def test_ranges_of_long_and_short_lines(spark, monkeypatch):
                 assert "\n".join(found) + "\n" == (b"\n".join(lines) + b"\n")[start:].decode()
 
 
+def test_short_logs_and_ranges_share_tasks(spark):
+    follow = Follow(spark, range_bytes=2)
+    for number in range(300):
+        append(follow.root, number, b"a%d\nb\nc\n" % number)
+    batch = changelog.read_change_log(spark, follow.root, range_bytes=2)
+    assert batch.rdd.getNumPartitions() < 350  # 300 logs of 4 or 5 ranges
+    expected = [line for n in range(300) for line in ((n, 0, f"a{n}"), (n, 2 + len(str(n)), "b"), (n, 4 + len(str(n)), "c"))]
+    assert follow.batch(range_bytes=2) == expected == follow.run()
+    long = [changelog.LogRange("x", 1, at, at + 100, 10**9, False) for at in range(0, 10**5, 100)]
+    dealt = changelog._dealt(long, 100)
+    assert [r for task in dealt for r in task.ranges] == long
+    assert max(sum(r.stop - r.start for r in task.ranges) for task in dealt) <= max(100, 10**5 // changelog._TASKS)
+
+
 def test_batches_are_limited(spark):
     progress = scratch(spark, "progress") + "/at.json"
     follow = Follow(spark, max_bytes=20, progress=progress)
