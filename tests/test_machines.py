@@ -177,6 +177,12 @@ def test_a_busy_key_waits_in_few_parts():
     assert kept.calls < 200 and kept.most <= 512
 
 
+def test_a_quiet_key_is_one_value():
+    events = [(at, str(at), f"n{at}") for at in range(1, 61)]
+    out, kept = told([(events, 1)], 512, 4096)
+    assert out == [(at, name) for at, _, name in events] and kept.calls == 4
+
+
 def test_runs_give_out_what_waits_in_order():
     rng = random.Random(8)
     for _ in range(200):
